@@ -14,21 +14,38 @@ ITEM = "struct<h:bigint,doc_id:bigint,size:bigint,base:bigint,x:double>"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
-    """(source, source_size, target): shares of all sizes by weight, each at most cap times its source, the excess reshared by weight.
+    """(source, source_size, n_rows, target): shares of all sizes by weight, each at most cap times its source, the excess reshared by weight.
 
     Sources take the weights in turn, by code point, null last. Raising all targets together until a source reaches its
     cap gives the same fixed point as resharing again and again: target = least(cap * size, level * weight). One row a source.
     """
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("w", w.cast("double")).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")).withColumn("w", w.cast("double")).withColumn("most", F.col("source_size") * F.lit(float(cap)))
     by = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), "source")
     full = F.coalesce(F.sum("most").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))
     s = s.withColumn("n", F.row_number().over(by)).withColumn("level", (F.sum("source_size").over(Window.partitionBy()) - full) / rest)
     level = F.min_by("level", F.when(F.col("level") <= F.col("most") / F.col("w"), F.col("n"))).over(Window.partitionBy())
-    return s.withColumn("target", F.least("most", level * F.col("w"))).select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
+    return s.withColumn("target", F.least("most", level * F.col("w"))).select("source", "source_size", "n_rows", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
+#: The first level: the documents of a chunk share one fraction y and come by size, largest first. Each is paired with all that
+#: follow it, as one partner with the same fraction: mass moves until the document, or else the partner, is 0 or 1.
+#: So a large document is settled early, at the cost of many small ones, and what stays undecided is a small one.
+FIRST = """
+(acc, e) -> transform(array(acc.rest - e.size), rest -> transform(array(
+    if(acc.y <= 0 or acc.y >= 1, 5, if(rest <= 0, 6, transform(array(named_struct(
+        'up', least((1 - acc.y) * e.size, acc.y * rest),
+        'down', least(acc.y * e.size, (1 - acc.y) * rest))), d ->
+      if({u} * (d.up + d.down) < d.down,
+         if((1 - acc.y) * e.size <= acc.y * rest, 1, 2),
+         if(acc.y * e.size <= (1 - acc.y) * rest, 3, 4)))[0]))), k -> named_struct(
+  'y', case k when 1 then greatest(acc.y - (1 - acc.y) * e.size / rest, 0D) when 3 then least(acc.y + acc.y * e.size / rest, 1D) when 4 then 1D when 5 then acc.y else 0D end,
+  'rest', rest,
+  'c', if(k in (2, 4, 6), named_struct('h', e.h, 'doc_id', e.doc_id, 'size', e.size, 'base', e.base, 'x', acc.y + case k when 2 then acc.y * rest / e.size when 4 then -(1 - acc.y) * rest / e.size else 0D end), acc.c),
+  'out', if(k in (2, 4, 6), acc.out, concat(acc.out, array(named_struct('doc_id', e.doc_id, 'size', e.size, 'copies', e.base + case k when 1 then 1L when 3 then 0L else bigint(acc.y) end))))))[0])[0]
+"""
+
 #: One step of the pivotal method on carrier acc.c and item e, both fractional in x, with sizes as prices: mass moves from one
 #: to the other until one is 0 or 1, at odds that keep each one's expectation and, always, the sum of size * x.
 STEP = """
@@ -58,8 +75,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3
     docs: doc_id, text, source; other columns play no part, whatever their names. Returns doc_id, size, source,
     source_size, target, copies, taken. Every document of a source wants target / source_size copies; the whole part is
     certain, and the fractions are settled by pivotal rounding: chunks of about fan_in documents of one source are
-    folded, each leaves one document undecided, and these meet again, fan_in chunks at a time, until a source has one
-    left, which a coin decides. A source's taken words so differ from its target by less than its largest document.
+    settled, each leaves at most one, small, document undecided, and these meet again, fan_in chunks at a time, until a source has one
+    left, which a coin decides. A source's taken words so differ from its target by less than one document, as a rule a small one.
     A hot source is only more chunks. Coins are hashes of seed and rows, so reruns agree.
 
     Null text: size 0, no copies. Null source: a source of its own. Null or repeated doc_id: each row is decided by itself.
@@ -73,22 +90,29 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3
     rows = rows.withColumn("x", F.col("x") - F.col("base"))
     key = ["source", "source_size", "target"]
     sure = rows.where("x <= 0").select(*key, "doc_id", "size", F.col("base").alias("copies"))
-    chunks = max(1, -(-rows.count() // fan_in))
+    of = lambda n: F.ceil(n / F.lit(float(fan_in))).cast("long")
+    chunks = max(1, -(-(targets.agg(F.max("n_rows")).first()[0] or 0) // fan_in))  # of the largest source
     level = (rows.where("x > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-             .select(*key, F.pmod("h", F.lit(chunks)).alias("chunk"), F.struct("h", "doc_id", "size", "base", "x").alias("item")))
+             .withColumn("chunks", of(F.col("n_rows"))).select(*key, "chunks", F.pmod("h", F.col("chunks")).alias("chunk"), F.struct("h", "doc_id", "size", "base", "x").alias("item")))
     done, depth = [sure], 0
     while True:
         u = f"(shiftrightunsigned(xxhash64({int(seed)}, {depth}, acc.c.h, e.h, acc.c.doc_id, e.doc_id, acc.c.x, e.x), 11) / {float(1 << 53)!r}D)"
-        start = f"named_struct('c', cast(null as {ITEM}), 'out', cast(array() as array<struct<doc_id:bigint,size:bigint,copies:bigint>>))"
-        folded = level.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list("item")).alias("items"))
-        folded = materialize(folded.select(*key, "chunk", F.expr(f"aggregate(items, {start}, {STEP.format(u=u)})").alias("r")).select(*key, "chunk", "r.c", "r.out"), "mix-level")
+        start = f"'c', cast(null as {ITEM}), 'out', cast(array() as array<struct<doc_id:bigint,size:bigint,copies:bigint>>))"
+        if depth:
+            settle = f"aggregate(array_sort(items), named_struct({start}, {STEP.format(u=u)})"
+        else:
+            by = "array_sort(items, (a, b) -> case when a.size <> b.size then if(a.size > b.size, -1, 1) when a.h <> b.h then if(a.h < b.h, -1, 1) when a.doc_id <> b.doc_id then if(a.doc_id < b.doc_id, -1, 1) else 0 end)"
+            u = f"(shiftrightunsigned(xxhash64({int(seed)}, e.h, e.doc_id, acc.rest), 11) / {float(1 << 53)!r}D)"
+            settle = f"aggregate({by}, named_struct('y', items[0].x, 'rest', aggregate(items, 0L, (a, e) -> a + e.size), {start}, {FIRST.format(u=u)})"
+        folded = level.groupBy(*key, "chunks", "chunk").agg(F.collect_list("item").alias("items"))
+        folded = materialize(folded.select(*key, "chunks", "chunk", F.expr(settle).alias("r")).select(*key, "chunks", "chunk", "r.c", "r.out"), "mix-level")
         done.append(folded.select(*key, F.explode("out").alias("o")).select(*key, "o.*"))
         depth += 1
         if chunks == 1:
             break
         chunks = -(-chunks // fan_in)
-        level = folded.select(*key, F.pmod(F.col("chunk"), F.lit(chunks)).alias("chunk"), F.col("c").alias("item"))
+        level = folded.where("c is not null").withColumn("chunks", of(F.col("chunks"))).select(*key, "chunks", F.pmod("chunk", "chunks").alias("chunk"), F.col("c").alias("item"))
     last = F.col("c.base") + (uniform(F.lit(seed), F.col("c.h"), F.col("c.doc_id")) < F.col("c.x")).cast("long")
-    done.append(folded.select(*key, "c.doc_id", "c.size", last.alias("copies")))
+    done.append(folded.where("c is not null").select(*key, "c.doc_id", "c.size", last.alias("copies")))
     out = reduce(DataFrame.unionByName, done)
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
