@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, urlfilter, warc
+from . import fingerprints, mixing, packing, sharding, urlfilter, warc
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -21,6 +21,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     """(path, pattern) of a public vocabulary: the ranks of byte_bpe_50k.json, whose ids they give."""
     import public_tokenizers
@@ -44,5 +48,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_sharding": op1_sharding, "op2_fingerprints": op2_fingerprints, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
 ORACLE_SQL: dict[str, str] = {}
