@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, sharding, toxicity, urlfilter, warc
+from . import fingerprints, linedup, minhash, mixing, packing, sharding, toxicity, urlfilter, warc
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -25,6 +25,14 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumn("keep", F.col("doc_id") == F.col("class_id"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     """(path, pattern) of a public vocabulary: the ranks of byte_bpe_50k.json, whose ids they give."""
     import public_tokenizers
@@ -54,5 +62,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_fingerprints": op2_fingerprints, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_sharding": op1_sharding, "op2_fingerprints": op2_fingerprints, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
 ORACLE_SQL: dict[str, str] = {}
