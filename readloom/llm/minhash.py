@@ -108,8 +108,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     return full.select("a", "b", "p", "q").mapInPandas(check, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id of every row: the smallest doc_id of its class, in which each is tied to another by a similarity of at least `least`.
+def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, node (of the text) and class of every row; in a class each is tied to another by a similarity of at least `least`.
 
     docs: doc_id, text; other columns play no part. Similarity is the Jaccard similarity of lower-cased word shingles as
     sets. Equal texts are one node and are never paired. A node's ProbMinHash signature (weights 1 + ln of a shingle's
@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8, band
     At 0.8 a pair shares no band once in 300,000 times; the defaults trade that for cost.
 
     Null text: empty. Texts without words are one class; shorter ones than a shingle are alike if their words are equal.
-    Null doc_id: in its class like others; a class of nulls alone has a null class_id. Repeated rows: a row each. No rows: no rows.
+    Null doc_id: in its class like others. Repeated rows: a row each. No rows: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("node", F.unhex(F.md5(F.encode("text", "UTF-8"))))
@@ -147,7 +147,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8, band
         late = materialize(verified(cross, texts, words, least), "links")
         if late.head(1):
             label = connected_components(links.unionByName(late))
-    member = rows_.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
-    member = materialize(member, "members")
-    low = member.groupBy("c").agg(F.min("doc_id").alias("class_id"))
-    return member.join(low, "c").select("doc_id", "class_id")
+    member = rows_.select("doc_id", "node").join(label, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
+    return materialize(member, "members")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id and class_id of every row: the smallest doc_id of its class; a class of null ids alone has a null class_id. See classes()."""
+    member = classes(docs, **options)
+    low = member.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return member.join(low, "class").select("doc_id", "class_id")
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs, unchanged, for each class: that of the smallest doc_id, nulls last, then of the smallest text hash. See classes()."""
+    first = Window.partitionBy("class").orderBy(F.asc_nulls_last("doc_id"), "node")
+    keep = classes(docs, **options).withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__of"))
+    rows = docs.withColumn("__node", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
+    rows = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__of")))
+    one = Window.partitionBy("__id", "__node").orderBy(F.lit(0))
+    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)

@@ -116,3 +116,13 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3
     done.append(folded.where("c is not null").select(*key, "c.doc_id", "c.size", last.alias("copies")))
     out = reduce(DataFrame.unionByName, done)
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs' rows, each as often as the mix takes it; see mix(). Rows that agree in doc_id, size and source share their copies, as evenly as they go."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__words"), F.col("source").alias("__of")).agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
+    rows = docs.withColumn("__size", size).join(taken.where("__all > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__words")) & F.col("source").eqNullSafe(F.col("__of")))
+    nth = F.row_number().over(Window.partitionBy("__id", "__words", "__of").orderBy(F.lit(0)))
+    rows = rows.withColumn("__nth", nth).withColumn("__own", F.expr("__all div __rows + if(__nth <= __all % __rows, 1, 0)").cast("int")).where("__own > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, linedup, minhash, mixing, packing, sharding, toxicity, urlfilter, warc
+from . import ann, fingerprints, linedup, minhash, mixing, packing, sharding, toxicity, urlfilter, warc
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -48,6 +48,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,5 +66,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_fingerprints": op2_fingerprints, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_sharding": op1_sharding, "op2_fingerprints": op2_fingerprints, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_ann": op7_ann, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
 ORACLE_SQL: dict[str, str] = {}
