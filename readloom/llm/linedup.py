@@ -38,17 +38,20 @@ def masked_lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "node", "text").mapInPandas(split, LINE).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def templates(lines: DataFrame, min_constant: float) -> DataFrame:
+def templates(lines: DataFrame, min_constant: float, min_docs: int, min_share: float) -> DataFrame:
     """(leaf, line, template): lines of one leaf that agree but for their variable fields have one template.
 
-    At each position a token that two documents of the leaf have there is constant, any other a field. A line of which
-    less than min_constant would be constant stays as it is. Lines come summed up, so a line of very many documents is one.
+    A line that recurs by itself is its own template. Of the leaf's others, a token that two documents and min_share of
+    them have at a position is constant there, any other a field. A line of which less than min_constant would be constant
+    stays as it is. Lines come summed up, so a line of very many documents is one.
     """
     once = lines.groupBy("leaf", "line", "node").agg(F.min("masked").alias("masked"))
     each = materialize(once.groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("docs")), "lines")
-    leaves = each.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
-    several = each.join(leaves, "leaf").select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    known = several.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).where("support > 1").select("leaf", "pos", "token", F.lit(True).alias("constant"))
+    rare = each.where(F.col("docs") < min_docs)
+    leaves = rare.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("all")).where("n > 1").select("leaf", "all")
+    several = rare.join(leaves.select("leaf"), "leaf").select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+    known = several.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).where("support > 1")
+    known = known.join(leaves, "leaf").where(F.col("support") >= min_share * F.col("all")).select("leaf", "pos", "token", F.lit(True).alias("constant"))
     constant = F.coalesce("constant", F.lit(False)) & (F.col("token") != FIELD)
     formed = several.join(known, ["leaf", "pos", "token"], "left").groupBy("leaf", "line").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.when(constant, F.col("token")).otherwise(FIELD).alias("t")))).alias("p"),
@@ -58,7 +61,7 @@ def templates(lines: DataFrame, min_constant: float) -> DataFrame:
     return each.select("leaf", "line").join(general, ["leaf", "line"], "left").select("leaf", "line", F.coalesce("general", "line").alias("template"))
 
 
-def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_constant: float = 0.7, min_docs: int = 3, long_tokens: int = 50) -> DataFrame:
+def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_constant: float = 0.7, min_share: float = 0.34, min_docs: int = 3, long_tokens: int = 50) -> DataFrame:
     """All columns of docs, text without the lines whose template recurs across documents, and n_lines and n_dropped.
 
     docs: doc_id, text and any others; columns named n_lines or n_dropped are replaced, n_chars follows the text if it is
@@ -75,7 +78,7 @@ def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_
     pairs = lines.select("leaf", "node").distinct()
     leaves = pairs.groupBy("leaf").count().where("count > 1").select("leaf")
     shared = lines.join(leaves, "leaf")
-    of = materialize(templates(shared, min_constant), "templates")
+    of = materialize(templates(shared, min_constant, min_docs, min_share), "templates")
     lines_of = materialize(lines.select("doc_id", "node", "no", "tokens", "leaf", "line").join(of, ["leaf", "line"]).select("doc_id", "node", "no", "tokens", "leaf", "template"), "matched")
     by_text = lines_of.groupBy("leaf", "template", "node").agg(F.max("tokens").alias("tokens"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no", "node")).alias("first"))
     found = by_text.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.max("tokens").alias("tokens"), F.min("first").alias("first"))
