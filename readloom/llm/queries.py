@@ -67,4 +67,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_fingerprints": op2_fingerprints, "op3_minhash_dedup": op3_minhash_dedup, "op4_line_dedup": op4_line_dedup, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_ann": op7_ann, "op8_toxicity": op8_toxicity, "op9_warc": op9_warc, "op10_url_filter": op10_url_filter}
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for the rows of those queries that SQL can express at the size of the smaller tables.
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [''] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM r JOIN both_ways l ON r.y = l.a)
+SELECT x AS doc_id, min(y) AS class_id, x = min(y) AS keep FROM r GROUP BY x""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, true AS intact FROM f""",
+    "op10_url_filter": r"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(said, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m AS (SELECT page_id AS i, h || p AS rule, said, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, said) AS n FROM u JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p)),
+links AS (SELECT url, host, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM u),
+targets AS (SELECT url, host, CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS t FROM links),
+named(id, url) AS (SELECT page_id, url FROM u UNION ALL SELECT NULL, url FROM targets WHERE t IS NOT NULL UNION ALL SELECT -1, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)\A(.*?)://', 1) || ':' || t WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)\A(.*?)://', 1) || '://' || host || t END FROM targets WHERE t IS NOT NULL),
+k AS (SELECT id, url, CASE WHEN contains(url, '://') THEN regexp_replace(translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(www|m)\.', '')
+  || regexp_replace(regexp_replace(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '(/index)?\.html?$', ''), '/+$', '')
+  || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '(?s)\A[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w+|ref|fbclid|gclid)=')), '&'), ''), '') ELSE url END AS key FROM named),
+e AS (SELECT a.key AS a, b.key AS b FROM targets JOIN k a ON a.id IS NULL AND a.url = targets.url JOIN k b ON b.id = -1 AND b.url = CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(targets.url, '(?s)\A(.*?)://', 1) || ':' || t WHEN starts_with(t, '/') THEN regexp_extract(targets.url, '(?s)\A(.*?)://', 1) || '://' || host || t END),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+pages_k AS (SELECT id, key, said FROM k LEFT JOIN (SELECT i, said FROM m WHERE n = 1) ON i = id WHERE id >= 0),
+r(x, y) AS (SELECT DISTINCT key, key FROM pages_k WHERE key IS NOT NULL UNION SELECT r.x, l.b FROM r JOIN both_ways l ON r.y = l.a),
+c AS (SELECT x, CASE WHEN bool_or(said = 'allow') THEN 'allow' WHEN bool_or(said = 'block') THEN 'block' END AS said FROM r JOIN pages_k ON key = y GROUP BY x)
+SELECT u.page_id, host, path, rule, coalesce(m.said, c.said, 'allow') AS verdict FROM u LEFT JOIN m ON i = u.page_id AND n = 1 LEFT JOIN pages_k ON pages_k.id = u.page_id LEFT JOIN c ON x = key""",
+}
