@@ -75,7 +75,7 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, path: str | No
 
     old: each row's old shard, 0 to n_old - 1. A row weighs its text's UTF-8 bytes (null: none) plus 1. Returns the new
     files, as a table of docs' columns with shard and slot (gapless from 0), and the transfers. Columns of docs named shard
-    or slot are not kept. A shard misses its share by less than two documents, for a document is never cut.
+    or slot are not kept. A document is never cut: the side that holds its middle gets it, so that each cut costs half a document at most.
 
     Each old shard is a row of blocks, about as many as a block has rows, so that both grow with the root of the rows; a
     hot shard has more. Byte positions are sums over blocks plus sums within one. The plan is made on ids and sizes; texts
@@ -100,7 +100,7 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, path: str | No
     table = spark.createDataFrame(plan, "__o int, __start long, __end long, shard int")  # fewer than n_old + n_new rows
     within = Window.partitionBy("__old", "__block").orderBy(*order)
     at = slim.join(per.drop("__bytes"), ["__old", "__block"]).withColumn("__n", F.row_number().over(within))
-    at = at.withColumn("__at", F.col("__from") + F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
+    at = at.withColumn("__at", F.col("__from") + F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.expr("(__size + 1) div 2"))  # a row's middle decides
     at = at.join(F.broadcast(table), (F.col("__old") == F.col("__o")) & (F.col("__at") >= F.col("__start")) & (F.col("__at") < F.col("__end")))
     pieces = at.groupBy("__old", "__block", "shard").agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__rows"))
     by_shard = Window.partitionBy("shard").orderBy("__old", "__block").rowsBetween(Window.unboundedPreceding, -1)
