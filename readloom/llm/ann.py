@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,19 +13,18 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-@lru_cache(maxsize=2)
 def rotations(dim: int, trees: int, symbols: int, seed: int) -> np.ndarray:
     """A random rotation for each symbol of each tree's hash strings."""
     rng = np.random.default_rng(seed)
     return np.stack([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(trees * symbols)]).astype(np.float32)
 
 
-def hash_strings(x: np.ndarray, trees: int, symbols: int, seed: int) -> np.ndarray:
+def hash_strings(x: np.ndarray, turns: np.ndarray, symbols: int) -> np.ndarray:
     """(rows, trees): strings of symbols as numbers. A symbol names the axis, with sign, nearest to the rotated vector, so that
     vectors share one the likelier the smaller their angle is; one letter tells more than a row of hyperplanes' bits."""
     n, dim = x.shape
-    out = np.zeros((n, trees), np.int64)
-    for i, r in enumerate(rotations(dim, trees, symbols, seed)):
+    out = np.zeros((n, len(turns) // symbols), np.int64)
+    for i, r in enumerate(turns):
         z = x @ r
         axis = np.abs(z).argmax(axis=1)
         out[:, i // symbols] = out[:, i // symbols] * (2 * dim) + 2 * axis + (z[np.arange(n), axis] > 0)
@@ -67,12 +66,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
 
     def index(kind: int):
         def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            turns = rotations(dim, trees, symbols, seed)
             for batch in batches:
                 if not len(batch):
                     continue
                 x = np.array(batch["embedding"].tolist(), np.float64)
                 x /= np.abs(x).max(axis=1, keepdims=True)
-                codes = hash_strings(x.astype(np.float32), trees, symbols, seed)
+                codes = hash_strings(x.astype(np.float32), turns, symbols)
                 packed = np.rint(x * 127).astype(np.int8) if not kind else x.astype(np.float32)
                 yield pd.DataFrame({"node": batch["node"].to_numpy(), "codes": list(codes), "vec": [v.tobytes() for v in packed]})
 

@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, entries: int =
 
     docs: doc_id, text. labels: doc_id, toxic. At most sample rows are used, those of the smallest hash of doc_id. On about
     three quarters, words and prefixes are kept that toxic documents hold far more often (a likelihood ratio of at least
-    evidence), the strongest entries of them; on the rest, which did not choose them, a logistic scale is fitted to the
+    evidence), the strongest entries of them, without prefixes that a longer entry explains better; on the rest, which did not choose them, a logistic scale is fitted to the
     grammar's signals. No labels: the seed insults and a fixed scale.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
@@ -162,8 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, entries: int =
         rate = (a + b) / (na + nb)
         ratio = 2 * (term(a, rate * na) + term(b, rate * nb) + term(na - a, (1 - rate) * na) + term(nb - b, (1 - rate) * nb))
         odds = F.ln(((a + 0.5) / (na + 1)) / ((b + 0.5) / (nb + 1)))
-        best = counts.where("f <> ''").select("f", ratio.alias("g"), odds.alias("w")).where((F.col("g") >= evidence) & (F.col("w") >= 2.0)).orderBy(F.desc("g"), "f").limit(entries)
-        lexicon = lexicon | {r["f"]: r["w"] / 4 for r in best.collect()}  # at most entries rows
+        best = counts.where("f <> ''").select("f", "a", "b", ratio.alias("g"), odds.alias("w")).where((F.col("g") >= evidence) & (F.col("w") >= 2.0)).orderBy(F.desc("g"), "f").limit(entries)
+        found = best.collect()  # at most entries rows
+        lexicon = lexicon | {r["f"]: r["w"] / 4 for r in found if not explained(r, found)}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(lexicon)
@@ -175,6 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, entries: int =
     return Model(lexicon, logistic(points) if len(points) and 0 < points["y"].sum() < len(points) else (-4.0, 4.0, 4.0))
 
 
+def explained(r, entries: list) -> bool:
+    """Whether a prefix owes most of its toxic documents to one longer entry, which clean documents hold less often."""
+    if not r["f"].endswith("*"):
+        return False
+    stem = r["f"][:-1]
+    return any(x["f"] != r["f"] and x["f"].startswith(stem) and x["a"] >= 0.6 * r["a"] and x["b"] * r["a"] < r["b"] * x["a"] for x in entries)
+
+
 def logistic(points: pd.DataFrame, ridge: float = 0.05, rounds: int = 60) -> tuple[float, float, float]:
     """Newton's method on (1, m, s), slightly drawn towards zero."""
     x = np.column_stack([np.ones(len(points)), points["m"], points["s"]])
