@@ -35,3 +35,16 @@ def generate(genomes: DataFrame, *, per_file: int, mean_length: float = 5000, st
         F.lit("+").alias("sep"),
         S.quality(F.col("len"), draw, mean_quality, std_quality).alias("qual"),
     )
+
+
+#: Makers of reads by name: (available, maker). A plug-in adds itself here.
+BACKENDS = {"builtin": (lambda: True, generate)}
+
+
+def backend(name: str = "auto"):
+    """The maker of that name; auto: the first plug-in that is available, else the builtin one. Raises ValueError for an unknown or missing one."""
+    if name == "auto":
+        return next(make for key, (there, make) in sorted(BACKENDS.items(), key=lambda b: b[0] == "builtin") if there())
+    if name not in BACKENDS or not BACKENDS[name][0]():
+        raise ValueError(f"no generator named {name!r} is available: {', '.join(k for k, (there, _) in BACKENDS.items() if there())}")
+    return BACKENDS[name][1]

@@ -50,3 +50,14 @@ def domain_of(taxids: Column, name: Column) -> Column:
     table = F.create_map(*[F.lit(x) for k, v in DOMAINS.items() for x in (k, v)])
     hit = F.try_element_at(F.filter(F.transform(taxids, lambda t: F.try_element_at(table, t.cast("int"))), lambda v: v.isNotNull()), F.lit(1))
     return F.coalesce(hit, F.when(F.lower(name).rlike("|".join(EUKARYOTES)), "eukaryota"), F.lit("bacteria"))
+
+
+ASSEMBLY = "accession string, assembly_info struct<assembly_level:string>, organism struct<organism_name:string,lineage:array<struct<tax_id:bigint>>>"
+
+
+def assemblies(lines: DataFrame, text: str = "value") -> DataFrame:
+    """accession, name, taxids, rank, domain of JSON lines; bad lines and those without an accession are left out. Bare numbers in a lineage count as taxids."""
+    norm = F.regexp_replace(text, r'([\[,]\s*)(\d+)(?=\s*[,\]])', '$1{"tax_id":$2}')
+    r = lines.select(F.from_json(norm, ASSEMBLY).alias("r")).where("r.accession is not null")
+    d = r.select("r.accession", F.coalesce("r.organism.organism_name", F.lit("")).alias("name"), F.coalesce(F.transform("r.organism.lineage", lambda x: x["tax_id"]), F.array().cast("array<bigint>")).alias("taxids"), level_rank(F.col("r.assembly_info.assembly_level")).alias("rank"))
+    return d.withColumn("domain", domain_of(F.col("taxids"), F.col("name")))
