@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 FIELD = "<*>"
-VARIABLE = re.compile(r"\S*\d\S*")
+DIGIT = re.compile(r"\d")
 LINE = "doc_id string, node binary, no int, tokens int, leaf long, line long, masked string"
 
 
@@ -26,8 +26,10 @@ def masked_lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
             rows = []
             for doc, node, text in zip(batch["doc_id"], batch["node"], batch["text"], strict=True):
                 for no, line in enumerate(text.split("\n")):
-                    tokens = VARIABLE.sub(FIELD, line).split()
+                    tokens = line.split()
                     if len(tokens) >= min_tokens:
+                        if DIGIT.search(line):
+                            tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
                         masked = " ".join(tokens)
                         leaf = xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:depth])}".encode())
                         line_ = xxhash.xxh3_64_intdigest(masked.encode("utf-8", "surrogatepass"))
