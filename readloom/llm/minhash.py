@@ -85,7 +85,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, chunk: int = 1024
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are at least that alike. texts: node, text."""
+    """The pairs (a, b) of nodes whose shingle sets are at least that alike. texts: uid, text."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple = (None, None)
@@ -97,26 +97,23 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
                 x, y = last[1], np.unique(shingle_hashes(q, words))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 either = len(x) + len(y) - both
-                keep.append(not either or both >= least * either)
+                keep.append(not either or both >= least * either - 1e-9)
             yield batch.loc[keep, ["a", "b"]]
 
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # equal texts are one node: any copy's text will do
-    needed = texts.join(ends, "node").withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("node"))).where("n = 1").select("node", "text")
-    needed = materialize(needed, "texts")
-    full = pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("p")), "a").join(needed.select(F.col("node").alias("b"), F.col("text").alias("q")), "b")
-    return full.select("a", "b", "p", "q").mapInPandas(check, "a binary, b binary")
+    full = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("q")), "b").join(texts.select(F.col("uid").alias("a"), F.col("text").alias("p")), "a")
+    return full.select("a", "b", "p", "q").mapInPandas(check, "a long, b long")
 
 
-def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
     """doc_id, node (of the text) and class of every row; in a class each is tied to another by a similarity of at least `least`.
 
     docs: doc_id, text; other columns play no part. Similarity is the Jaccard similarity of lower-cased word shingles as
     sets. Equal texts are one node and are never paired. A node's ProbMinHash signature (weights 1 + ln of a shingle's
-    count) gives band keys; nodes that share a key are candidates, and whole texts decide. First each bucket's smallest
-    node is held against the others, which settles a group of near copies in as many steps as it has members. Then, in
-    buckets that still hold several classes, every node outside the bucket's largest class is held against all of other
-    classes that 128 signature bits don't rule out (98 must agree; of pairs at 0.8, one in a million has fewer). No cap.
+    count) gives band keys; nodes that share a key are candidates, and whole texts decide. First each bucket's most connected node is
+    held against the others, so that a group of near copies is settled by about as many comparisons as it has members. In
+    buckets that still hold several classes, nodes outside the largest are held against one of its members, another in
+    each bucket, `rounds` times. What is left, a few outliers, is held against all members of other classes, with no cap.
+    Pairs that 128 signature bits rule out are not compared (98 must agree; of pairs at 0.8, one in a million has fewer).
     At 0.8 a pair shares no band once in 300,000 times; the defaults trade that for cost.
 
     Null text: empty. Texts without words are one class; shorter ones than a shingle are alike if their words are equal.
@@ -125,30 +122,47 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("node", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     rows_ = materialize(signed(docs, words, bands, rows), "signatures")
-    one = rows_.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("node"))).where("n = 1")
-    keys = one.select("node", F.col("bits")[0].alias("s"), F.col("bits")[1].alias("t"), F.explode("bands").alias("key"))
-    pivot = keys.groupBy("key").agg(F.min(F.struct("node", "s", "t")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "p")
-    shared = materialize(keys.join(pivot, "key"), "buckets")  # buckets of two nodes at least
-    agree = lambda s, t, u, v: F.bit_count(F.col(s).bitwiseXOR(F.col(u))) + F.bit_count(F.col(t).bitwiseXOR(F.col(v))) <= 30
-    star = shared.where((F.col("node") != F.col("p.node")) & agree("s", "t", "p.s", "p.t")).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-    texts = docs.select("node", "text")
-    links = materialize(verified(star, texts, words, least), "links")
+    first = Window.partitionBy("node").orderBy("node")
+    one = rows_.withColumn("n", F.row_number().over(first)).where("n = 1").select("node", "bands", "bits")
+    one = materialize(one.withColumn("uid", F.monotonically_increasing_id()), "nodes")
+    keys = one.select("uid", F.explode("bands").alias("key"))
+    shared = materialize(keys.join(keys.groupBy("key").count().where("count > 1"), "key"), "shared")  # buckets of two nodes at least
+    degree = shared.groupBy("uid").agg(F.sum("count").alias("degree"))
+    known = materialize(one.select("uid", "node", F.col("bits")[0].alias("s"), F.col("bits")[1].alias("t")).join(degree, "uid"), "known")
+    buckets = materialize(shared.select("key", "uid").join(known.drop("node"), "uid"), "buckets")
+    texts = docs.select("node", "text").join(known.select("node", "uid"), "node").withColumn("n", F.row_number().over(first))
+    texts = materialize(texts.where("n = 1").select("uid", "text"), "texts")  # equal texts are one node: any copy's will do
+    agree = lambda x, y: F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) + F.bit_count(F.col(f"{x}.t").bitwiseXOR(F.col(f"{y}.t"))) <= 30
+    pair = (F.least("p.uid", "q.uid").alias("a"), F.greatest("p.uid", "q.uid").alias("b"))
+    q = F.struct("uid", "s", "t").alias("q")
+
+    pivots = buckets.groupBy("key").agg(F.max_by(F.struct("uid", "s", "t"), F.struct("degree", "uid")).alias("p"))
+    tested = materialize(buckets.select("key", q).join(pivots, "key").where((F.col("p.uid") != F.col("q.uid")) & agree("p", "q")).select(*pair).distinct(), "pairs")
+    links = materialize(verified(tested, texts, words, least), "links")
     label = connected_components(links)
-    named = shared.select("key", "node", "s", "t").join(label, "node", "left").select("key", "node", "s", "t", F.coalesce("component", "node").alias("label"))
-    named = materialize(named, "named")
-    sizes = named.groupBy("key", "label").count()
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "main")
-    there = named.join(mixed, "key")
-    few = there.where("label <> main").select("key", F.col("node").alias("x"), F.col("s").alias("s1"), F.col("t").alias("t1"), F.col("label").alias("l1"))
-    cross = few.join(there, (few.key == there.key) & (F.col("l1") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("node"))) & agree("s1", "t1", "s", "t"))
-    cross = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    cross = materialize(cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
-    if cross.head(1):
-        late = materialize(verified(cross, texts, words, least), "links")
+    for turn in range(rounds + 1):
+        named = materialize(buckets.join(label, F.col("uid") == F.col("node"), "left").select("key", "uid", "s", "t", F.coalesce("component", "uid").alias("label")), "named")
+        sizes = named.groupBy("key", "label").count()
+        mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "main")
+        there = materialize(named.join(mixed, "key"), "mixed")
+        others = there.where("label <> main").select("key", q, F.col("label").alias("l1"))
+        if turn < rounds:
+            pivots = there.where("label = main").groupBy("key").agg(F.max_by(F.struct("uid", "s", "t"), F.xxhash64(F.lit(turn), "uid", "key")).alias("p"))
+            pairs = others.join(pivots, "key").where(agree("p", "q"))
+        else:
+            all_ = there.select("key", F.struct("uid", "s", "t").alias("p"), "label", "main")
+            on = (others.key == all_.key) & (F.col("l1") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("q.uid") < F.col("p.uid"))) & agree("p", "q")
+            pairs = others.join(all_, on)
+        pairs = materialize(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.head(1):
+            continue
+        late = materialize(verified(pairs, texts, words, least), "links")
+        tested = tested.unionByName(pairs)
         if late.head(1):
-            label = connected_components(links.unionByName(late))
-    member = rows_.select("doc_id", "node").join(label, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
-    return materialize(member, "members")
+            links = links.unionByName(late)
+            label = connected_components(links)
+    of = one.select("node", "uid").join(label.withColumnRenamed("node", "u"), F.col("uid") == F.col("u"), "left").select("node", F.coalesce("component", "uid").alias("class"))
+    return materialize(rows_.select("doc_id", "node").join(of, "node"), "members")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
