@@ -42,7 +42,7 @@ r AS (SELECT i, batch, -ln(1 - u) * 2.0::DOUBLE AS v, [-ln(1 - u) * 2.0::DOUBLE]
 UNION ALL SELECT b.i, b.batch, -ln(1 - b.u) * r.mean, list_append(r.past, -ln(1 - b.u) * r.mean)[-10:], 0.9::DOUBLE * r.mean + 0.1::DOUBLE * list_avg(list_append(r.past, -ln(1 - b.u) * r.mean)[-10:]) FROM r JOIN b ON b.i = r.i + 1),
 d AS (SELECT batch, v AS interval_s FROM r) {OUT}""")
 def timing_adaptive(spark, sf):
-    b = batches(spark, sf).where("batch < 120").withColumn("u", uniform("adapt", F.col("batch")))
+    b = batches(spark, sf).withColumn("u", uniform("adapt", F.col("batch")))
     return out(T.adaptive_intervals(b, 2.0))
 
 

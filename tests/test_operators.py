@@ -129,6 +129,31 @@ def test_adaptive_matches_a_loop(spark):
     assert got == pytest.approx(want)
 
 
+def test_adaptive_schedules_are_whole_and_fold_in_blocks(spark):
+    import math
+
+    rows = [(g, b, (b * 37 + len(g or "") * 11 + 5) % 97 / 100) for g, n in (("a", 31), ("bb", 8), (None, 3)) for b in range(n)]
+    d = spark.createDataFrame(rows, "g string, batch int, u double")
+    for history in (1, 3, 10):
+        got = {(r["g"], r["batch"]): r["interval_s"] for r in timing.adaptive_intervals(d, 2.0, history=history, by=["g"], block=4).collect()}
+        assert len(got) == len(rows)
+        for g in ("a", "bb", None):
+            mean, past = 2.0, []
+            for _, b, u in (r for r in rows if r[0] == g):
+                v = -math.log(1 - u) * mean
+                assert got[g, b] == pytest.approx(v)
+                past = (past + [v])[-history:]
+                if len(past) > 1:
+                    mean = 0.9 * mean + 0.1 * sum(past) / len(past)
+
+
+def test_timing_adaptive_has_every_batch(spark, tmp_path):
+    from readloom.plans.registry import QUERIES
+
+    spark.range(0, 100_000, 100).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r["batch"] for r in QUERIES["timing_adaptive"](spark, str(tmp_path)).collect()) == list(range(200))
+
+
 def test_generated_reads(spark):
     g = spark.createDataFrame([("a", "ACGT" * 1500, 120), ("b", "GGCCAATT" * 20, 30), ("none", "", 5)], "genome string, seq string, n long")
     d = generating.generate(g, per_file=50, mean_length=300, std_length=100, min_length=50, seed=1)
