@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -40,26 +40,51 @@ def masked_lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "node", "text").mapInPandas(split, LINE).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def templates(lines: DataFrame, min_constant: float, min_docs: int, min_share: float) -> DataFrame:
+def keys(tokens: Column, depth: int, salts: int) -> Column:
+    """Up to `salts` hashes of a line's tokens at two places after the leading ones: all pairs of places of a short line, a spread of them of a long one.
+    Lines of one template share each key that misses its fields. Two places or fewer are keys by themselves."""
+    rest = F.size(tokens) - depth
+    pairs = F.when(rest > 2, (rest.cast("long") * (rest - 1) / 2).cast("long")).otherwise(F.greatest(rest, F.lit(1)).cast("long"))
+
+    def key(k: Column) -> Column:
+        t = F.pmod(k.cast("long") * 1_000_003 + 17, pairs)
+        high = F.when(rest > 2, F.floor((1 + F.sqrt(1 + 8 * t)) / 2).cast("long")).otherwise(t)
+        low = F.when(rest > 2, t - (high * (high - 1) / 2).cast("long")).otherwise(t)
+        return F.xxhash64("leaf", low, high, F.get(tokens, (low + depth).cast("int")), F.get(tokens, (high + depth).cast("int")))
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.least(pairs, F.lit(salts).cast("long")) - 1), key)
+
+
+def templates(lines: DataFrame, min_constant: float, min_share: float, depth: int, salts: int = 16) -> DataFrame:
     """(leaf, line, template): lines of one leaf that agree but for their variable fields have one template.
 
-    A line that recurs by itself is its own template. Of the leaf's others, a token that two documents and min_share of
-    them have at a position is constant there, any other a field. A line of which less than min_constant would be constant
-    stays as it is. Lines come summed up, so a line of very many documents is one.
+    Lines of a leaf that share a key of two more tokens are a group; a leaf has any number of them, whatever its size, and a
+    line is in several. A token that two distinct lines and min_share of a group's have at a position is constant there, any
+    other a field; a line counts once, however many texts hold it, so frequent variants have the template of their rarer ones.
+    Of the forms in which at least min_constant of a line is constant, that of the most texts is its template. A line
+    without one stays as it is. Lines come summed up, so a line of very many documents is one.
     """
     once = lines.groupBy("leaf", "line", "node").agg(F.min("masked").alias("masked"))
     each = materialize(once.groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("docs")), "lines")
-    rare = each.where(F.col("docs") < min_docs)
-    leaves = rare.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("all")).where("n > 1").select("leaf", "all")
-    several = rare.join(leaves.select("leaf"), "leaf").select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    known = several.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).where("support > 1")
-    known = known.join(leaves, "leaf").where(F.col("support") >= min_share * F.col("all")).select("leaf", "pos", "token", F.lit(True).alias("constant"))
-    constant = F.coalesce("constant", F.lit(False)) & (F.col("token") != FIELD)
-    formed = several.join(known, ["leaf", "pos", "token"], "left").groupBy("leaf", "line").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.when(constant, F.col("token")).otherwise(FIELD).alias("t")))).alias("p"),
-        F.avg(constant.cast("double")).alias("share"),
-    )
-    general = formed.where(F.col("share") >= min_constant).select("leaf", "line", F.xxhash64(F.array_join(F.transform("p", lambda x: x["t"]), " ")).alias("general"))
+    open_ = each.where("masked <> ''")
+    leaves = open_.groupBy("leaf").count().where("count > 1").select("leaf")
+    several = materialize(open_.join(leaves, "leaf").select("leaf", "line", "docs", F.split("masked", " ").alias("tokens")), "several")
+    keyed = several.select("leaf", "line", F.explode(keys(F.col("tokens"), depth, salts)).alias("key"))
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line")).alias("x")).where("n > 1")
+    # keys of the same lines are one group
+    member = keyed.join(groups, "key").select("leaf", "line", F.xxhash64("leaf", "n", "x").alias("group"), "n").distinct()
+    member = materialize(member.join(several, ["leaf", "line"]), "groups")
+    counts = member.select("group", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("group", "n", "pos", "token").agg(F.count(F.lit(1)).alias("c"))
+    constant = (F.col("c") > 1) & (F.col("c") >= min_share * F.col("n")) & (F.col("token") != FIELD)
+    places = counts.groupBy("group", "pos").agg(F.collect_list(F.when(constant, F.col("token"))).alias("held"))
+    known = places.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "held"))).alias("places"))
+    form = F.zip_with("tokens", "places", lambda t, p: F.when(F.array_contains(p["held"], t), t).otherwise(FIELD))
+    formed = member.join(known, "group").select("leaf", "line", "docs", form.alias("form"))
+    share = F.size(F.filter("form", lambda t: t != FIELD)) / F.size("form")
+    formed = formed.select("leaf", "line", "docs", share.alias("share"), F.xxhash64(F.array_join("form", " ")).alias("general"))
+    formed = materialize(formed.where(F.col("share") >= min_constant).distinct(), "forms")
+    support = formed.groupBy("leaf", "general").agg(F.sum("docs").alias("support"))
+    general = formed.join(support, ["leaf", "general"]).groupBy("leaf", "line").agg(F.max_by("general", F.struct("support", "share", "general")).alias("general"))
     return each.select("leaf", "line").join(general, ["leaf", "line"], "left").select("leaf", "line", F.coalesce("general", "line").alias("template"))
 
 
@@ -80,7 +105,7 @@ def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_
     pairs = lines.select("leaf", "node").distinct()
     leaves = pairs.groupBy("leaf").count().where("count > 1").select("leaf")
     shared = lines.join(leaves, "leaf")
-    of = materialize(templates(shared, min_constant, min_docs, min_share), "templates")
+    of = materialize(templates(shared, min_constant, min_share, depth), "templates")
     lines_of = materialize(lines.select("doc_id", "node", "no", "tokens", "leaf", "line").join(of, ["leaf", "line"]).select("doc_id", "node", "no", "tokens", "leaf", "template"), "matched")
     by_text = lines_of.groupBy("leaf", "template", "node").agg(F.max("tokens").alias("tokens"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no", "node")).alias("first"))
     found = by_text.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.max("tokens").alias("tokens"), F.min("first").alias("first"))

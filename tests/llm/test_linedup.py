@@ -1,3 +1,5 @@
+import random
+
 from readloom.llm import linedup, queries
 
 
@@ -25,6 +27,23 @@ def test_what_stays(spark):
     assert all(r["n_dropped"] == 0 for r in run(spark, texts).values())  # two texts and a copy; lines under five tokens
 
 
+def test_a_leaf_holds_several_templates(spark):
+    """Four templates of a quarter each, with the same number of tokens and the same leading words, among unrelated lines."""
+    ends = ["alpha beta gamma delta epsilon {} zeta", "one two three four five {} six", "red green blue black white {} grey", "north south east west up {} down"]
+    texts = [f"own {chr(97 + k)}{chr(97 + i)}\nThe same start {e.format('name' + chr(97 + i) + 'x')}" for i in range(5) for k, e in enumerate(ends)]
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts += [f"other {word()}\nThe same start {' '.join(word() for _ in range(7))}" for _ in range(100)]
+    assert [r["n_dropped"] for _, r in sorted(run(spark, texts).items())] == [0] * 4 + [1] * 16 + [0] * 100
+
+
+def test_frequent_variants_are_one_template(spark):
+    """Each value of the field is in three texts, but for the last two, which are in one."""
+    names = [chr(97 + v) * 4 for v in range(12) for _ in range(3)] + ["rare", "seldom"]
+    texts = [f"own {chr(97 + i % 26)}{chr(97 + i // 26)}\nThis report was filed by {n} for the northern office of the service" for i, n in enumerate(names)]
+    assert [r["n_dropped"] for _, r in sorted(run(spark, texts).items())] == [0] + [1] * 37
+
+
 def test_long_passages_need_two_texts(spark):
     passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     got = run(spark, [f"a\n{passage}\nz", f"b\n{passage}", "other text"])
