@@ -1,4 +1,4 @@
-"""Near-duplicate documents by ProbMinHash signatures of weighted shingles, banding, and exact verification."""
+"""Near-duplicate documents by ProbMinHash signatures of shingle sets, banding, and exact verification."""
 
 from __future__ import annotations
 
@@ -46,9 +46,9 @@ def prob_minhash(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarra
 
 
 def weighted(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, each weighing 1 + ln of its count."""
-    h, n = np.unique(shingle_hashes(text, words), return_counts=True)
-    return h, 1.0 + np.log(n)
+    """Distinct shingle hashes, each of weight 1, for links are between sets: registers agree with their Jaccard similarity."""
+    h = np.unique(shingle_hashes(text, words))
+    return h, np.ones(len(h))
 
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -108,8 +108,8 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     """doc_id, node (of the text) and class of every row; in a class each is tied to another by a similarity of at least `least`.
 
     docs: doc_id, text; other columns play no part. Similarity is the Jaccard similarity of lower-cased word shingles as
-    sets. Equal texts are one node and are never paired. A node's ProbMinHash signature (weights 1 + ln of a shingle's
-    count) gives band keys; nodes that share a key are candidates, and whole texts decide. First each bucket's most connected node is
+    sets. Equal texts are one node and are never paired. A node's ProbMinHash signature (weight 1 for every
+    distinct shingle, so that it estimates the similarity that is verified) gives band keys; nodes that share a key are candidates, and whole texts decide. First each bucket's most connected node is
     held against the others, so that a group of near copies is settled by about as many comparisons as it has members. In
     buckets that still hold several classes, nodes outside the largest are held against one of its members, another in
     each bucket, `rounds` times. What is left, a few outliers, is held against all members of other classes, with no cap.

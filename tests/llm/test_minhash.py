@@ -72,6 +72,19 @@ def test_groups_of_near_copies_match_brute_force(spark):
     assert sorted(kept) == sorted(set(brute(docs).values()))
 
 
+def test_repeated_passages_match_brute_force(spark):
+    """Pairs of nearly equal sets whose repeat counts are opposite."""
+    rng, docs = random.Random(9), []
+    for _ in range(60):
+        x, y = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+        docs += [" ".join(x * 20 + y), " ".join(x + y * 20)]
+    docs = list(enumerate(docs))
+    want = brute(docs)
+    assert len(set(want.values())) == 60
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(d).collect()} == want
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
