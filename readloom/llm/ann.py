@@ -31,6 +31,15 @@ def hash_strings(x: np.ndarray, turns: np.ndarray, symbols: int) -> np.ndarray:
     return out
 
 
+def lifted(x: np.ndarray, longest: np.ndarray | None) -> np.ndarray:
+    """x with one more component: vectors that are indexed get what they lack to the longest length, each of its own, and queries (None) zero,
+    so that a larger inner product with a query is a smaller angle to it. A query's length plays no part."""
+    if longest is None:
+        return np.column_stack([x, np.zeros(len(x))])
+    x = x / longest[:, None]
+    return np.column_stack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))])
+
+
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """vec_id, embedding (doubles) of vectors that take part, one a vec_id, and their dimension: that of most of them."""
     e = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -44,13 +53,15 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
 def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64, symbols: int = 3, block: int = 32_768, keep: int = 28, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every vector whose vec_id is divisible by `every`, but for itself.
 
-    vectors: vec_id, embedding; other columns play no part. Equal vectors are indexed once; the k + 1 smallest vec_ids of each
+    vectors: vec_id, embedding; other columns play no part. What is indexed is lifted by a component, by which the nearest by
+    inner product are the nearest by angle, whatever the vectors' lengths; one in a thousand, the longest, to a length of
+    their own. Equal vectors are indexed once; the k + 1 smallest vec_ids of each
     come back at the end, and no other could be among the k nearest. Each tree orders the hash strings of all vectors. A
     query descends to its longest prefix in every tree and ascends, in all trees at once, symbol by symbol, until the
     prefixes hold 20 * N ** 0.6 candidates. These ranges are then read: rows and queries of a tree's prefix meet in a task,
     where the strings are a sorted array, and are compared by vectors of 8 bits a component; the best keep of each tree are
     compared by the original vectors in double precision. A prefix of more than `block` rows is split and its queries go to
-    each part, so no task's rows grow with the table. At the root, for small tables, all rows are candidates.
+    each part, so no task's rows grow with the table. At the root, for tables of fewer rows than that, all rows are candidates.
 
     Vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no part. Of
     rows that repeat a vec_id the smallest vector counts. Ties go to the smaller vec_id. Null vec_id: no part. No rows: no rows.
@@ -61,18 +72,25 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     ranked = materialize(ranked.select("node", "vec_id", F.when(F.col("n") == 1, F.col("embedding")).alias("embedding")), "vectors")
     nodes = ranked.where("embedding is not null").select("node", "embedding")
     total = nodes.count()
-    base = 2 * dim
+    base = 2 * (dim + 1)
+    # in parts of the largest component, whose square may be no double
+    largest = nodes.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0] or 1.0
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / F.lit(largest)) * (x / F.lit(largest))))
+    # a few very long vectors would make all others' directions nothing: they are lifted to lengths of their own
+    norms = nodes.agg(F.percentile_approx(norm, [0.999, 0.99999, 1.0], 1_000_000)).first()[0] or [1.0]
+    longest = F.coalesce(*[F.when(norm <= m, F.lit(m)) for m in norms], norm)
     queries = materialize(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("node"), "embedding"), "queries")
 
     def index(kind: int):
         def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            turns = rotations(dim, trees, symbols, seed)
+            turns = rotations(dim + 1, trees, symbols, seed)
             for batch in batches:
                 if not len(batch):
                     continue
                 x = np.array(batch["embedding"].tolist(), np.float64)
+                up = None if kind else lifted(x / largest, batch["longest"].to_numpy())
                 x /= np.abs(x).max(axis=1, keepdims=True)
-                codes = hash_strings(x.astype(np.float32), turns, symbols)
+                codes = hash_strings((lifted(x, None) if kind else up).astype(np.float32), turns, symbols)
                 packed = np.rint(x * 127).astype(np.int8) if not kind else x.astype(np.float32)
                 yield pd.DataFrame({"node": batch["node"].to_numpy(), "codes": list(codes), "vec": [v.tobytes() for v in packed]})
 
@@ -80,7 +98,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
 
     schema = "node long, codes array<long>, vec binary"
     size = nodes.select("node", F.array_max(F.transform("embedding", F.abs)).cast("float").alias("size"))
-    coded = materialize(nodes.mapInPandas(index(0), schema).join(size, "node"), "codes")
+    coded = materialize(nodes.withColumn("longest", longest).mapInPandas(index(0), schema).join(size, "node"), "codes")
     asked = materialize(queries.mapInPandas(index(1), schema), "asked")
     of = lambda level: F.floor(F.col("code") / F.lit(base ** (symbols - level))).cast("long")
     strings = coded.select(F.posexplode("codes").alias("tree", "code"))
@@ -94,7 +112,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     at = asked.select("node", F.posexplode("codes").alias("tree", "code"))
     at = at.select("node", "tree", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), of(v).alias("prefix")) for v in range(1, symbols + 1)])).alias("p")).select("node", "tree", "p.*")
     held = at.join(counts, ["tree", "level", "prefix"]).groupBy("node", "level").agg(F.sum("count").alias("held"))
-    deep = held.where(F.col("held") >= wanted).groupBy("node").agg(F.max("level").alias("level"))
+    deep = held.where((F.col("held") >= wanted) & F.lit(wanted < total)).groupBy("node").agg(F.max("level").alias("level"))
     asked = materialize(asked.join(deep, "node", "left").withColumn("level", F.coalesce("level", F.lit(0))), "levels")
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -45,6 +45,15 @@ def test_prefixes_of_larger_tables(spark):
     assert [v for v, _ in got[3600][:3]] == [3601, 3602, 3603]
 
 
+def test_vectors_of_unequal_length(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 64))
+    x *= np.exp(rng.normal(size=(20_000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall(ranked(ann.search(d, every=200)), brute(rows, 200)) >= 0.9
+
+
 def test_odd_vectors_and_empty_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 1.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (40, [nan, 1.0])]
