@@ -17,9 +17,9 @@ DIGIT = re.compile(r"\d")
 LINE = "doc_id string, node binary, no int, tokens int, leaf long, line long, masked string"
 
 
-def masked_lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """LINE's columns of every line of at least min_tokens tokens. A token with a digit is a variable field. The leaf of the
-    tree is the number of tokens and the first depth of them."""
+def masked_lines(docs: DataFrame, min_tokens: int, depth: int, min_fixed: float) -> DataFrame:
+    """LINE's columns of every line of at least min_tokens tokens. A token with a digit is a variable field; a line of
+    which less than min_fixed is without digits, such as a row of numbers, stays as it is, and its masked is empty. The leaf of the tree is the number of tokens and the first depth of them."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -28,11 +28,16 @@ def masked_lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
                 for no, line in enumerate(text.split("\n")):
                     tokens = line.split()
                     if len(tokens) >= min_tokens:
+                        masked = whole = " ".join(tokens)
                         if DIGIT.search(line):
-                            tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
-                        masked = " ".join(tokens)
+                            fields = [FIELD if DIGIT.search(t) else t for t in tokens]
+                            if len(tokens) - fields.count(FIELD) >= min_fixed * len(tokens):
+                                tokens = fields
+                                masked = whole = " ".join(tokens)
+                            else:
+                                masked = ""
                         leaf = xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:depth])}".encode())
-                        line_ = xxhash.xxh3_64_intdigest(masked.encode("utf-8", "surrogatepass"))
+                        line_ = xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass"))
                         rows.append((doc, node, no, len(tokens), leaf - (1 << 63), line_ - (1 << 63), masked))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
 
@@ -88,7 +93,7 @@ def templates(lines: DataFrame, min_constant: float, min_share: float, depth: in
     return each.select("leaf", "line").join(general, ["leaf", "line"], "left").select("leaf", "line", F.coalesce("general", "line").alias("template"))
 
 
-def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_constant: float = 0.7, min_share: float = 0.34, min_docs: int = 3, long_tokens: int = 50) -> DataFrame:
+def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_constant: float = 0.7, min_share: float = 0.34, min_docs: int = 3, long_tokens: int = 50, min_fixed: float = 0.5) -> DataFrame:
     """All columns of docs, text without the lines whose template recurs across documents, and n_lines and n_dropped.
 
     docs: doc_id, text and any others; columns named n_lines or n_dropped are replaced, n_chars follows the text if it is
@@ -101,7 +106,7 @@ def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     node = F.unhex(F.md5(F.encode("text", "UTF-8")))
-    lines = materialize(masked_lines(docs.where("text is not null").select("doc_id", "text", node.alias("node")), min_tokens, depth), "masked")
+    lines = materialize(masked_lines(docs.where("text is not null").select("doc_id", "text", node.alias("node")), min_tokens, depth, min_fixed), "masked")
     pairs = lines.select("leaf", "node").distinct()
     leaves = pairs.groupBy("leaf").count().where("count > 1").select("leaf")
     shared = lines.join(leaves, "leaf")

@@ -44,6 +44,11 @@ def test_frequent_variants_are_one_template(spark):
     assert [r["n_dropped"] for _, r in sorted(run(spark, texts).items())] == [0] + [1] * 37
 
 
+def test_rows_of_numbers_stay(spark):
+    texts = [f"own {chr(97 + i)}\n{i}2 {i}4 {i}6 {i}8 9{i}\n7 8 9 10 11" for i in range(6)]
+    assert [r["n_dropped"] for _, r in sorted(run(spark, texts).items())] == [0] + [1] * 5  # what recurs as it is goes
+
+
 def test_long_passages_need_two_texts(spark):
     passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     got = run(spark, [f"a\n{passage}\nz", f"b\n{passage}", "other text"])
