@@ -17,8 +17,8 @@ DIGIT = re.compile(r"\d")
 LINE = "doc_id string, node binary, no int, tokens int, leaf long, line long, masked string"
 
 
-def masked_lines(docs: DataFrame, min_tokens: int, depth: int, min_fixed: float) -> DataFrame:
-    """LINE's columns of every line of at least min_tokens tokens. A token with a digit is a variable field; a line of
+def masked_lines(docs: DataFrame, min_tokens: int, depth: int, min_fixed: float, min_exact: int) -> DataFrame:
+    """LINE's columns of every line of at least min_exact tokens; of fewer than min_tokens, it stays as it is. A token with a digit is a variable field; a line of
     which less than min_fixed is without digits, such as a row of numbers, stays as it is, and its masked is empty. The leaf of the tree is the number of tokens and the first depth of them."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -27,9 +27,11 @@ def masked_lines(docs: DataFrame, min_tokens: int, depth: int, min_fixed: float)
             for doc, node, text in zip(batch["doc_id"], batch["node"], batch["text"], strict=True):
                 for no, line in enumerate(text.split("\n")):
                     tokens = line.split()
-                    if len(tokens) >= min_tokens:
+                    if len(tokens) >= min_exact:
                         masked = whole = " ".join(tokens)
-                        if DIGIT.search(line):
+                        if len(tokens) < min_tokens:
+                            masked = ""
+                        elif DIGIT.search(line):
                             fields = [FIELD if DIGIT.search(t) else t for t in tokens]
                             if len(tokens) - fields.count(FIELD) >= min_fixed * len(tokens):
                                 tokens = fields
@@ -93,20 +95,21 @@ def templates(lines: DataFrame, min_constant: float, min_share: float, depth: in
     return each.select("leaf", "line").join(general, ["leaf", "line"], "left").select("leaf", "line", F.coalesce("general", "line").alias("template"))
 
 
-def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_constant: float = 0.7, min_share: float = 0.34, min_docs: int = 3, long_tokens: int = 50, min_fixed: float = 0.5) -> DataFrame:
+def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_constant: float = 0.7, min_share: float = 0.34, min_docs: int = 3, long_tokens: int = 50, min_fixed: float = 0.5, min_exact: int | None = None) -> DataFrame:
     """All columns of docs, text without the lines whose template recurs across documents, and n_lines and n_dropped.
 
     docs: doc_id, text and any others; columns named n_lines or n_dropped are replaced, n_chars follows the text if it is
     there. A template recurs if min_docs different texts hold it, or two if it has long_tokens tokens. Its first line, by
     doc_id and place, stays, so that nothing is lost to the corpus; copies of a text are treated alike, for whole copies are
-    another operator's business. Lines of fewer than min_tokens tokens stay.
+    another operator's business. Lines of fewer than min_tokens tokens stay, or, if min_exact
+    is given, count as they are from so many tokens on.
 
     Null and empty texts stay as they are. Null doc_id: after all numbers. Repeated rows are treated alike. A line, leaf or
     text with very many rows is summed up before it meets others, or joined by a key that Spark can split. No rows: no rows.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     node = F.unhex(F.md5(F.encode("text", "UTF-8")))
-    lines = materialize(masked_lines(docs.where("text is not null").select("doc_id", "text", node.alias("node")), min_tokens, depth, min_fixed), "masked")
+    lines = materialize(masked_lines(docs.where("text is not null").select("doc_id", "text", node.alias("node")), min_tokens, depth, min_fixed, min_tokens if min_exact is None else min_exact), "masked")
     pairs = lines.select("leaf", "node").distinct()
     leaves = pairs.groupBy("leaf").count().where("count > 1").select("leaf")
     shared = lines.join(leaves, "leaf")

@@ -30,7 +30,7 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), min_exact=1)
 
 
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:

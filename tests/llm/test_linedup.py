@@ -44,6 +44,12 @@ def test_frequent_variants_are_one_template(spark):
     assert [r["n_dropped"] for _, r in sorted(run(spark, texts).items())] == [0] + [1] * 37
 
 
+def test_short_lines_that_recur(spark):
+    texts = [f"own {chr(97 + i)}\nAll rights reserved.\n\nPage {i}" for i in range(4)]
+    assert [r["n_dropped"] for _, r in sorted(run(spark, texts, min_exact=1).items())] == [0, 1, 1, 1]
+    assert not any(r["n_dropped"] for r in run(spark, texts).values())
+
+
 def test_rows_of_numbers_stay(spark):
     texts = [f"own {chr(97 + i)}\n{i}2 {i}4 {i}6 {i}8 9{i}\n7 8 9 10 11" for i in range(6)]
     assert [r["n_dropped"] for _, r in sorted(run(spark, texts).items())] == [0] + [1] * 5  # what recurs as it is goes
