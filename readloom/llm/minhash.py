@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -69,21 +69,50 @@ def bits128(signatures: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int, chunk: int = 1024) -> DataFrame:
-    """doc_id, node (of the whole text), bands, bits of every row."""
-    schema = "doc_id string, node binary, bands array<long>, bits array<long>"
+    """doc_id, node (of the whole text), bands, bits and n, the number of distinct shingles, of every row."""
+    schema = "doc_id string, node binary, bands array<long>, bits array<long>, n int"
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), chunk):
                 part = batch.iloc[i : i + chunk]
-                s = prob_minhash([weighted(t, words) for t in part["text"]], bands * rows)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "node": part["node"].to_numpy(), "bands": list(band_keys(s, bands, rows).view(np.int64)), "bits": list(bits128(s).view(np.int64))})
+                sets = [weighted(t, words) for t in part["text"]]
+                s = prob_minhash(sets, bands * rows)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "node": part["node"].to_numpy(), "bands": list(band_keys(s, bands, rows).view(np.int64)), "bits": list(bits128(s).view(np.int64)), "n": [len(h) for h, _ in sets]})
 
     # the id travels as text: pandas would make floats of longs beside nulls
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "node")
     return slim.mapInPandas(sign, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def own_shingles(texts: DataFrame, words: int, held: int = 4_000_000) -> DataFrame:
+    """uid and own of texts (uid, text): how many distinct shingles no other of these texts has; texts without any are left out.
+
+    Each task sums up what it has read before it is shuffled, so a shingle of very many texts is a row a task.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, owners, size = [], [], 0
+
+        def summed() -> pd.DataFrame:
+            h, at, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+            return pd.DataFrame({"h": h.view(np.int64), "uid": np.concatenate(owners)[at], "n": np.minimum(n, 2)})
+
+        for batch in batches:
+            for uid, text in zip(batch["uid"], batch["text"], strict=True):
+                hashes.append(np.unique(shingle_hashes(text, words)))
+                owners.append(np.full(len(hashes[-1]), uid, np.int64))
+                size += len(hashes[-1])
+                if size >= held:
+                    yield summed()
+                    hashes, owners, size = [], [], 0
+        if size:
+            yield summed()
+
+    alone = texts.select("uid", "text").mapInPandas(count, "h long, uid long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("uid").alias("uid")).where("n = 1")
+    return alone.groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets are at least that alike. texts: uid, text."""
 
@@ -110,9 +139,15 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     docs: doc_id, text; other columns play no part. Similarity is the Jaccard similarity of lower-cased word shingles as
     sets. Equal texts are one node and are never paired. A node's ProbMinHash signature (weight 1 for every
     distinct shingle, so that it estimates the similarity that is verified) gives band keys; nodes that share a key are candidates, and whole texts decide. First each bucket's most connected node is
-    held against the others, so that a group of near copies is settled by about as many comparisons as it has members. In
-    buckets that still hold several classes, nodes outside the largest are held against one of its members, another in
-    each bucket, `rounds` times. What is left, a few outliers, is held against all members of other classes, with no cap.
+    held against the others, so that a group of near copies is settled by about as many comparisons as it has members.
+
+    Then only buckets that still hold several classes are open. Two sets share at least least / (1 + least) of their sizes'
+    sum, and none of the shingles that one node alone has among the open ones. So nodes with too many shingles of
+    their own can have no further link and leave, exactly and without being paired; in a large group whose members are a
+    little less alike than `least` that is nearly all. The rest, outside a bucket's largest class, is held against one
+    member of that class, another in each bucket, `rounds` times, and what is left after that against all members of other
+    classes whose sizes and shared shingles allow a link, with no cap.
+
     Pairs that 128 signature bits rule out are not compared (98 must agree; of pairs at 0.8, one in a million has fewer).
     At 0.8 a pair shares no band once in 300,000 times; the defaults trade that for cost.
 
@@ -122,36 +157,43 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("node", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     rows_ = materialize(signed(docs, words, bands, rows), "signatures")
-    first = Window.partitionBy("node").orderBy("node")
-    one = rows_.withColumn("n", F.row_number().over(first)).where("n = 1").select("node", "bands", "bits")
+    one = rows_.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.any_value("n").alias("n"))
     one = materialize(one.withColumn("uid", F.monotonically_increasing_id()), "nodes")
     keys = one.select("uid", F.explode("bands").alias("key"))
     shared = materialize(keys.join(keys.groupBy("key").count().where("count > 1"), "key"), "shared")  # buckets of two nodes at least
     degree = shared.groupBy("uid").agg(F.sum("count").alias("degree"))
-    known = materialize(one.select("uid", "node", F.col("bits")[0].alias("s"), F.col("bits")[1].alias("t")).join(degree, "uid"), "known")
+    known = materialize(one.select("uid", "node", "n", F.col("bits")[0].alias("s"), F.col("bits")[1].alias("t")).join(degree, "uid"), "known")
     buckets = materialize(shared.select("key", "uid").join(known.drop("node"), "uid"), "buckets")
-    texts = docs.select("node", "text").join(known.select("node", "uid"), "node").withColumn("n", F.row_number().over(first))
-    texts = materialize(texts.where("n = 1").select("uid", "text"), "texts")  # equal texts are one node: any copy's will do
+    texts = docs.select("node", "text").join(known.select("node", "uid"), "node")
+    texts = materialize(texts.groupBy("uid").agg(F.any_value("text").alias("text")), "texts")  # equal texts are one node: any copy's will do
     agree = lambda x, y: F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) + F.bit_count(F.col(f"{x}.t").bitwiseXOR(F.col(f"{y}.t"))) <= 30
+    needed = lambda x, y: least / (1 + least) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6  # shingles in common
+    may = lambda x, y: agree(x, y) & (F.least(f"{x}.most", f"{y}.most") >= needed(x, y))
     pair = (F.least("p.uid", "q.uid").alias("a"), F.greatest("p.uid", "q.uid").alias("b"))
-    q = F.struct("uid", "s", "t").alias("q")
+    node = F.struct("uid", "s", "t", "n", F.col("n").alias("most"))
 
-    pivots = buckets.groupBy("key").agg(F.max_by(F.struct("uid", "s", "t"), F.struct("degree", "uid")).alias("p"))
-    tested = materialize(buckets.select("key", q).join(pivots, "key").where((F.col("p.uid") != F.col("q.uid")) & agree("p", "q")).select(*pair).distinct(), "pairs")
+    pivots = buckets.groupBy("key").agg(F.max_by(node, F.struct("degree", "uid")).alias("p"))
+    tested = materialize(buckets.select("key", node.alias("q")).join(pivots, "key").where((F.col("p.uid") != F.col("q.uid")) & may("p", "q")).select(*pair).distinct(), "pairs")
     links = materialize(verified(tested, texts, words, least), "links")
     label = connected_components(links)
+    open_ = buckets
     for turn in range(rounds + 1):
-        named = materialize(buckets.join(label, F.col("uid") == F.col("node"), "left").select("key", "uid", "s", "t", F.coalesce("component", "uid").alias("label")), "named")
-        sizes = named.groupBy("key", "label").count()
-        mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "main")
-        there = materialize(named.join(mixed, "key"), "mixed")
-        others = there.where("label <> main").select("key", q, F.col("label").alias("l1"))
+        named = open_.select("key", "uid", "s", "t", "n").join(label, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "uid")).drop("node", "component")
+        there = materialize(several(materialize(named, "named")), "open")
+        if not there.head(1):
+            break
+        own = own_shingles(texts.join(there.select("uid").distinct(), "uid", "left_semi"), words)
+        linkable = there.drop("main").join(own, "uid", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= least * F.col("n") - 1e-6).drop("own")
+        there = materialize(several(materialize(linkable, "linkable")), "open")
+        open_ = there
+        node = F.struct("uid", "s", "t", "n", "most")
+        others = there.where("label <> main").select("key", node.alias("q"), F.col("label").alias("l1"))
         if turn < rounds:
-            pivots = there.where("label = main").groupBy("key").agg(F.max_by(F.struct("uid", "s", "t"), F.xxhash64(F.lit(turn), "uid", "key")).alias("p"))
-            pairs = others.join(pivots, "key").where(agree("p", "q"))
+            pivots = there.where("label = main").groupBy("key").agg(F.max_by(node, F.xxhash64(F.lit(turn), "uid", "key")).alias("p"))
+            pairs = others.join(pivots, "key").where(may("p", "q"))
         else:
-            all_ = there.select("key", F.struct("uid", "s", "t").alias("p"), "label", "main")
-            on = (others.key == all_.key) & (F.col("l1") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("q.uid") < F.col("p.uid"))) & agree("p", "q")
+            all_ = there.select("key", node.alias("p"), "label", "main")
+            on = (others.key == all_.key) & (F.col("l1") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("q.uid") < F.col("p.uid"))) & may("p", "q")
             pairs = others.join(all_, on)
         pairs = materialize(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.head(1):
@@ -165,6 +207,13 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     return materialize(rows_.select("doc_id", "node").join(of, "node"), "members")
 
 
+def several(named: DataFrame) -> DataFrame:
+    """Those rows of named (key, label and others) whose key has several labels, with the label that most of the key's rows have as main."""
+    sizes = named.groupBy("key", "label").count()
+    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
+    return named.join(mixed, "key")
+
+
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id and class_id of every row: the smallest doc_id of its class; a class of null ids alone has a null class_id. See classes()."""
     member = classes(docs, **options)
@@ -174,9 +223,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One row of docs, unchanged, for each class: that of the smallest doc_id, nulls last, then of the smallest text hash. See classes()."""
-    first = Window.partitionBy("class").orderBy(F.asc_nulls_last("doc_id"), "node")
-    keep = classes(docs, **options).withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__of"))
-    rows = docs.withColumn("__node", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
-    rows = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__of")))
-    one = Window.partitionBy("__id", "__node").orderBy(F.lit(0))
-    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first")
+    keep = classes(docs, **options).groupBy("class").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__of"))
+    key = (F.col("doc_id").cast("long").alias("__doc"), F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("__node"))
+    rows = docs.groupBy(*key).agg(F.any_value(F.struct(*docs.columns)).alias("__row"))  # rows that repeat are one before they are shuffled
+    return rows.join(keep, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__of"))).select("__row.*")

@@ -72,6 +72,36 @@ def test_groups_of_near_copies_match_brute_force(spark):
     assert sorted(kept) == sorted(set(brute(docs).values()))
 
 
+def test_a_large_group_a_little_under_the_threshold(spark):
+    """Thousands of edits of one text, most of them 0.55 to 0.85 alike: a few classes, and very many texts alone."""
+    rng, base, texts = random.Random(11), [f"w{i}" for i in range(150)], set()
+    while len(texts) < 2000:
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8])):
+            words[rng.randrange(150)] = f"new{rng.randrange(400)}"
+        texts.add(" ".join(words))
+    texts = sorted(texts)
+    names: dict = {}
+    at = [(i, names.setdefault(x, len(names))) for i, t in enumerate(texts) for x in shingles(t)]
+    m = np.zeros((len(texts), len(names)), np.float32)
+    m[tuple(np.array(at).T)] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    near = both * 1.8 >= 0.8 * (n[:, None] + n) - 1e-3
+    want, left = np.arange(len(texts)), True
+    while left:
+        low = np.where(near, want, len(texts)).min(axis=1)
+        left, want = bool((low < want).any()), low
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert 100 < len(set(want.tolist())) < 1900
+    assert got == dict(enumerate(want.tolist()))
+
+
+def test_own_shingles(spark):
+    d = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (3, "h i j k l m n"), (4, "")], "uid long, text string")
+    for held in (1, 100):
+        assert {r["uid"]: r["own"] for r in minhash.own_shingles(d, 5, held).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_repeated_passages_match_brute_force(spark):
     """Pairs of nearly equal sets whose repeat counts are opposite."""
     rng, docs = random.Random(9), []
