@@ -85,18 +85,20 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, chunk: int = 1024
     return slim.mapInPandas(sign, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def own_shingles(texts: DataFrame, words: int, held: int = 4_000_000) -> DataFrame:
-    """uid and own of texts (uid, text): how many distinct shingles no other of these texts has; texts without any are left out.
+def set_rows(texts: DataFrame, words: int, schema: str, held: int = 2_000_000) -> DataFrame:
+    """schema's columns of the distinct shingles of texts (uid, text): "h long, n long" sums up, before any shuffle, how many of a task's texts
+    have a shingle; "uid long, h long" has a row for each shingle of each text."""
+    sums = schema.startswith("h")
 
-    Each task sums up what it has read before it is shuffled, so a shingle of very many texts is a row a task.
-    """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, owners, size = [], [], 0
 
-        def summed() -> pd.DataFrame:
-            h, at, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-            return pd.DataFrame({"h": h.view(np.int64), "uid": np.concatenate(owners)[at], "n": np.minimum(n, 2)})
+        def some() -> pd.DataFrame:
+            h = np.concatenate(hashes)
+            if not sums:
+                return pd.DataFrame({"uid": np.concatenate(owners), "h": h.view(np.int64)})
+            h, n = np.unique(h, return_counts=True)
+            return pd.DataFrame({"h": h.view(np.int64), "n": n})
 
         for batch in batches:
             for uid, text in zip(batch["uid"], batch["text"], strict=True):
@@ -104,13 +106,33 @@ def own_shingles(texts: DataFrame, words: int, held: int = 4_000_000) -> DataFra
                 owners.append(np.full(len(hashes[-1]), uid, np.int64))
                 size += len(hashes[-1])
                 if size >= held:
-                    yield summed()
+                    yield some()
                     hashes, owners, size = [], [], 0
         if size:
-            yield summed()
+            yield some()
+
+    return texts.select("uid", "text").mapInPandas(rows, schema)
 
-    alone = texts.select("uid", "text").mapInPandas(count, "h long, uid long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("uid").alias("uid")).where("n = 1")
-    return alone.groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Pairs p, q of nodes (uid, n, label and others) of different labels that may be at least `least` alike; none that is so is missing.
+
+    Two sets that alike share t = least / (1 + least) of their sizes' sum at least. A shingle that one node alone has is in no
+    such share; the others are put in one order, rarest first. The first that a pair shares is then followed by t - 1
+    more in either set, so only sets that meet in a shingle that comes so early can be a pair. In a large group of edits of one text whose members are
+    a little less alike than `least`, what comes early are the edits, which few have, not the text that all have.
+    """
+    of = materialize(texts.join(nodes.select("uid"), "uid", "left_semi").select("uid", "text"), "open-texts")
+    counts = set_rows(of, words, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")).where("c > 1")
+    shared = set_rows(of, words, "uid long, h long").join(counts, "h").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"))  # as many as a text has words
+    early = nodes.join(shared, "uid").withColumn("most", F.size("hs")).withColumn("len", F.floor(F.col("most") - least * F.col("n") + 1 + 1e-6).cast("int")).where("len > 0")
+    early = early.select("uid", F.struct(*nodes.columns, "most").alias("x"), F.posexplode(F.slice("hs", F.lit(1), F.col("len"))).alias("at", "e")).select("uid", "x", "at", F.col("e.h").alias("h"))
+    early = materialize(early, "early")
+    several_ = materialize(early.groupBy("h").agg(F.min("x.label").alias("lo"), F.max("x.label").alias("hi")).where("lo < hi").select("h"), "meeting")
+    early = materialize(early.join(several_, "h"), "meeting")
+    p, q = early.select("h", F.col("x").alias("p"), F.col("at").alias("i")), early.select(F.col("h").alias("h2"), F.col("x").alias("q"), F.col("at").alias("j"))
+    needed = least / (1 + least) * (F.col("p.n") + F.col("q.n")) - 1e-6
+    return p.join(q, (F.col("h") == F.col("h2")) & (F.col("p.uid") < F.col("q.uid")) & (F.col("p.label") != F.col("q.label")) & (F.col("i") <= F.col("p.most") - needed) & (F.col("j") <= F.col("q.most") - needed))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -141,12 +163,9 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     distinct shingle, so that it estimates the similarity that is verified) gives band keys; nodes that share a key are candidates, and whole texts decide. First each bucket's most connected node is
     held against the others, so that a group of near copies is settled by about as many comparisons as it has members.
 
-    Then only buckets that still hold several classes are open. Two sets share at least least / (1 + least) of their sizes'
-    sum, and none of the shingles that one node alone has among the open ones. So nodes with too many shingles of
-    their own can have no further link and leave, exactly and without being paired; in a large group whose members are a
-    little less alike than `least` that is nearly all. The rest, outside a bucket's largest class, is held against one
-    member of that class, another in each bucket, `rounds` times, and what is left after that against all members of other
-    classes whose sizes and shared shingles allow a link, with no cap.
+    Of buckets that still hold several classes, what is outside the largest is held against one
+    member of that class, another in each bucket, `rounds` times. What is left after that is held against all members of other
+    classes, with no cap, by prefix_pairs(): exactly, and without listing the pairs of a bucket.
 
     Pairs that 128 signature bits rule out are not compared (98 must agree; of pairs at 0.8, one in a million has fewer).
     At 0.8 a pair shares no band once in 300,000 times; the defaults trade that for cost.
@@ -164,38 +183,30 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     degree = shared.groupBy("uid").agg(F.sum("count").alias("degree"))
     known = materialize(one.select("uid", "node", "n", F.col("bits")[0].alias("s"), F.col("bits")[1].alias("t")).join(degree, "uid"), "known")
     buckets = materialize(shared.select("key", "uid").join(known.drop("node"), "uid"), "buckets")
-    texts = docs.select("node", "text").join(known.select("node", "uid"), "node")
-    texts = materialize(texts.groupBy("uid").agg(F.any_value("text").alias("text")), "texts")  # equal texts are one node: any copy's will do
+    texts = docs.groupBy("node").agg(F.any_value("text").alias("text"))  # equal texts are one node: any copy's will do
+    texts = materialize(texts.join(known.select("node", "uid"), "node").select("uid", "text"), "texts")
     agree = lambda x, y: F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) + F.bit_count(F.col(f"{x}.t").bitwiseXOR(F.col(f"{y}.t"))) <= 30
-    needed = lambda x, y: least / (1 + least) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6  # shingles in common
-    may = lambda x, y: agree(x, y) & (F.least(f"{x}.most", f"{y}.most") >= needed(x, y))
+    alike = lambda x, y: agree(x, y) & (F.least(f"{x}.n", f"{y}.n") >= least * F.greatest(f"{x}.n", f"{y}.n") - 1e-6)
     pair = (F.least("p.uid", "q.uid").alias("a"), F.greatest("p.uid", "q.uid").alias("b"))
-    node = F.struct("uid", "s", "t", "n", F.col("n").alias("most"))
+    node = F.struct("uid", "s", "t", "n")
 
     pivots = buckets.groupBy("key").agg(F.max_by(node, F.struct("degree", "uid")).alias("p"))
-    tested = materialize(buckets.select("key", node.alias("q")).join(pivots, "key").where((F.col("p.uid") != F.col("q.uid")) & may("p", "q")).select(*pair).distinct(), "pairs")
+    tested = materialize(buckets.select("key", node.alias("q")).join(pivots, "key").where((F.col("p.uid") != F.col("q.uid")) & alike("p", "q")).select(*pair).distinct(), "pairs")
     links = materialize(verified(tested, texts, words, least), "links")
     label = connected_components(links)
-    open_ = buckets
+    open_ = buckets.select("key", "uid", "s", "t", "n")
     for turn in range(rounds + 1):
-        named = open_.select("key", "uid", "s", "t", "n").join(label, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "uid")).drop("node", "component")
-        there = materialize(several(materialize(named, "named")), "open")
-        if not there.head(1):
+        named = open_.join(label, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "uid")).drop("node", "component")
+        open_ = materialize(several(materialize(named, "named")), "open")
+        if not open_.head(1):
             break
-        own = own_shingles(texts.join(there.select("uid").distinct(), "uid", "left_semi"), words)
-        linkable = there.drop("main").join(own, "uid", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") >= least * F.col("n") - 1e-6).drop("own")
-        there = materialize(several(materialize(linkable, "linkable")), "open")
-        open_ = there
-        node = F.struct("uid", "s", "t", "n", "most")
-        others = there.where("label <> main").select("key", node.alias("q"), F.col("label").alias("l1"))
         if turn < rounds:
-            pivots = there.where("label = main").groupBy("key").agg(F.max_by(node, F.xxhash64(F.lit(turn), "uid", "key")).alias("p"))
-            pairs = others.join(pivots, "key").where(may("p", "q"))
+            pivots = open_.where("label = main").groupBy("key").agg(F.max_by(node, F.xxhash64(F.lit(turn), "uid", "key")).alias("p"))
+            pairs = open_.where("label <> main").select("key", node.alias("q")).join(pivots, "key")
         else:
-            all_ = there.select("key", node.alias("p"), "label", "main")
-            on = (others.key == all_.key) & (F.col("l1") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("q.uid") < F.col("p.uid"))) & may("p", "q")
-            pairs = others.join(all_, on)
-        pairs = materialize(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = prefix_pairs(open_.select("uid", "s", "t", "n", "label").distinct(), texts, words, least)
+        pairs = materialize(pairs.where(alike("p", "q")).select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        open_ = open_.drop("label", "main")
         if not pairs.head(1):
             continue
         late = materialize(verified(pairs, texts, words, least), "links")
@@ -217,7 +228,7 @@ def several(named: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id and class_id of every row: the smallest doc_id of its class; a class of null ids alone has a null class_id. See classes()."""
     member = classes(docs, **options)
-    low = member.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    low = materialize(member.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class-ids")  # written, so that Spark can split a large class in the join
     return member.join(low, "class").select("doc_id", "class_id")
 
 

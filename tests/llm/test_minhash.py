@@ -96,10 +96,21 @@ def test_a_large_group_a_little_under_the_threshold(spark):
     assert got == dict(enumerate(want.tolist()))
 
 
-def test_own_shingles(spark):
-    d = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (3, "h i j k l m n"), (4, "")], "uid long, text string")
-    for held in (1, 100):
-        assert {r["uid"]: r["own"] for r in minhash.own_shingles(d, 5, held).collect()} == {1: 1, 2: 1, 3: 3}
+def test_prefix_pairs_lose_no_link(spark):
+    rng, texts = random.Random(3), []
+    for _ in range(150):
+        words = [f"w{i}" for i in range(rng.choice([30, 40, 42]))]
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    sets = [shingles(t) for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    nodes = spark.createDataFrame([(i, len(s), i % 7) for i, s in enumerate(sets)], "uid long, n int, label long")
+    got = {(r["p"]["uid"], r["q"]["uid"]) for r in minhash.prefix_pairs(nodes, d, 5, 0.8).collect()}
+    every = [(i, j) for j in range(len(sets)) for i in range(j) if i % 7 != j % 7]
+    links = {(i, j) for i, j in every if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert links and links <= got and len(got) < len(every) / 2
 
 
 def test_repeated_passages_match_brute_force(spark):
