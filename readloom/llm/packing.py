@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import random
 import re
 import zlib
@@ -22,22 +23,32 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class Tokens:
     """Ids of whole texts as little-endian 32-bit bytes, by the ranks of a byte-level BPE.
 
+    The spelling of a special token is that token wherever it occurs, as in the `tokenizers` file; what stands around it is encoded by itself.
     Every chunk of text that starts at a single blank is encoded once and kept: the pattern starts a new token there, if
     no other white space touches that blank. A text where some does is encoded whole. The store is bounded.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 300_000):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] | None = None, most: int = 300_000):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.double, self.seen, self.most = re.compile(r"\s\s"), {}, most
+        self.special = {k: np.array([i], "<u4").tobytes() for k, i in (special or {}).items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if special else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encoder.encode_ordinary(text), "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        if self.marks and any(k in text for k in self.special):
+            return b"".join(self.special.get(x) or self.ordinary(x) for x in self.marks.split(text))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
+        if not text:
+            return b""
         if " " not in text or text[-1].isspace() or any(" " in m for m in self.double.findall(text)):
             return self.whole(text)
         first, *rest = text.split(" ")
@@ -53,11 +64,11 @@ class Tokens:
         return b"".join(out)
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int] | None, capacity: int, end_id: int = 0) -> DataFrame:
     """PIECE's columns: each document's ids and end_id, cut into pieces of capacity if there are more, the first one the rest."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, end = Tokens(ranks_path, pattern), np.array([end_id], "<u4").tobytes()
+        tokens, end = Tokens(ranks_path, pattern, special), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -106,7 +117,7 @@ def fitness(fill: list[int], capacity: int) -> tuple[int, float]:
 
 
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random, full: float) -> list[list[int]]:
-    """A child of a: a part of b's well-filled bins goes in whole, a's bins that share a document with them are undone, and the displaced ones are best-fitted, largest first."""
+    """A child of a: a part of b's well-filled bins goes in whole, a's bins that share a document with them are undone, and the displaced ones are exchanged for smaller ones of bins with room, then best-fitted, largest first."""
     good = [x for x in b if sum(sizes[i] for i in x) >= full * capacity]
     given = [x for x in good if rng.random() < 0.5]
     there = {i for x in given for i in x}
@@ -118,10 +129,29 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
         else:
             loose += rest
     fill = [sum(sizes[i] for i in x) for x in bins]
-    best_fit(sorted(loose, key=lambda i: -sizes[i]), sizes, bins, fill, capacity)
+    loose = exchanged(loose, sizes, bins, fill, capacity)
+    best_fit(loose, sizes, bins, fill, capacity)
     return bins
 
 
+def exchanged(loose: list[int], sizes: list[int], bins: list[list[int]], fill: list[int], capacity: int) -> list[int]:
+    """What is loose, largest first, after each bin has given up documents for larger loose ones that fill it better, the fullest fit first."""
+    loose = sorted(loose, key=lambda i: sizes[i])
+    at = [sizes[i] for i in loose]
+    for b, x in enumerate(bins):
+        room, k = capacity - fill[b], 0
+        while room and loose and k < len(x):
+            n = bisect.bisect_right(at, sizes[x[k]] + room) - 1
+            if n >= 0 and at[n] > sizes[x[k]]:
+                out, x[k], more = x[k], loose.pop(n), at.pop(n)
+                room, fill[b] = room - more + sizes[out], fill[b] + more - sizes[out]
+                n = bisect.bisect_right(at, sizes[out])
+                loose.insert(n, out)
+                at.insert(n, sizes[out])
+            k += 1
+    return loose[::-1]
+
+
 def evolve(sizes: list[int], start: list[list[list[int]]], capacity: int, seed: int, population: int, children: int, full: float = 0.98) -> list[list[list[int]]]:
     """The two best groupings after some children; start: groupings that come from elsewhere."""
     rng, found = random.Random(seed), [*start]
@@ -187,7 +217,7 @@ def islands(items: DataFrame, capacity: int, n_islands: int, population: int, ch
     return lived.join(best, ["block", "island"]).select("block", "uid", F.col("a").alias("bin"), "length")
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, *, capacity: int = 2048, end_id: int = 0, block_items: int = 2048, n_islands: int = 2, population: int = 6, children: int = 8, epochs: int = 2, full: float = 0.995, levels: int = 8, seed: int = 5) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int] | None = None, *, capacity: int = 2048, end_id: int = 0, block_items: int = 2048, n_islands: int = 2, population: int = 6, children: int = 16, epochs: int = 2, full: float = 0.995, levels: int = 8, seed: int = 5) -> DataFrame:
     """PIECE's columns, sequence_id and offset: all documents in as few sequences of at most capacity tokens as the search finds.
 
     docs: doc_id, text; other columns play no part. A piece of capacity tokens is a sequence of its own. The others are
@@ -196,12 +226,12 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, capacity: int = 2048
     the documents of the others meet in new blocks, level by level, until they fit one block or no longer get fewer.
     Texts stay in the tasks that read them; only lengths are shuffled.
 
-    Null text: empty, that is end_id alone. Null or repeated ids: each row is packed by itself. No rows: no rows.
+    special: spellings of tokens that are their ids wherever they occur. Null text: empty, that is end_id alone. Null or repeated ids: each row is packed by itself. No rows: no rows.
     """
-    cut = pieces(docs, ranks_path, pattern, capacity, end_id).withColumn("uid", F.monotonically_increasing_id())
+    cut = pieces(docs, ranks_path, pattern, special, capacity, end_id).withColumn("uid", F.monotonically_increasing_id())
     cut = materialize(cut, "pieces")
     placed = [cut.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    open_ = cut.where(F.col("length") < capacity).select("uid", F.col("length").cast("int").alias("length"), F.xxhash64("doc_id", "piece", "ids_crc32").alias("h"))
+    open_ = cut.where(F.col("length") < capacity).select("uid", F.col("length").cast("int").alias("length"), F.xxhash64("doc_id", "piece", "ids_crc32", "uid").alias("h"))
     count = open_.count()
     for level in range(levels):
         if not count:

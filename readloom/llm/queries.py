@@ -33,11 +33,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), min_exact=1)
 
 
-def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
-    """(path, pattern) of a public vocabulary: the ranks of byte_bpe_50k.json, whose ids they give."""
+#: Fixed value: the special token of byte_bpe_50k.json, which its rank file doesn't hold.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str, dict[str, int]]:
+    """(path, pattern, special tokens) of a public vocabulary: the ranks of byte_bpe_50k.json, whose ids they give."""
     import public_tokenizers
 
-    return public_tokenizers.path(name), public_tokenizers.PATTERN
+    return public_tokenizers.path(name), public_tokenizers.PATTERN, SPECIAL
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

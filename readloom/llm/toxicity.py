@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Seed words of the lexical transducer, by symbol. I insult, T threat, Y target, N negation, R reported speech.
+#: Seed words of the lexical transducer, by symbol, in English, German, French and Spanish. I insult, T threat, Y target, N negation, R reported speech.
 SEED = {
-    "I": "idiot idiots moron morons scum trash loser losers stupid worthless pathetic disgusting clown dumb vermin filth imbecile cretin".split(),
-    "T": "kill hurt destroy beat shoot stab burn hang murder crush".split(),
-    "Y": "you your yours u he him she her they them these those people everyone".split(),
-    "N": "not no never neither nor isn't aren't wasn't don't doesn't didn't won't cannot can't".split(),
-    "R": "said says say told wrote claimed claims quoted reported reports according called".split(),
+    "I": "idiot idiots moron morons scum trash loser losers stupid worthless pathetic disgusting clown dumb vermin filth imbecile cretin idioten dumm abschaum ungeziefer versager imbécile crétin ordure vermine idiota idiotas imbécil estúpido escoria".split(),
+    "T": "kill hurt destroy beat shoot stab burn hang murder crush töten umbringen erschießen verprügeln tuer frapper égorger matar golpear apuñalar".split(),
+    "Y": "you your yours u he him she her they them these those people everyone du dich dir ihr euch toi vous vos ustedes vosotros".split(),
+    "N": "not no never neither nor isn't aren't wasn't don't doesn't didn't won't cannot can't nicht kein keine nie niemals ne pas jamais nunca jamás".split(),
+    "R": "said says say told wrote claimed claims quoted reported reports according called sagte sagt schrieb laut déclaré écrit selon dijo dice escribió según".split(),
 }
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+")
 STOPS = frozenset(".!?;:\n")
@@ -128,13 +129,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, entries: int = 2_000, evidence: float = 25.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, chance: float = 0.05) -> Model:
     """Learn a lexicon and a scale from labelled rows that aren't held out.
 
     docs: doc_id, text. labels: doc_id, toxic. At most sample rows are used, those of the smallest hash of doc_id. On about
-    three quarters, words and prefixes are kept that toxic documents hold far more often (a likelihood ratio of at least
-    evidence), the strongest entries of them, without prefixes that a longer entry explains better; on the rest, which did not choose them, a logistic scale is fitted to the
-    grammar's signals. No labels: the seed insults and a fixed scale.
+    three quarters, words and prefixes are kept that toxic documents hold far more often, if a likelihood-ratio test says so
+    at the level chance, shared by all that were tested (so the evidence that is asked for follows the number of words, in
+    small and large samples alike), without prefixes that a longer entry explains better. On the rest, which did not choose
+    them, a logistic scale is fitted to the grammar's signals. No labels: the seed insults and a fixed scale. The lexicon is
+    as large as the sample's significant words, which the sample bounds.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     picked = materialize(known.withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(sample), "labelled")
@@ -162,9 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, entries: int =
         rate = (a + b) / (na + nb)
         ratio = 2 * (term(a, rate * na) + term(b, rate * nb) + term(na - a, (1 - rate) * na) + term(nb - b, (1 - rate) * nb))
         odds = F.ln(((a + 0.5) / (na + 1)) / ((b + 0.5) / (nb + 1)))
-        best = counts.where("f <> ''").select("f", "a", "b", ratio.alias("g"), odds.alias("w")).where((F.col("g") >= evidence) & (F.col("w") >= 2.0)).orderBy(F.desc("g"), "f").limit(entries)
-        found = best.collect()  # at most entries rows
-        lexicon = lexicon | {r["f"]: r["w"] / 4 for r in found if not explained(r, found)}
+        tested = counts.where("f <> ''")
+        evidence = NormalDist().inv_cdf(1 - chance / 2 / max(1, tested.count())) ** 2
+        best = tested.select("f", "a", "b", ratio.alias("g"), odds.alias("w")).where((F.col("g") >= evidence) & (F.col("w") >= 2.0))
+        lexicon = lexicon | {f: w / 4 for f, w in unexplained(best.collect())}  # significant words of the sample
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(lexicon)
@@ -176,12 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, entries: int =
     return Model(lexicon, logistic(points) if len(points) and 0 < points["y"].sum() < len(points) else (-4.0, 4.0, 4.0))
 
 
-def explained(r, entries: list) -> bool:
-    """Whether a prefix owes most of its toxic documents to one longer entry, which clean documents hold less often."""
-    if not r["f"].endswith("*"):
-        return False
-    stem = r["f"][:-1]
-    return any(x["f"] != r["f"] and x["f"].startswith(stem) and x["a"] >= 0.6 * r["a"] and x["b"] * r["a"] < r["b"] * x["a"] for x in entries)
+def unexplained(entries: list) -> list[tuple[str, float]]:
+    """(f, w) of entries, without prefixes that owe most of their toxic documents to one longer entry, which clean documents hold less often."""
+    longer: dict[str, list] = {}
+    for x in entries:
+        for k in PREFIXES:
+            if len(x["f"].removesuffix("*")) >= k and x["f"] != x["f"][:k] + "*":
+                longer.setdefault(x["f"][:k] + "*", []).append(x)
+    return [(r["f"], r["w"]) for r in sorted(entries, key=lambda r: r["f"]) if not any(x["a"] >= 0.6 * r["a"] and x["b"] * r["a"] < r["b"] * x["a"] for x in longer.get(r["f"], []))]
 
 
 def logistic(points: pd.DataFrame, ridge: float = 0.05, rounds: int = 60) -> tuple[float, float, float]:
