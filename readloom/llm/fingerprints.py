@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, uniform
 from .shingles import shingle_hashes
 
 SPAN = float(2**64)
@@ -55,9 +56,12 @@ def from_text(s: str) -> np.ndarray:
 
 
 def merge_groups(prints: DataFrame, key: str, k: int = 256) -> DataFrame:
-    """(key, hashes): the k smallest distinct hashes of each group's array column hashes. Groups of any size: each task keeps k at most of a group before the shuffle."""
-    one = prints.select(key, F.explode("hashes").alias("h")).distinct()
-    low = one.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("h"))).where(F.col("n") <= k)
+    """(key, hashes): the k smallest distinct hashes of each group's array column hashes. Groups of any size: what a task
+    has read is dealt over some parts of a group, each keeps k, and k of a part at most meet."""
+    part = Window.partitionBy(key, "part").orderBy("h")
+    one = prints.select(key, F.explode("hashes").alias("h")).distinct().withColumn("part", F.pmod("h", F.lit(64)))
+    low = one.withColumn("n", F.row_number().over(part)).where(F.col("n") <= k).drop("n", "part")
+    low = low.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("h"))).where(F.col("n") <= k)
     return low.groupBy(key).agg(F.array_sort(F.collect_list("h")).alias("hashes"))
 
 
@@ -65,32 +69,37 @@ def with_next(docs: DataFrame, step, schema: str, parts: int) -> DataFrame:
     """step(doc_id, text, next document's text) for each row, where next is by descending doc_id and the first follows the last.
 
     Rows are dealt into ranges of doc_id, with one more row for each range: the first of the next one. One shuffle of the
-    texts; a task streams through its sorted ranges and holds two texts at a time. Ties of doc_id come by text; null ids
-    come last.
+    texts; a task streams through its sorted ranges and holds two texts at a time. Null ids come last. Rows of one id, and
+    those without, come by a hash of their text and then by text; as many of them as several ranges hold are split by that hash.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    at = sorted(set(d.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    at = [int(x) for x in at]
-    if at:
-        edges = F.array(*map(F.lit, at))
-        steps = len(at).bit_length() + 1
-        found = F.aggregate(
-            F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).cast("long").alias("lo"), F.lit(len(at)).cast("long").alias("hi")),
-            lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.element_at(edges, (F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int")) <= F.col("doc_id"), F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).alias("hi"))),
+    d = d.withColumn("u", uniform(F.col("text")))
+    n = d.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()
+    none = -(-(n["rows"] - n["ids"]) * parts // max(1, n["rows"]))  # ranges of rows without an id
+    some = max(1, parts - none)
+    at = [int(x) for x in d.where("doc_id is not null").approxQuantile("doc_id", [i / some for i in range(1, some)], 0.25 / some)] if some > 1 else []
+    edges = sorted(Counter(at).items())  # a frequent id is the edge of several ranges
+    base = F.lit(none).cast("int")
+    if edges:
+        ids, last = F.array(*[F.lit(x) for x, _ in edges]), F.array(*[F.lit(sum(c for _, c in edges[: i + 1])) for i in range(len(edges))])
+        width = F.array(*[F.lit(c) for _, c in edges])
+        low = F.aggregate(
+            F.sequence(F.lit(1), F.lit(len(edges).bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi")),
+            lambda s, _: F.transform(F.array(((s["lo"] + s["hi"]) / 2).cast("int")), lambda m: F.when(s["lo"] >= s["hi"], s).when(F.get(ids, m) <= F.col("doc_id"), F.struct((m + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"))))[0],
             lambda s: s["lo"],
-        )
-        part = F.coalesce(F.when(F.col("doc_id").isNotNull(), found), F.lit(0).cast("long"))
-    else:
-        part = F.lit(0).cast("long")
-    d = d.withColumn("part", part)
-    heads = d.groupBy("part").agg(F.max("doc_id").alias("head"))  # one row a range
+        )  # how many edges are not above the id
+        d = d.withColumn("edge", low - 1)
+        own = F.when(F.get(ids, F.col("edge")) == F.col("doc_id"), F.floor((1 - F.col("u")) * F.get(width, F.col("edge"))).cast("int")).otherwise(F.lit(0))
+        base = base + F.coalesce(F.get(last, F.col("edge")) - own, F.lit(0))
+    d = d.withColumn("part", F.when(F.col("doc_id").isNotNull(), base).otherwise(F.floor(F.col("u") * none).cast("int")))
+    heads = d.groupBy("part").agg(F.max(F.struct("doc_id", "u")).alias("head"))  # one row a range
     order = Window.orderBy("part")
     heads = heads.withColumn("to", F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     heads = materialize(heads.select(F.col("part").alias("of"), "head", "to"), "heads")
-    extra = d.join(F.broadcast(heads), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    extra = extra.groupBy("to", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("to").alias("part"), F.lit(1).alias("extra"))
-    rows = d.select("doc_id", "text", "part", F.lit(0).alias("extra")).unionByName(extra)
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "extra", F.desc_nulls_last("doc_id"), "text")
+    extra = d.join(F.broadcast(heads), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("u") == F.col("head.u")))
+    extra = extra.groupBy("to", "doc_id", "u").agg(F.min("text").alias("text")).select("doc_id", "text", "u", F.col("to").alias("part"), F.lit(1).alias("extra"))
+    rows = d.select("doc_id", "text", "u", "part", F.lit(0).alias("extra")).unionByName(extra)
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("part", "extra", F.desc_nulls_last("doc_id"), F.desc("u"), "text")
     # ids as text: pandas would make floats of longs beside nulls
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "part", "extra")
 

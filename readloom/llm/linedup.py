@@ -72,19 +72,21 @@ def templates(lines: DataFrame, min_constant: float, min_share: float, depth: in
     without one stays as it is. Lines come summed up, so a line of very many documents is one.
     """
     once = lines.groupBy("leaf", "line", "node").agg(F.min("masked").alias("masked"))
-    each = materialize(once.groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("docs")), "lines")
-    open_ = each.where("masked <> ''")
-    leaves = open_.groupBy("leaf").count().where("count > 1").select("leaf")
-    several = materialize(open_.join(leaves, "leaf").select("leaf", "line", "docs", F.split("masked", " ").alias("tokens")), "several")
+    each = materialize(once.groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("docs")), "distinct-lines")
+    # small tables of hot keys are written before they are joined, so that Spark can split the rows that meet them
+    leaves = materialize(each.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count_if(F.col("masked") != "").alias("open")).where("n > 1"), "leaves")
+    each = materialize(each.join(leaves, "leaf"), "lines")
+    several = each.where("masked <> '' and open > 1")
+    several = materialize(several.select("leaf", "line", "docs", F.split("masked", " ").alias("tokens")), "several")
     keyed = several.select("leaf", "line", F.explode(keys(F.col("tokens"), depth, salts)).alias("key"))
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line")).alias("x")).where("n > 1")
+    groups = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line")).alias("x")).where("n > 1"), "keys")
     # keys of the same lines are one group
     member = keyed.join(groups, "key").select("leaf", "line", F.xxhash64("leaf", "n", "x").alias("group"), "n").distinct()
     member = materialize(member.join(several, ["leaf", "line"]), "groups")
     counts = member.select("group", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("group", "n", "pos", "token").agg(F.count(F.lit(1)).alias("c"))
     constant = (F.col("c") > 1) & (F.col("c") >= min_share * F.col("n")) & (F.col("token") != FIELD)
     places = counts.groupBy("group", "pos").agg(F.collect_list(F.when(constant, F.col("token"))).alias("held"))
-    known = places.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "held"))).alias("places"))
+    known = materialize(places.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "held"))).alias("places")), "places")
     form = F.zip_with("tokens", "places", lambda t, p: F.when(F.array_contains(p["held"], t), t).otherwise(FIELD))
     formed = member.join(known, "group").select("leaf", "line", "docs", form.alias("form"))
     share = F.size(F.filter("form", lambda t: t != FIELD)) / F.size("form")
@@ -110,15 +112,12 @@ def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     node = F.unhex(F.md5(F.encode("text", "UTF-8")))
     lines = materialize(masked_lines(docs.where("text is not null").select("doc_id", "text", node.alias("node")), min_tokens, depth, min_fixed, min_tokens if min_exact is None else min_exact), "masked")
-    pairs = lines.select("leaf", "node").distinct()
-    leaves = pairs.groupBy("leaf").count().where("count > 1").select("leaf")
-    shared = lines.join(leaves, "leaf")
-    of = materialize(templates(shared, min_constant, min_share, depth), "templates")
+    of = materialize(templates(lines, min_constant, min_share, depth), "templates")
     lines_of = materialize(lines.select("doc_id", "node", "no", "tokens", "leaf", "line").join(of, ["leaf", "line"]).select("doc_id", "node", "no", "tokens", "leaf", "template"), "matched")
     by_text = lines_of.groupBy("leaf", "template", "node").agg(F.max("tokens").alias("tokens"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no", "node")).alias("first"))
     found = by_text.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.max("tokens").alias("tokens"), F.min("first").alias("first"))
     found = found.where((F.col("texts") >= min_docs) | ((F.col("texts") > 1) & (F.col("tokens") >= long_tokens)))
-    found = found.select("leaf", "template", F.col("first.node").alias("first_node"), F.col("first.no").alias("first_no"))
+    found = materialize(found.select("leaf", "template", F.col("first.node").alias("first_node"), F.col("first.no").alias("first_no")), "found")
     drops = lines_of.select("leaf", "template", "node", "no").join(found, ["leaf", "template"]).where("node <> first_node or no <> first_no")
     drops = materialize(drops.groupBy("node").agg(F.array_sort(F.collect_set("no")).alias("__drops")), "drops").withColumnRenamed("node", "__of")
     out = docs.select(*kept, node.alias("__node")).join(drops, F.col("__node") == F.col("__of"), "left")

@@ -83,7 +83,11 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3
     No rows: no rows.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), size.alias("size")), "mix-sizes")
+    # rows that agree are counted before they are shuffled and numbered after, so that they are dealt out like any others
+    same = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("same"))
+    runs = same.select("doc_id", "source", "size", "same", F.explode(F.expr("sequence(0L, (same - 1) div 65536)")).alias("run"))
+    nth = F.explode(F.expr("sequence(run * 65536, least(same, (run + 1) * 65536) - 1)")).alias("nth")
+    rows = materialize(runs.select("doc_id", "source", "size", nth), "mix-sizes")
     targets = materialize(source_targets(rows, weights, cap), "mix-targets").withColumnRenamed("source", "s")
     x = F.when(F.col("size") == 0, 0.0).otherwise(F.least(F.col("target") / F.col("source_size"), F.lit(float(cap))))
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("x", x).withColumn("base", F.floor("x"))
@@ -92,7 +96,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3
     sure = rows.where("x <= 0").select(*key, "doc_id", "size", F.col("base").alias("copies"))
     of = lambda n: F.ceil(n / F.lit(float(fan_in))).cast("long")
     chunks = max(1, -(-(targets.agg(F.max("n_rows")).first()[0] or 0) // fan_in))  # of the largest source
-    level = (rows.where("x > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    level = (rows.where("x > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "nth"))
              .withColumn("chunks", of(F.col("n_rows"))).select(*key, "chunks", F.pmod("h", F.col("chunks")).alias("chunk"), F.struct("h", "doc_id", "size", "base", "x").alias("item")))
     done, depth = [sure], 0
     while True:

@@ -78,3 +78,25 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert fp.fingerprint_edits(odd).count() == odd.count()
     assert fp.fingerprint_edits(odd.limit(0)).count() == 0
     assert fp.fingerprint_edits(odd.where(F.col("doc_id") == 6)).first()["near_next"] == 1.0
+
+
+def test_a_third_without_ids_and_a_third_of_one_id(spark):
+    """Ties and nulls are spread over ranges; each row's next is the following one, in one cycle."""
+    rows = [(i, f"text {i} of a row that has an id of its own") for i in range(300)]
+    rows += [(150, f"text {i} of one id that very many rows have") for i in range(300)] + [(None, f"text {i} of a row without an id") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    step = lambda doc, text, after: (doc, text, after)
+    for parts in (1, 4, 12):
+        out = fp.with_next(d, step, "doc_id string, text string, after string", parts)
+        got = out.collect()
+        after = {r["text"]: r["after"] for r in got}
+        ids = {t: i for i, t in rows}
+        assert len(got) == len(after) == 900 and sorted(after.values()) == sorted(after)
+        at, seen = next(t for i, t in rows if i == 299), []
+        for _ in range(900):
+            seen.append(ids[at])
+            at = after[at]
+        assert seen == sorted(seen, key=lambda i: -1 if i is None else i, reverse=True)
+        if parts == 12:
+            sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+            assert max(sizes) < 3 * 900 / 12

@@ -51,15 +51,28 @@ def test_a_hot_source_over_levels(spark):
 
 
 def test_expectations_hold(spark):
-    """Over some seeds a document's copies average its fraction."""
-    docs = [(i, "w " * n, s) for i, (n, s) in enumerate([(3, "a"), (50, "a"), (7, "a"), (20, "b"), (31, "b"), (9, "c"), (14, "c")])]
+    """A document's copies average its fraction: over 400 documents of one size in one chunk tree, and of each size over some seeds."""
+    docs = [(i, "w " * (20 if i % 2 else 5), "a" if i < 400 else "b") for i in range(480)]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string").cache()
-    tot = {}
-    for seed in range(12):
-        for r in mixing.mix(d, seed=seed, fan_in=4).collect():
-            t = tot.setdefault(r["doc_id"], [0, r["target"] / r["source_size"]])
-            t[0] += r["copies"] / 12
-    assert all(abs(m - p) < 0.55 for m, p in tot.values())
+    tot: dict = {}
+    for seed in range(4):
+        for r in mixing.mix(d, seed=seed, fan_in=16).collect():
+            t = tot.setdefault((r["source"], r["size"]), [0, 0, r["target"] / r["source_size"]])
+            t[0] += r["copies"]
+            t[1] += 1
+    for copies, n, want in tot.values():
+        assert abs(copies / n - want) < 4 * 0.5 / n**0.5
+
+
+def test_rows_that_repeat_are_dealt_out(spark):
+    """A third of all rows agree in everything: each is decided by itself, chunks stay small, and reruns agree."""
+    docs = [(7, "w " * 10, "a")] * 700 + [(i, "w " * (i % 30 + 1), "b") for i in range(700)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(d, fan_in=16).collect()
+    assert len(rows) == 1400
+    verify(rows, docs, 31)
+    assert sorted(rows) == sorted(mixing.mix(d.repartition(7), fan_in=16).collect())
+    assert mixing.mixed(d, fan_in=16).count() == sum(r["copies"] for r in rows)
 
 
 def test_odd_rows_and_empty_tables(spark, odd):
