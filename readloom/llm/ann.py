@@ -58,10 +58,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     their own. Equal vectors are indexed once; the k + 1 smallest vec_ids of each
     come back at the end, and no other could be among the k nearest. Each tree orders the hash strings of all vectors. A
     query descends to its longest prefix in every tree and ascends, in all trees at once, symbol by symbol, until the
-    prefixes hold 20 * N ** 0.6 candidates. These ranges are then read: rows and queries of a tree's prefix meet in a task,
+    prefixes hold 20 * N ** 0.6 candidates, or down to one symbol; only where even that holds fewer than 8 * (k + 1) does it ascend to the root. These ranges are then read: rows and queries of a tree's prefix meet in a task,
     where the strings are a sorted array, and are compared by vectors of 8 bits a component; the best keep of each tree are
     compared by the original vectors in double precision. A prefix of more than `block` rows is split and its queries go to
-    each part, so no task's rows grow with the table. At the root, for tables of fewer rows than that, all rows are candidates.
+    each part, so no task's rows grow with the table. At the root, whatever the table's size, all rows are candidates.
 
     Vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no part. Of
     rows that repeat a vec_id the smallest vector counts. Ties go to the smaller vec_id. Null vec_id: no part. No rows: no rows.
@@ -108,11 +108,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
         counts = counts.groupBy("tree", F.floor(F.col("prefix") / base).alias("prefix")).agg(F.sum("count").alias("count"))
         levels.append(counts.withColumn("level", F.lit(level)))
     counts = materialize(reduce(DataFrame.unionByName, levels).select("tree", "level", "prefix", "count"), "prefixes")
-    wanted = 20.0 * max(total, 1) ** 0.6
+    wanted, few = 20.0 * max(total, 1) ** 0.6, 8 * (k + 1)
     at = asked.select("node", F.posexplode("codes").alias("tree", "code"))
     at = at.select("node", "tree", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), of(v).alias("prefix")) for v in range(1, symbols + 1)])).alias("p")).select("node", "tree", "p.*")
     held = at.join(counts, ["tree", "level", "prefix"]).groupBy("node", "level").agg(F.sum("count").alias("held"))
-    deep = held.where((F.col("held") >= wanted) & F.lit(wanted < total)).groupBy("node").agg(F.max("level").alias("level"))
+    deep = held.where((F.col("held") >= wanted) | ((F.col("level") == 1) & (F.col("held") >= few))).groupBy("node").agg(F.max("level").alias("level"))
     asked = materialize(asked.join(deep, "node", "left").withColumn("level", F.coalesce("level", F.lit(0))), "levels")
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

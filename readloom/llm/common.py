@@ -1,21 +1,13 @@
-"""Shared helpers: the shared scratch folder, written intermediate tables, row hashes."""
+"""Shared helpers: written intermediate tables in the folder that executors share, row hashes."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-readloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from readloom.storage import shared_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

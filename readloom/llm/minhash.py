@@ -190,7 +190,7 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     pair = (F.least("p.uid", "q.uid").alias("a"), F.greatest("p.uid", "q.uid").alias("b"))
     node = F.struct("uid", "s", "t", "n")
 
-    pivots = buckets.groupBy("key").agg(F.max_by(node, F.struct("degree", "uid")).alias("p"))
+    pivots = materialize(buckets.groupBy("key").agg(F.max_by(node, F.struct("degree", "uid")).alias("p")), "pivots")
     tested = materialize(buckets.select("key", node.alias("q")).join(pivots, "key").where((F.col("p.uid") != F.col("q.uid")) & alike("p", "q")).select(*pair).distinct(), "pairs")
     links = materialize(verified(tested, texts, words, least), "links")
     label = connected_components(links)
@@ -201,7 +201,7 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
         if not open_.head(1):
             break
         if turn < rounds:
-            pivots = open_.where("label = main").groupBy("key").agg(F.max_by(node, F.xxhash64(F.lit(turn), "uid", "key")).alias("p"))
+            pivots = materialize(open_.where("label = main").groupBy("key").agg(F.max_by(node, F.xxhash64(F.lit(turn), "uid", "key")).alias("p")), "pivots")
             pairs = open_.where("label <> main").select("key", node.alias("q")).join(pivots, "key")
         else:
             pairs = prefix_pairs(open_.select("uid", "s", "t", "n", "label").distinct(), texts, words, least)
@@ -222,7 +222,7 @@ def several(named: DataFrame) -> DataFrame:
     """Those rows of named (key, label and others) whose key has several labels, with the label that most of the key's rows have as main."""
     sizes = named.groupBy("key", "label").count()
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
-    return named.join(mixed, "key")
+    return named.join(materialize(mixed, "mixed"), "key")  # written, so that Spark can split a large bucket in the join
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -34,6 +34,20 @@ def test_query(spark, sf):
         assert found == sorted(found, key=lambda f: (-f[1], f[0]))
 
 
+def test_the_forest_is_used_on_the_given_tables(spark, sf, monkeypatch):
+    """No query of them ascends to the root, and recall holds there too: given and spread lengths."""
+    levels = []
+    kept = ann.materialize
+    monkeypatch.setattr(ann, "materialize", lambda df, name: (levels.append(out) if name == "levels" else None, out)[1] if (out := kept(df, name)) is not None else None)
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    rng = np.random.default_rng(8)
+    spread = [(i, [float(v * n) for v in x]) for (i, x), n in zip(rows, np.exp(0.5 * rng.normal(size=len(rows))), strict=True)]
+    for some in (rows, spread):
+        got = ranked(ann.search(spark.createDataFrame(some, "vec_id long, embedding array<double>")))
+        assert recall(got, brute(some)) >= 0.95
+        assert levels.pop().where("level = 0").count() == 0
+
+
 def test_prefixes_of_larger_tables(spark):
     """Enough rows that queries stop above the root, one prefix that is split, and copies."""
     rng = np.random.default_rng(1)
