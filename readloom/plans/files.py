@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from readloom.operators import planning as P
 from readloom.plans.registry import query, table
 from readloom.sources import fastq, sinks
+from readloom.storage import shared_dir
 
 
 def as_reads(spark, sf):
@@ -17,10 +19,13 @@ def as_reads(spark, sf):
 
 
 def folder(spark) -> str:
-    """A new folder that executors share: under spark.checkpoint.dir where it is a local path and set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or ""
-    base = base.removeprefix("file://")
-    return tempfile.mkdtemp(prefix="spark-reads-", dir=base if base.startswith("/") else None)
+    """A new folder that executors share, for files whose names are given. Raises where the shared folder is no path that all machines mount."""
+    base = shared_dir(spark)
+    if not base.startswith(("/", "file:")):
+        raise ValueError(f"files of given names need a mounted folder, not {base}")
+    path = f"/{base.removeprefix('file:').lstrip('/')}/readloom/reads-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
 
 
 @query("fastq_roundtrip", "SELECT o_orderkey AS k, repeat('ACGT', (o_orderkey % 5 + 1)::BIGINT) AS seq FROM orders")

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a fresh local folder where it is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset, a fresh local folder for a local master. On a cluster that raises, for executors don't share one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-readloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
