@@ -31,6 +31,16 @@ def hash_strings(x: np.ndarray, turns: np.ndarray, symbols: int) -> np.ndarray:
     return out
 
 
+def first_symbols(x: np.ndarray, turns: np.ndarray, symbols: int, probes: int) -> np.ndarray:
+    """(rows, trees * probes): in each tree, the first symbols of the axes nearest to x, the nearest first."""
+    out = []
+    for r in turns[::symbols]:
+        z = x @ r
+        axis = np.argsort(-np.abs(z), axis=1, kind="stable")[:, :probes]
+        out.append(2 * axis + (np.take_along_axis(z, axis, 1) > 0))
+    return np.concatenate(out, axis=1).astype(np.int64)
+
+
 def lifted(x: np.ndarray, longest: np.ndarray | None) -> np.ndarray:
     """x with one more component: vectors that are indexed get what they lack to the longest length, each of its own, and queries (None) zero,
     so that a larger inner product with a query is a smaller angle to it. A query's length plays no part."""
@@ -50,7 +60,7 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return e.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), dim
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64, symbols: int = 3, block: int = 32_768, keep: int = 28, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64, symbols: int = 3, block: int = 32_768, keep: int = 28, probes: int = 4, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every vector whose vec_id is divisible by `every`, but for itself.
 
     vectors: vec_id, embedding; other columns play no part. What is indexed is lifted by a component, by which the nearest by
@@ -58,7 +68,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     their own. Equal vectors are indexed once; the k + 1 smallest vec_ids of each
     come back at the end, and no other could be among the k nearest. Each tree orders the hash strings of all vectors. A
     query descends to its longest prefix in every tree and ascends, in all trees at once, symbol by symbol, until the
-    prefixes hold 20 * N ** 0.6 candidates, or down to one symbol; only where even that holds fewer than 8 * (k + 1) does it ascend to the root. These ranges are then read: rows and queries of a tree's prefix meet in a task,
+    prefixes hold 20 * N ** 0.6 candidates; from one symbol it ascends to the `probes` sibling symbols nearest to it, and to
+    the root only where these hold fewer than 8 * (k + 1). These ranges are then read: rows and queries of a tree's prefix meet in a task,
     where the strings are a sorted array, and are compared by vectors of 8 bits a component; the best keep of each tree are
     compared by the original vectors in double precision. A prefix of more than `block` rows is split and its queries go to
     each part, so no task's rows grow with the table. At the root, whatever the table's size, all rows are candidates.
@@ -90,16 +101,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
                 x = np.array(batch["embedding"].tolist(), np.float64)
                 up = None if kind else lifted(x / largest, batch["longest"].to_numpy())
                 x /= np.abs(x).max(axis=1, keepdims=True)
-                codes = hash_strings((lifted(x, None) if kind else up).astype(np.float32), turns, symbols)
+                up = (lifted(x, None) if kind else up).astype(np.float32)
+                codes = hash_strings(up, turns, symbols)
                 packed = np.rint(x * 127).astype(np.int8) if not kind else x.astype(np.float32)
-                yield pd.DataFrame({"node": batch["node"].to_numpy(), "codes": list(codes), "vec": [v.tobytes() for v in packed]})
+                out = pd.DataFrame({"node": batch["node"].to_numpy(), "codes": list(codes), "vec": [v.tobytes() for v in packed]})
+                yield out.assign(firsts=list(first_symbols(up, turns, symbols, probes))) if kind else out
 
         return code
 
     schema = "node long, codes array<long>, vec binary"
     size = nodes.select("node", F.array_max(F.transform("embedding", F.abs)).cast("float").alias("size"))
     coded = materialize(nodes.withColumn("longest", longest).mapInPandas(index(0), schema).join(size, "node"), "codes")
-    asked = materialize(queries.mapInPandas(index(1), schema), "asked")
+    asked = materialize(queries.mapInPandas(index(1), f"{schema}, firsts array<long>"), "asked")
     of = lambda level: F.floor(F.col("code") / F.lit(base ** (symbols - level))).cast("long")
     strings = coded.select(F.posexplode("codes").alias("tree", "code"))
     counts = strings.groupBy("tree", of(symbols).alias("prefix")).count()
@@ -112,8 +125,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     at = asked.select("node", F.posexplode("codes").alias("tree", "code"))
     at = at.select("node", "tree", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), of(v).alias("prefix")) for v in range(1, symbols + 1)])).alias("p")).select("node", "tree", "p.*")
     held = at.join(counts, ["tree", "level", "prefix"]).groupBy("node", "level").agg(F.sum("count").alias("held"))
-    deep = held.where((F.col("held") >= wanted) | ((F.col("level") == 1) & (F.col("held") >= few))).groupBy("node").agg(F.max("level").alias("level"))
-    asked = materialize(asked.join(deep, "node", "left").withColumn("level", F.coalesce("level", F.lit(0))), "levels")
+    deep = held.where(F.col("held") >= wanted).groupBy("node").agg(F.max("level").alias("level"))
+    # level -1: one symbol and its siblings
+    wide = asked.select("node", F.posexplode("firsts").alias("at", "prefix")).select("node", F.floor(F.col("at") / probes).cast("int").alias("tree"), "prefix")
+    wide = wide.join(counts.where("level = 1"), ["tree", "prefix"]).groupBy("node").agg(F.sum("count").alias("held")).where(F.col("held") >= few).select("node", F.lit(-1).alias("wide"))
+    asked = materialize(asked.join(deep, "node", "left").join(wide, "node", "left").withColumn("level", F.coalesce("level", "wide", F.lit(0))).drop("wide"), "levels")
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         level, none = int(part["level"].iloc[0]), {"query": [], "node": [], "about": []}
@@ -140,12 +156,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
         return pd.concat(out) if out else pd.DataFrame(none)
 
     found = []
-    for level in sorted(r["level"] for r in asked.select("level").distinct().collect()):  # at most symbols + 1
-        some = 1 if level == 0 else trees
-        tree_code = lambda d, *more: d.select("node", "vec", *more, F.posexplode(F.slice("codes", 1, some)).alias("tree", "code")).withColumn("prefix", of(level))  # noqa: B023, E731
+    for level in sorted(r["level"] for r in asked.select("level").distinct().collect()):  # at most symbols + 2
+        some, depth = 1 if level == 0 else trees, abs(level)
+        tree_code = lambda d, *more: d.select("node", "vec", *more, F.posexplode(F.slice("codes", 1, some)).alias("tree", "code")).withColumn("prefix", of(depth))  # noqa: B023, E731
         r = tree_code(coded, "size").withColumn("query", F.lit(0))
-        q = tree_code(asked.where(F.col("level") == level), F.lit(1.0).cast("float").alias("size")).withColumn("query", F.lit(1))
-        large = counts.where((F.col("level") == level) & (F.col("count") > block)).select("tree", "prefix", F.ceil(F.col("count") / block).alias("parts"))
+        here = asked.where(F.col("level") == level).withColumn("size", F.lit(1.0).cast("float"))
+        if level < 0:
+            q = here.select("node", "vec", "size", F.posexplode("firsts").alias("at", "prefix")).select("node", "vec", "size", F.floor(F.col("at") / probes).cast("int").alias("tree"), (F.col("prefix") * base ** (symbols - 1)).alias("code"), "prefix")
+        else:
+            q = tree_code(here, "size")
+        q = q.withColumn("query", F.lit(1))
+        large = counts.where((F.col("level") == depth) & (F.col("count") > block)).select("tree", "prefix", F.ceil(F.col("count") / block).alias("parts"))
         if level == 0:
             r, q = r.withColumn("parts", F.lit(-(-total // block)).cast("long")), q.withColumn("parts", F.lit(-(-total // block)).cast("long"))
         else:
@@ -153,7 +174,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
         r = r.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
         q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         slots = max(1, -(-total // 4096)) if level else 1
-        both = r.unionByName(q).withColumn("slot", F.pmod(F.xxhash64("prefix"), F.lit(slots))).withColumn("level", F.lit(level))
+        both = r.unionByName(q).withColumn("slot", F.pmod(F.xxhash64("prefix"), F.lit(slots))).withColumn("level", F.lit(depth))
         found.append(both.select("tree", "slot", "part", "level", "query", "node", "code", "vec", "size").groupBy("tree", "slot", "part").applyInPandas(meet, "query long, node long, about double"))
     if not found:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
