@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/readloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation of Python work."""
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are removed at its end, but for those that are kept; nothing that outlives it may read them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+        for path in _scopes.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation of Python work. keep: also after scratch()."""
     path = scratch_path(df.sparkSession, name)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

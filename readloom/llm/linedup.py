@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 FIELD = "<*>"
 DIGIT = re.compile(r"\d")
@@ -71,12 +71,13 @@ def templates(lines: DataFrame, min_constant: float, min_share: float, depth: in
     Of the forms in which at least min_constant of a line is constant, that of the most texts is its template. A line
     without one stays as it is. Lines come summed up, so a line of very many documents is one.
     """
-    once = lines.groupBy("leaf", "line", "node").agg(F.min("masked").alias("masked"))
-    each = materialize(once.groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("docs")), "distinct-lines")
+    once = lines.groupBy("leaf", "line", "node").agg(F.max(F.col("masked") != "").alias("open"))
+    each = materialize(once.groupBy("leaf", "line").agg(F.max("open").alias("open"), F.count(F.lit(1)).alias("docs")), "distinct-lines")
     # small tables of hot keys are written before they are joined, so that Spark can split the rows that meet them
-    leaves = materialize(each.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count_if(F.col("masked") != "").alias("open")).where("n > 1"), "leaves")
-    each = materialize(each.join(leaves, "leaf"), "lines")
-    several = each.where("masked <> '' and open > 1")
+    leaves = materialize(each.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count_if("open").alias("wide")).where("n > 1"), "leaves")
+    each = materialize(each.join(leaves, "leaf").select("leaf", "line", "docs", (F.col("open") & (F.col("wide") > 1)).alias("open")), "lines")
+    masked = lines.where("masked <> ''").groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
+    several = masked.join(each.where("open").select("leaf", "line", "docs"), ["leaf", "line"])
     several = materialize(several.select("leaf", "line", "docs", F.split("masked", " ").alias("tokens")), "several")
     keyed = several.select("leaf", "line", F.explode(keys(F.col("tokens"), depth, salts)).alias("key"))
     groups = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line")).alias("x")).where("n > 1"), "keys")
@@ -111,15 +112,16 @@ def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     node = F.unhex(F.md5(F.encode("text", "UTF-8")))
-    lines = materialize(masked_lines(docs.where("text is not null").select("doc_id", "text", node.alias("node")), min_tokens, depth, min_fixed, min_tokens if min_exact is None else min_exact), "masked")
-    of = materialize(templates(lines, min_constant, min_share, depth), "templates")
-    lines_of = materialize(lines.select("doc_id", "node", "no", "tokens", "leaf", "line").join(of, ["leaf", "line"]).select("doc_id", "node", "no", "tokens", "leaf", "template"), "matched")
-    by_text = lines_of.groupBy("leaf", "template", "node").agg(F.max("tokens").alias("tokens"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no", "node")).alias("first"))
-    found = by_text.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.max("tokens").alias("tokens"), F.min("first").alias("first"))
-    found = found.where((F.col("texts") >= min_docs) | ((F.col("texts") > 1) & (F.col("tokens") >= long_tokens)))
-    found = materialize(found.select("leaf", "template", F.col("first.node").alias("first_node"), F.col("first.no").alias("first_no")), "found")
-    drops = lines_of.select("leaf", "template", "node", "no").join(found, ["leaf", "template"]).where("node <> first_node or no <> first_no")
-    drops = materialize(drops.groupBy("node").agg(F.array_sort(F.collect_set("no")).alias("__drops")), "drops").withColumnRenamed("node", "__of")
+    with scratch(docs.sparkSession):
+        lines = materialize(masked_lines(docs.where("text is not null").select("doc_id", "text", node.alias("node")), min_tokens, depth, min_fixed, min_tokens if min_exact is None else min_exact), "masked")
+        of = materialize(templates(lines, min_constant, min_share, depth), "templates")
+        lines_of = materialize(lines.select("doc_id", "node", "no", "tokens", "leaf", "line").join(of, ["leaf", "line"]).select("doc_id", "node", "no", "tokens", "leaf", "template"), "matched")
+        by_text = lines_of.groupBy("leaf", "template", "node").agg(F.max("tokens").alias("tokens"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no", "node")).alias("first"))
+        found = by_text.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.max("tokens").alias("tokens"), F.min("first").alias("first"))
+        found = found.where((F.col("texts") >= min_docs) | ((F.col("texts") > 1) & (F.col("tokens") >= long_tokens)))
+        found = materialize(found.select("leaf", "template", F.col("first.node").alias("first_node"), F.col("first.no").alias("first_no")), "found")
+        drops = lines_of.select("leaf", "template", "node", "no").join(found, ["leaf", "template"]).where("node <> first_node or no <> first_no")
+        drops = materialize(drops.groupBy("node").agg(F.array_sort(F.collect_set("no")).alias("__drops")), "drops", keep=True).withColumnRenamed("node", "__of")
     out = docs.select(*kept, node.alias("__node")).join(drops, F.col("__node") == F.col("__of"), "left")
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__drops", i)), "\n")
