@@ -52,12 +52,16 @@ def domain_of(taxids: Column, name: Column) -> Column:
     return F.coalesce(hit, F.when(F.lower(name).rlike("|".join(EUKARYOTES)), "eukaryota"), F.lit("bacteria"))
 
 
-ASSEMBLY = "accession string, assembly_info struct<assembly_level:string>, organism struct<organism_name:string,lineage:array<struct<tax_id:bigint>>>"
+ASSEMBLY = "accession string, assembly_info struct<assembly_level:string>, organism struct<organism_name:string,lineage:array<string>>, classification struct<lineage:array<string>>"
 
 
 def assemblies(lines: DataFrame, text: str = "value") -> DataFrame:
-    """accession, name, taxids, rank, domain of JSON lines; bad lines and those without an accession are left out. Bare numbers in a lineage count as taxids."""
-    norm = F.regexp_replace(text, r'([\[,]\s*)(\d+)(?=\s*[,\]])', '$1{"tax_id":$2}')
-    r = lines.select(F.from_json(norm, ASSEMBLY).alias("r")).where("r.accession is not null")
-    d = r.select("r.accession", F.coalesce("r.organism.organism_name", F.lit("")).alias("name"), F.coalesce(F.transform("r.organism.lineage", lambda x: x["tax_id"]), F.array().cast("array<bigint>")).alias("taxids"), level_rank(F.col("r.assembly_info.assembly_level")).alias("rank"))
+    """accession, name, taxids, rank, domain of JSON lines; bad lines and those without an accession are left out.
+
+    A lineage is the organism's, or else the classification's; its elements are objects with a tax_id or bare numbers.
+    """
+    r = lines.select(F.from_json(text, ASSEMBLY).alias("r")).where("r.accession is not null")
+    lineage = F.coalesce("r.organism.lineage", "r.classification.lineage", F.array().cast("array<string>"))
+    taxids = F.transform(lineage, lambda x: F.coalesce(F.get_json_object(x, "$.tax_id"), x).try_cast("bigint"))
+    d = r.select("r.accession", F.coalesce("r.organism.organism_name", F.lit("")).alias("name"), taxids.alias("taxids"), level_rank(F.col("r.assembly_info.assembly_level")).alias("rank"))
     return d.withColumn("domain", domain_of(F.col("taxids"), F.col("name")))

@@ -37,7 +37,7 @@ def timing_poisson(spark, sf):
 
 
 @query("timing_adaptive", f"""
-WITH RECURSIVE b AS (SELECT batch, row_number() OVER (ORDER BY batch) AS i, {U.format('adapt')} AS u FROM {BATCHES} WHERE batch < 120),
+WITH RECURSIVE b AS (SELECT batch, row_number() OVER (ORDER BY batch) AS i, {U.format('adapt')} AS u FROM {BATCHES}),
 r AS (SELECT i, batch, -ln(1 - u) * 2.0::DOUBLE AS v, [-ln(1 - u) * 2.0::DOUBLE] AS past, 2.0::DOUBLE AS mean FROM b WHERE i = 1
 UNION ALL SELECT b.i, b.batch, -ln(1 - b.u) * r.mean, list_append(r.past, -ln(1 - b.u) * r.mean)[-10:], 0.9::DOUBLE * r.mean + 0.1::DOUBLE * list_avg(list_append(r.past, -ln(1 - b.u) * r.mean)[-10:]) FROM r JOIN b ON b.i = r.i + 1),
 d AS (SELECT batch, v AS interval_s FROM r) {OUT}""")

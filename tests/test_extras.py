@@ -51,3 +51,9 @@ def test_delivery_to_a_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["n"] for r in spark.sql("select n from w order by w").collect()] == [10] * 4
+
+
+def test_lineages_of_mixed_elements(spark):
+    lines = ['{"accession":"A1","assembly_info":{"assembly_level":"Chromosome"},"organism":{"organism_name":"strain [1,2]","lineage":[1,{"tax_id":2157,"n":"x"}]}}', '{"accession":"A2","organism":{"organism_name":null},"classification":{"lineage":[2759,"x"]}}', "bad", '{"accession":null}']
+    got = {r["accession"]: (r["name"], r["taxids"], r["rank"], r["domain"]) for r in resolving.assemblies(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert got == {"A1": ("strain [1,2]", [1, 2157], 1, "archaea"), "A2": ("", [2759, None], 3, "eukaryota")}
