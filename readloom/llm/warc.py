@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import materialize, scratch_path
 
 #: The field lines of the two ARC versions, and the WARC profile of identical payloads.
 ARC_FIELDS = {
@@ -191,7 +191,7 @@ def convert(pages: DataFrame, path: str | None = None, min_bytes: int = 0, recor
     """
     spark = pages.sparkSession
     records = arc_records(pages_to_arc(pages))
-    ids = records.select("page_id", "digest", F.length("payload").alias("n")).where(F.col("n") >= min_bytes)
+    ids = materialize(records.select("page_id", "digest", F.length("payload").alias("n")).where(F.col("n") >= min_bytes), "payloads")
     first = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first_id is not null")
     again = ids.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "digest", "first_id").distinct()
     path = path or scratch_path(spark, "warc")
