@@ -6,13 +6,14 @@ import argparse
 import os
 import sys
 
-from readloom import catalog, model
+from readloom import __version__, catalog, model
 
 PACING = {"interval": float, "batch-size": int, "timing-model": str, "random-factor": float, "burst-probability": float, "burst-rate-multiplier": float, "adaptation-rate": float, "history-size": int}
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="readloom", description="Plan, generate, rechunk and pace streams of sequencing reads.")
+    p.add_argument("--version", action="version", version=f"readloom {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     r = sub.add_parser("replay", help="bring existing reads to a watched folder")
     for name, kind in {"source": str, "target": str, "operation": str, "reads-per-file": int, "output": str, "barcodes": int, "barcode-pattern": str, "prefix": str, "structure": str}.items():
@@ -33,8 +34,10 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--pipeline", required=True)
     v.add_argument("--target", required=True)
     m = sub.add_parser("recommend", help="profiles for a number of files")
-    m.add_argument("--file-count", type=int, required=True)
-    for name in ("list-profiles", "list-adapters", "list-mocks"):
+    n = m.add_mutually_exclusive_group(required=True)
+    n.add_argument("--file-count", type=int)
+    n.add_argument("--source", help="a folder whose files are counted")
+    for name in ("list-profiles", "list-adapters", "list-mocks", "list-generators"):
         sub.add_parser(name)
     return p
 
@@ -77,10 +80,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if a.command == "recommend":
             from readloom.operators.quality import RECOMMENDED
 
-            print("\n".join(RECOMMENDED[0 if a.file_count < 50 else 1 if a.file_count < 500 else 2]))
+            from readloom.sources import fastq
+
+            files = len(fastq.listing(a.source)) if a.source else a.file_count
+            print("\n".join(RECOMMENDED[0 if files < 50 else 1 if files < 500 else 2]))
             return 0
         if a.command.startswith("list-"):
-            table = {"list-profiles": [(k, v[0]) for k, v in catalog.PROFILES.items()], "list-adapters": [(k, v[0]) for k, v in catalog.ADAPTERS.items()], "list-mocks": [tuple(r) for r in catalog._rows(catalog.COMMUNITIES)] + [(x, f"(alias for {y})") for x, y in (line.split() for line in catalog.ALIASES.strip().splitlines())]}
+            from readloom.operators import generating
+
+            table = {"list-profiles": [(k, v[0]) for k, v in catalog.PROFILES.items()], "list-adapters": [(k, v[0]) for k, v in catalog.ADAPTERS.items()], "list-mocks": [*catalog.COMMUNITIES.items(), *((x, f"(alias for {y})") for x, y in catalog.ALIASES.items())], "list-generators": [(k, "available" if there() else "missing") for k, (there, _) in generating.BACKENDS.items()]}
             print("\n".join(f"{n}: {d}" for n, d in table[a.command]))
             return 0
         return run(a, spark)
@@ -93,20 +101,18 @@ def run(a: argparse.Namespace, spark) -> int:
     from pyspark.sql import SparkSession
 
     from readloom import runs
+    from readloom.sources import fastq
 
     if a.command == "replay":
         config = model.ReplayConfig(**picked(a, "source", "target", "operation", "reads_per_file", "output", "barcodes", "barcode_pattern", "prefix", "structure"), pacing=pacing(a))
     else:
         model.need((a.genomes is None) != (a.mock is None), "give either genomes or a mock community")
-        genomes, weights = a.genomes, a.abundances
+        genomes, weights = [f for p in a.genomes or () for f in fastq.genome_files(p)], a.abundances
         if a.mock:
-            names = dict(line.split() for line in catalog.ALIASES.strip().splitlines())
-            name = names.get(a.mock.lower(), a.mock.lower())
-            rows = [r for r in catalog._rows(catalog.ORGANISMS) if r[0] == name]
+            name = catalog.ALIASES.get(a.mock.lower(), a.mock.lower())
+            rows = [r for r in catalog.ORGANISMS if r[0] == name]
             model.need(bool(rows), f"no mock community named {a.mock!r}")
-            from fractions import Fraction
-
-            kept = [(p, float(Fraction(r[3]))) for r in rows if os.path.exists(p := os.path.join(a.genome_cache or "", r[2], f"{r[4]}.fna.gz"))]
+            kept = [(p, r[3]) for r in rows if os.path.exists(p := os.path.join(a.genome_cache or "", r[2], f"{r[4]}.fna.gz"))]
             model.need(bool(kept), "none of the community's genomes is in the cache")
             genomes, weights = [p for p, _ in kept], [w / sum(x for _, x in kept) for _, w in kept]
         more = {k: v for k, v in catalog.profile(a.profile).items() if k in ("read_count", "reads_per_file")} if a.profile else {}

@@ -21,9 +21,14 @@ class EmptySource(Exception):
     """There is nothing to deliver."""
 
 
+def sources(c: model.ReplayConfig) -> list[tuple[str | None, str]]:
+    """(barcode, path) of the files to replay: of a folder by the structure asked for, or the one file."""
+    return fastq.listing(c.source, c.structure) if os.path.isdir(c.source) else [(None, c.source)]
+
+
 def replay_reads(spark: SparkSession, c: model.ReplayConfig) -> DataFrame:
     """The source's reads with the target of each and its batch, for rechunking."""
-    files = [(b, p) for b, p in fastq.listing(c.source)] if os.path.isdir(c.source) else [(None, c.source)]
+    files = sources(c)
     order = spark.createDataFrame([(f"file://{os.path.abspath(p)}", b, i) for i, (b, p) in enumerate(files)], "path string, barcode string, file_no int")
     plain = F.regexp_replace("src_path", "^file:/+", "file:///")
     reads = fastq.scan(spark, [p for _, p in files]).withColumn("path", F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))).join(order, "path")
@@ -70,7 +75,7 @@ def replay(spark: SparkSession, c: model.ReplayConfig) -> list[tuple[str, int, f
     if not os.path.exists(c.source):
         raise FileNotFoundError(c.source)
     if c.reads_per_file is None:
-        files = fastq.listing(c.source) if os.path.isdir(c.source) else [(None, c.source)]
+        files = sources(c)
         n = -(-len(files) // c.pacing.batch_size)
         times = model.intervals(spark, c.pacing.timing_model, n, c.pacing.interval, c.target, **c.pacing.timing_params).orderBy("batch").collect()
         done = []

@@ -50,8 +50,9 @@ def genomes(contigs: DataFrame) -> DataFrame:
     return d.select("src_path", F.array_join(F.transform("c", lambda x: x["seq"]), "").alias("seq"))
 
 
-def listing(folder: str) -> list[tuple[str | None, str]]:
+def listing(folder: str, structure: str = "auto") -> list[tuple[str | None, str]]:
     """(barcode, path) of sequencing files: of barcode folders if there are any, else of the folder itself; by barcode and name.
+    structure "multiplex" looks at barcode folders only, "singleplex" at the folder only.
 
     The folder is listed on the driver, for Spark would hide names with a leading underscore. Raises ValueError where no
     file is found.
@@ -63,8 +64,9 @@ def listing(folder: str) -> list[tuple[str | None, str]]:
     if not os.path.isdir(folder):
         raise ValueError(f"{folder} isn't a folder")
     dirs = sorted(n for n in os.listdir(folder) if re.match(naming.BARCODE, n) and os.path.isdir(os.path.join(folder, n)))
-    found = [(b, p) for b in dirs for p in files(os.path.join(folder, b))]
-    found = found or [(None, p) for p in files(folder)]
+    found = [(b, p) for b in dirs for p in files(os.path.join(folder, b))] if structure != "singleplex" else []
+    if not found and structure != "multiplex":
+        found = [(None, p) for p in files(folder)]
     if not found:
         raise ValueError(f"{folder} holds no sequencing files")
     return found
@@ -73,3 +75,15 @@ def listing(folder: str) -> list[tuple[str | None, str]]:
 def layout(folder: str) -> str:
     """multiplex if any barcode folder has a file, else singleplex."""
     return "multiplex" if listing(folder)[0][0] else "singleplex"
+
+
+def genome_files(path: str) -> list[str]:
+    """The path itself, or the FASTA files of a folder by name. Raises ValueError for a missing path and for a folder without any."""
+    if not os.path.exists(path):
+        raise ValueError(f"{path} doesn't exist")
+    if not os.path.isdir(path):
+        return [path]
+    found = [p for n in sorted(os.listdir(path)) if re.search(naming.FASTA, n) and os.path.isfile(p := os.path.join(path, n))]
+    if not found:
+        raise ValueError(f"{path} holds no genome files")
+    return found

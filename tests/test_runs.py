@@ -83,4 +83,25 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["generate", "--target", "x"], spark) == 2
     capsys.readouterr()
     assert cli.main(["list-mocks"]) == 0 and "msa-1002: (alias for atcc_msa1002)" in capsys.readouterr().out
+    assert cli.main(["list-generators"]) == 0 and "builtin: available" in capsys.readouterr().out
+    assert cli.main(["recommend", "--source", str(tmp_path / "in")]) == 0 and capsys.readouterr().out.split() == ["steady", "bursty", "development"]
     assert cli.main(["recommend", "--file-count", "60"]) == 0 and capsys.readouterr().out.split() == ["bursty", "gradual_drift", "development"]
+
+
+def test_structure_asked_for(spark, tmp_path):
+    write(tmp_path / "in" / "a.fastq", range(2))
+    write(tmp_path / "in" / "barcode01" / "b.fastq", range(2, 4))
+    for structure, want in (("auto", "barcode01/b.fastq"), ("multiplex", "barcode01/b.fastq"), ("singleplex", "a.fastq")):
+        done = runs.replay(spark, model.ReplayConfig(str(tmp_path / "in"), str(tmp_path / structure), structure=structure))
+        assert [t.removeprefix(str(tmp_path / structure) + "/") for t, _, _ in done] == [want]
+    with pytest.raises(ValueError):
+        runs.replay(spark, model.ReplayConfig(str(tmp_path / "in" / "barcode01"), str(tmp_path / "none"), structure="multiplex"))
+
+
+def test_genomes_of_a_folder(spark, tmp_path):
+    for n in ("b", "a"):
+        (tmp_path / "g" / f"{n}.fna").parent.mkdir(exist_ok=True)
+        (tmp_path / "g" / f"{n}.fna").write_text(">c\n" + "ACGT" * 100 + "\n")
+    assert cli.main(["generate", "--genomes", str(tmp_path / "g"), "--target", str(tmp_path / "out"), "--read-count", "20", "--mean-length", "50", "--std-length", "0"], spark) == 0
+    assert [(b, len(fastq.listing(str(tmp_path / "out")))) for b, _ in fastq.listing(str(tmp_path / "out"))] == [("barcode01", 2), ("barcode02", 2)]
+    assert cli.main(["generate", "--genomes", str(tmp_path / "no"), "--target", str(tmp_path / "out")], spark) == 2
