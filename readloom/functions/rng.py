@@ -19,6 +19,16 @@ def fast_uniform(seed: int, *counters: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *counters), 11).cast("double") / float(1 << 53)
 
 
+def adler32(text: Column) -> Column:
+    """Of the text's UTF-8 bytes, from their sums: 1 + all bytes, and each byte as often as there are bytes from it on, plus the count."""
+    n = F.octet_length(text)
+    digits = F.hex(F.encode(text, "UTF-8"))
+    code = lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    sums = F.aggregate(places, F.struct(F.lit(1).cast("bigint").alias("a"), n.cast("bigint").alias("b")), lambda s, i: F.struct((s["a"] + code(i)).alias("a"), (s["b"] + code(i) * (n - i + 1)).alias("b")))
+    return F.pmod(sums["b"], F.lit(65521)) * 65536 + F.pmod(sums["a"], F.lit(65521))
+
+
 def exponential(u: Column, mean: Column) -> Column:
     return -F.log(1 - u) * mean
 

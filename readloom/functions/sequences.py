@@ -39,11 +39,9 @@ def phred_char(q: Column) -> Column:
     return F.chr(F.least(F.greatest(q, F.lit(PHRED_LEAST)), F.lit(PHRED_MOST)).cast("int") + PHRED_OFFSET)
 
 
-def quality(length: Column, draw, mean: float, std: float) -> Column:
-    """A Phred string: per base a normal draw, cut to the range and truncated. draw: base index -> a standard normal column."""
-    if std == 0:
-        return F.repeat(phred_char(F.lit(mean)), length.cast("int"))
-    return F.array_join(F.transform(F.sequence(F.lit(1), length.cast("int")), lambda i: phred_char(F.lit(mean) + F.lit(std) * draw(i))), "")
+def constant_quality(length: Column, mean: float) -> Column:
+    """The Phred string of a run whose qualities don't vary."""
+    return F.repeat(phred_char(F.lit(mean)), length.cast("int"))
 
 
 def words_upper(text: Column) -> Column:

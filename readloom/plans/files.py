@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from readloom.operators import planning as P
+from readloom.operators import quality as Q
 from readloom.plans.registry import query, table
 from readloom.sources import fastq, sinks
 from readloom.storage import shared_dir
@@ -54,3 +55,54 @@ def stream_delivery(spark, sf):
     from readloom.streaming import delivery
 
     return delivery.counted(table(spark, sf, "events"), folder(spark), by="event_type", per_batch=4)
+
+
+FAULTS = """(SELECT o_orderkey AS k, o_orderstatus, (o_orderkey % 5 + 1) * 4 AS n, o_orderkey % 7 = 0 AS no_at, o_orderkey % 11 = 0 AS no_plus, o_orderkey % 13 = 0 AS short, 33 + o_orderkey % 41 AS code FROM orders)"""
+
+
+def faulty_files(spark, sf, suffix: str) -> str:
+    """The folder of a file for each status and 2,000 of its orders, some with faults of each kind."""
+    out = folder(spark)
+    k, n = F.col("o_orderkey"), ((F.col("o_orderkey") % 5 + 1) * 4).cast("int")
+    rows = table(spark, sf, "orders").select(
+        k.alias("k"), "o_orderstatus", F.concat(F.when(k % 7 == 0, "o").otherwise("@o"), k.cast("string")).alias("header"), F.repeat(F.lit("ACGT"), (n / 4).cast("int")).alias("seq"),
+        F.when(k % 11 == 0, "-").otherwise("+").alias("sep"), F.repeat(F.chr(33 + k % 41), n - (k % 13 == 0).cast("int")).alias("qual"))
+    rows = P.chunked(P.positions(rows, ["k"], group="o_orderstatus"), 2000)
+    target = F.concat(F.lit(f"{out}/"), "o_orderstatus", F.format_string(f"_chunk_%04d{suffix}", F.col("chunk_idx").cast("int")))
+    sinks.write_fastq(rows.withColumn("target", target)).write.format("noop").mode("overwrite").save()
+    return out
+
+
+STATUS = r"([A-Z])_chunk_\d+\.fastq"
+
+
+@query("read_quality", f"""
+SELECT o_orderstatus, count(*)::BIGINT AS reads, round(avg(n), 6) AS mean_length, count_if(no_at)::BIGINT AS bad_headers, count_if(no_plus)::BIGINT AS bad_separators, count_if(short)::BIGINT AS unequal, min(code)::BIGINT AS least_phred, max(code)::BIGINT AS most_phred
+FROM {FAULTS} GROUP BY 1""")
+def read_quality(spark, sf):
+    """Faults counted in gzipped files that hold them."""
+    reads = fastq.scan(spark, f"{faulty_files(spark, sf, '.fastq.gz')}/*.fastq.gz").withColumn("o_orderstatus", F.regexp_extract("src_path", STATUS, 1))
+    d = Q.content(reads, ["o_orderstatus"])
+    return d.select("o_orderstatus", "reads", F.round("mean_length", 6).alias("mean_length"), "bad_headers", "bad_separators", "unequal", F.col("least_phred").cast("bigint").alias("least_phred"), F.col("most_phred").cast("bigint").alias("most_phred"))
+
+
+@query("read_counts", """
+WITH p AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS pos FROM orders), f AS (SELECT o_orderstatus, pos // 2000 AS file_no, count(*)::BIGINT AS reads FROM p GROUP BY 1, 2)
+SELECT o_orderstatus, file_no::BIGINT AS file_no, reads, reads AS strict_reads, array_to_string(list_transform(generate_series(0, (reads - 1) // 300), lambda i: i * 300), ',') AS starts FROM f""")
+def read_counts(spark, sf):
+    """Reads of each plain file, counted by records, with the places to start at, and strictly by lines."""
+    path = f"{faulty_files(spark, sf, '.fastq')}/*.fastq"
+    strict = fastq.strict_counts(spark, path).select("src_path", F.col("reads").alias("strict_reads"))
+    d = fastq.counts(fastq.scan(spark, path), 300).join(strict, "src_path")
+    return d.select(F.regexp_extract("src_path", STATUS, 1).alias("o_orderstatus"), F.regexp_extract("src_path", r"_chunk_(\d+)", 1).cast("bigint").alias("file_no"), "reads", "strict_reads", F.array_join(F.transform("starts", lambda x: x.cast("string")), ",").alias("starts"))
+
+
+@query("genome_scan", """
+SELECT 'c' || p_partkey AS contig, upper(translate(p_name, ' ', '')) AS seq FROM part""")
+def genome_scan(spark, sf):
+    """Contigs written in lines of seven characters and read back."""
+    lines = F.rtrim(F.regexp_replace(F.translate("p_name", " ", ""), "(.{7})", "$1\n"))
+    d = table(spark, sf, "part").select(F.concat(F.lit(">c"), F.col("p_partkey").cast("string"), F.lit(" part\n"), lines).alias("value"))
+    out = f"{shared_dir(spark)}/readloom/genomes-{uuid.uuid4().hex}"
+    d.write.text(out)
+    return fastq.scan_fasta(spark, out).select("contig", "seq")

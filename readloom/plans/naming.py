@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import naming as N
 from readloom.functions import sequences as S
+from readloom.functions.rng import adler32
 from readloom.plans.registry import query, table
 
 
@@ -99,6 +100,12 @@ def path_suffix(spark, sf):
 @query("adler_seed", None)
 def adler_seed(spark, sf):
     """The seed of a run: adler32 of its path, as a fold."""
-    codes = F.transform(F.split(F.lit(f"{sf}/out"), ""), F.ascii)
-    fold = F.aggregate(codes, F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), lambda s, c: F.struct(((s["a"] + c) % 65521).alias("a"), ((s["b"] + s["a"] + c) % 65521).alias("b")), lambda s: s["b"].cast("bigint") * 65536 + s["a"])
-    return spark.range(1).select(fold.alias("seed"))
+    return spark.range(1).select(adler32(F.lit(f"{sf}/out")).alias("seed"))
+
+
+@query("adler_paths", """
+WITH p AS (SELECT p_partkey, string_split('/runs/' || p_name || '/' || p_partkey, '') AS c FROM part)
+SELECT p_partkey, ((len(c) + list_sum(list_transform(c, lambda x, i: ascii(x) * (len(c) - i + 1)))) % 65521 * 65536 + (1 + list_sum(list_transform(c, lambda x: ascii(x)))) % 65521)::BIGINT AS seed FROM p""")
+def adler_paths(spark, sf):
+    """Seeds of runs, one a path."""
+    return table(spark, sf, "part").select("p_partkey", adler32(F.concat(F.lit("/runs/"), "p_name", F.lit("/"), F.col("p_partkey").cast("string"))).alias("seed"))

@@ -79,7 +79,17 @@ def multi_source_resolve(spark, sf):
     return P.renormalised(d, "found").select("kind", "found", F.round("share", 9).alias("share"))
 
 
-@query("mock_catalogue", None)
+def quoted(v) -> str:
+    return f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
+
+
+MOCKS = "o(community, org_pos, name, resolver, abundance, accession, domain) AS (VALUES " + ", ".join(f"({', '.join(map(quoted, r))})" for r in catalog.placed()) + ")"
+OTHERS = "a(alias, target) AS (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in catalog.ALIASES.items()) + ")"
+
+
+@query("mock_catalogue", f"""
+WITH {MOCKS}, {OTHERS}, g AS (SELECT target, string_agg(alias, ', ' ORDER BY alias) AS aliases FROM a GROUP BY 1)
+SELECT community, count(*)::BIGINT AS organisms, round(sum(abundance), 6) AS total, min(aliases) AS aliases FROM o LEFT JOIN g ON community = target GROUP BY 1""")
 def mock_catalogue(spark, sf):
     """Communities with their aliases and weights."""
     o = catalog.organisms(spark).groupBy("community").agg(F.count(F.lit(1)).alias("organisms"), F.round(F.sum("abundance"), 6).alias("total"))
@@ -87,8 +97,26 @@ def mock_catalogue(spark, sf):
     return o.join(a, F.col("community") == F.col("target"), "left").select("community", "organisms", "total", "aliases")
 
 
-@query("mock_apportion", None)
+@query("mock_apportion", f"""
+WITH {MOCKS}, f AS (SELECT *, count(*) OVER (PARTITION BY community) AS k, CASE WHEN abundance > 0 AND floor(abundance * 5000) < 1 THEN 1 ELSE floor(abundance * 5000)::BIGINT END AS fl, abundance * 5000 - floor(abundance * 5000) AS rem FROM o),
+g AS (SELECT *, 5000 - sum(fl) OVER (PARTITION BY community) AS gap, row_number() OVER (PARTITION BY community ORDER BY rem DESC, org_pos) AS r, coalesce(sum(fl - 1) OVER (PARTITION BY community ORDER BY fl DESC, org_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM f)
+SELECT community, org_pos, name, (CASE WHEN k = 1 THEN 5000 WHEN gap > 0 THEN fl + (r <= gap)::INT ELSE fl - least(fl - 1, greatest(-gap - prior, 0)) END)::BIGINT AS n FROM g""")
 def mock_apportion(spark, sf):
     """5000 reads of every community, by abundance."""
     o = catalog.organisms(spark)
     return P.apportioned(o, F.lit(5000), idx="org_pos", weight="abundance", by=["community"]).select("community", "org_pos", "name", "n")
+
+
+@query("assembly_reports", """
+SELECT 'GCF_' || s_suppkey AS accession, s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 99 ELSE 3 END::BIGINT AS rank, CASE s_suppkey % 4 WHEN 0 THEN '1,2157' WHEN 1 THEN '2759' WHEN 2 THEN '9,2' ELSE '' END AS taxids,
+  CASE s_suppkey % 4 WHEN 0 THEN 'archaea' WHEN 1 THEN 'eukaryota' ELSE 'bacteria' END AS domain FROM supplier WHERE s_suppkey % 6 <> 0""")
+def assembly_reports(spark, sf):
+    """JSON lines with lineages of objects, of numbers, of the classification and without one; each sixth line is cut off."""
+    k = F.col("s_suppkey")
+    level = F.when(k % 5 == 0, '"Complete Genome"').when(k % 5 == 1, '"Scaffold"').when(k % 5 == 2, '"Draft"').when(k % 5 == 3, '"Contig"').otherwise("null")
+    lineage = F.when(k % 4 == 0, ',"lineage":[{"tax_id":1},{"tax_id":2157,"name":"x [1,2]"}]').when(k % 4 == 1, ',"lineage":[2759]').otherwise("")
+    more = F.when(k % 4 == 2, ',"classification":{"lineage":[9,{"tax_id":2}]}').otherwise("")
+    line = F.concat(F.lit('{"accession":"GCF_'), k.cast("string"), F.lit('","assembly_info":{"assembly_level":'), level, F.lit('},"organism":{"organism_name":"'), F.col("s_name"), F.lit('"'), lineage, F.lit("}"), more, F.lit("}"))
+    lines = table(spark, sf, "supplier").select(F.when(k % 6 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    d = R.assemblies(lines)
+    return d.select("accession", "name", "rank", F.array_join(F.transform("taxids", lambda t: t.cast("string")), ",").alias("taxids"), "domain")

@@ -1,9 +1,14 @@
 """Captured assembly reports, generator registry, stream progress."""
 
+import math
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from readloom.functions.rng import adler32
 from readloom.operators import generating, resolving
+from readloom.sources import fastq
 from readloom.streaming import delivery
 from readloom.streaming.progress import Progress
 
@@ -57,3 +62,43 @@ def test_lineages_of_mixed_elements(spark):
     lines = ['{"accession":"A1","assembly_info":{"assembly_level":"Chromosome"},"organism":{"organism_name":"strain [1,2]","lineage":[1,{"tax_id":2157,"n":"x"}]}}', '{"accession":"A2","organism":{"organism_name":null},"classification":{"lineage":[2759,"x"]}}', "bad", '{"accession":null}']
     got = {r["accession"]: (r["name"], r["taxids"], r["rank"], r["domain"]) for r in resolving.assemblies(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
     assert got == {"A1": ("strain [1,2]", [1, 2157], 1, "archaea"), "A2": ("", [2759, None], 3, "eukaryota")}
+
+
+def test_qualities_by_hand(spark):
+    rows = [(i, "ACGT" * (i % 7)) for i in range(60)] + [(60, "A" * 5000)]
+    d = spark.createDataFrame(rows, "k long, seq string").withColumn("key", F.xxhash64("k"))
+    keys = {r["k"]: r["key"] for r in d.collect()}
+    mask = 2**64 - 1
+
+    def one(key, i):
+        z = (key % 2**64 + (i + 1) * 0x9E3779B97F4A7C15) & mask
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+        z ^= z >> 31
+        n = math.sqrt(-2 * math.log1p(-(z >> 32) / 2**32)) * math.cos(2 * math.pi * (z & 0xFFFFFFFF) / 2**32)
+        return min(max(20 + 4 * n, 0), 40)
+
+    for held in (50, 1_000_000):
+        got = {r["k"]: (r["seq"], r["qual"]) for r in generating.with_qualities(d, "key", 20.0, 4.0, held).collect()}
+        assert {k: s for k, (s, _) in got.items()} == dict(rows)
+        for k, (s, q) in got.items():
+            assert len(q) == len(s) and all(abs(ord(c) - 33 - (x := one(keys[k], i)) + 0.5) <= 0.5 + 1e-6 for i, c in enumerate(q))
+    q = [ord(c) - 33 + 0.5 for c in got[60][1]]
+    assert abs(sum(q) / 5000 - 20) < 0.3 and abs((sum((x - 20) ** 2 for x in q) / 5000) ** 0.5 - 4) < 0.2
+
+
+def test_adler(spark):
+    texts = ["", "a", "/x/out", "é\U0001f9ec" * 300]
+    got = {r["t"]: r["a"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", adler32(F.col("t")).alias("a")).collect()}
+    assert got == {t: zlib.adler32(t.encode()) for t in texts}
+
+
+def test_genome_folders(tmp_path):
+    for n in ("b.fna", "a.fasta.gz", "c.txt"):
+        (tmp_path / n).write_text(">x\nACGT\n")
+    (tmp_path / "sub.fa").mkdir()
+    assert fastq.genome_files(str(tmp_path)) == [str(tmp_path / "a.fasta.gz"), str(tmp_path / "b.fna")]
+    assert fastq.genome_files(str(tmp_path / "c.txt")) == [str(tmp_path / "c.txt")]
+    for bad in ("none", "sub.fa"):
+        with pytest.raises(ValueError):
+            fastq.genome_files(str(tmp_path / bad))
