@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, scratch, scratch_path
 
 #: The field lines of the two ARC versions, and the WARC profile of identical payloads.
 ARC_FIELDS = {
@@ -22,7 +22,12 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-RECORD = "page_id long, uri string, date string, mime string, status int, head binary, payload binary, digest string"
+#: A line that may head an ARC record, for going on after one that can't be read.
+ARC_LINE = re.compile(rb"^\S+ [0-9A-Fa-f.:]+ \d{14} \S+ (?:[^\n]* )?\d+$", re.M)
+#: The blank line that ends http headers; old servers leave out the carriage returns.
+BLANK = re.compile(rb"\r?\n\r?\n")
+PAGE = re.compile(rb"\r?\nX-Page-Id: (-?\d+)")
+RECORD = "page_id long, uri string, ip string, date string, mime string, http boolean, head binary, payload binary, size long, digest string, error string"
 BACK = "record_id string, record_type string, refers_to_id string, page_id long, payload_bytes long, payload_digest string, intact boolean"
 
 
@@ -53,20 +58,30 @@ def arc_member(version: int, records: list[tuple[str, str, str, bytes]], name: s
     return out.getvalue()
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_arc(data: bytes, salvage: bool = False) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, network document) of each record but the version block. The block's second line names the fields of the
-    rest; without a block a line's number of fields tells the version. Raises ValueError at a line or length that is wrong."""
+    rest; without a block a line's number of fields tells the version. A line or length that is wrong raises ValueError; with
+    salvage it gives ({"error": why}, the bytes up to the next line that may head a record), and reading goes on there."""
     at, fields = 0, None
     while at < len(data):
         end = data.find(b"\n", at)
-        values = data[at:end].decode().split(" ") if end >= 0 else []
+        values = data[at:end].decode(errors="replace").split(" ") if end >= 0 else []
         names = ARC_FIELDS[1] if values and values[0].startswith("filedesc:") else fields or {len(f): f for f in ARC_FIELDS.values()}.get(len(values))
-        if not names or len(values) != len(names) or not values[-1].isdigit():
-            raise ValueError(f"no ARC header line at byte {at}")
-        head, start = dict(zip(names, values, strict=True)), end + 1
-        stop = start + int(head["Archive-length"])
-        if stop > len(data) or data[stop : stop + 1] not in (b"\n", b""):
-            raise ValueError(f"the length declared at byte {at} doesn't end at a record")
+        head = dict(zip(names, values, strict=True)) if names and len(values) == len(names) else {}
+        start, wrong = end + 1, None
+        stop = start + int(values[-1]) if head and values[-1].isascii() and values[-1].isdigit() else len(data)
+        if not head or not values[-1].isdigit() or not re.fullmatch("[0-9]{14}", head["Archive-date"]):
+            wrong = f"no ARC header line at byte {at}"
+        elif stop > len(data) or data[stop : stop + 1] not in (b"\n", b""):
+            wrong = f"the length declared at byte {at} doesn't end at a record"
+        if wrong:
+            if not salvage:
+                raise ValueError(wrong)
+            next_ = ARC_LINE.search(data, start) if end >= 0 else None
+            stop = next_.start() if next_ else len(data)
+            yield {"error": wrong}, data[at:stop]
+            at = stop
+            continue
         if values[0].startswith("filedesc:"):
             fields = data[start:stop].decode().split("\n")[1].split(" ")
         else:
@@ -99,20 +114,31 @@ def pages_to_arc(pages: DataFrame, member_bytes: int = 1 << 22) -> DataFrame:
     return slim.mapInPandas(pack, "name string, data binary")
 
 
+def halves(doc: bytes) -> tuple[bytes, bytes]:
+    """(http headers with the blank line that ends them, payload)."""
+    blank = BLANK.search(doc)
+    return (doc[: blank.end()], doc[blank.end() :]) if blank else (doc, b"")
+
+
 def arc_records(arcs: DataFrame) -> DataFrame:
-    """The records of ARC files (data: their bytes, such as binaryFile's content, gzipped or not)."""
+    """RECORD's columns of the records of ARC files (data: their bytes, such as binaryFile's content, gzipped or not). What can't
+    be read is a row of its own, with error and the bytes as payload. A document that isn't http is its own payload."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["data"]:
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bytes(data)
                 rows = []
-                for h, doc in parse_arc(data):
-                    head, _, body = doc.partition(b"\r\n\r\n")
-                    page = re.search(rb"\r\nX-Page-Id: (-?\d+)", head)
+                for h, doc in parse_arc(data, salvage=True):
+                    if "error" in h:
+                        rows.append((None, None, None, None, None, False, b"", doc, len(doc), digest(doc), h["error"]))
+                        continue
+                    http = doc.startswith(b"HTTP/")
+                    head, body = halves(doc) if http else (b"", doc)
+                    page = PAGE.search(head)
                     d = h["Archive-date"]
                     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    rows.append((int(page[1]) if page else None, h["URL"], date, h["Content-type"], int(h.get("Result-code", 200)), head, body, digest(body)))
+                    rows.append((int(page[1]) if page else None, h["URL"], h["IP-address"], date, h["Content-type"], http, head, body, len(body), digest(body), None))
                 yield pd.DataFrame(rows, columns=[f.split()[0] for f in RECORD.split(", ")]).astype({"page_id": "Int64"})
 
     return arcs.select("data").mapInPandas(parse, RECORD)
@@ -123,23 +149,27 @@ def record_id(page_id, payload_digest: str) -> str:
 
 
 def warc_text(records: DataFrame, first: DataFrame) -> DataFrame:
-    """(value): a WARC record for each ARC record, but for the blank lines that end it. first: page_id, digest, first_id, first_uri of revisits."""
+    """(value): a WARC record for each ARC record, but for the blank lines that end it. first: page_id, digest, first_id, first_uri, first_date of revisits."""
 
     def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for page, uri, date, head, body, dig, to in zip(batch["page"], batch["uri"], batch["date"], batch["head"], batch["payload"], batch["digest"], batch["first_id"], strict=True):
-                block = bytes(head) + b"\r\n\r\n" + (bytes(body) if to is None else b"")
-                lines = ["WARC/1.0", f"WARC-Type: {'revisit' if to is not None else 'response'}", f"WARC-Record-ID: {record_id(page, dig)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{dig}", f"WARC-Block-Digest: sha1:{digest(block)}"]
+            names = ("page", "uri", "ip", "date", "mime", "http", "head", "payload", "digest", "first_id", "first_uri", "first_date")
+            for page, uri, ip, date, mime, http, head, body, dig, to, to_uri, to_date in zip(*(batch[c] for c in names), strict=True):
+                block = bytes(head) + (bytes(body) if to is None else b"")
+                kind = "revisit" if to is not None else "response" if http else "resource"
+                lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page, dig)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"Content-Type: {'application/http; msgtype=response' if http else mime}", f"WARC-Payload-Digest: sha1:{dig}", f"WARC-Block-Digest: sha1:{digest(block)}"]
+                if ip != "0.0.0.0":
+                    lines.append(f"WARC-IP-Address: {ip}")
                 if to is not None:
-                    lines += [f"WARC-Refers-To: {record_id(to, dig)}", f"WARC-Profile: {SAME_PAYLOAD}"]
+                    lines += [f"WARC-Refers-To: {record_id(to, dig)}", f"WARC-Refers-To-Target-URI: {to_uri}", f"WARC-Refers-To-Date: {to_date}", f"WARC-Profile: {SAME_PAYLOAD}"]
                 out.append("\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block)
             yield pd.DataFrame({"value": out})
 
     # ids as text: pandas would make floats of longs beside nulls
-    f = first.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first_id").cast("string").alias("first_id"))
-    rows = records.join(f, records.page_id.eqNullSafe(f.p) & (records.digest == f.d), "left")
-    rows = rows.select(F.col("page_id").cast("string").alias("page"), "uri", "date", "head", "payload", "digest", "first_id")
+    f = first.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first_id").cast("string").alias("first_id"), "first_uri", "first_date")
+    rows = records.join(f, records.page_id.eqNullSafe(f.p) & (records.digest == f.d) & records.http, "left")
+    rows = rows.select(F.col("page_id").cast("string").alias("page"), "uri", "ip", "date", "mime", "http", "head", "payload", "digest", "first_id", "first_uri", "first_date")
     return rows.mapInPandas(form, "value binary").select(F.col("value").cast("string").alias("value"))
 
 
@@ -160,7 +190,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """BACK's columns of every record under path; payload_bytes is what the http headers declare, intact says whether block and payload digests hold."""
+    """BACK's columns of every record under path; a revisit's payload_bytes is what its http headers declare, if they do; intact says whether block and payload digests hold."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -168,34 +198,54 @@ def read_warc(spark, path: str) -> DataFrame:
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bytes(data)
                 rows = []
                 for h, block in parse_warc(data):
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    page, size = re.search(rb"\r\nX-Page-Id: (-?\d+)", head), re.search(rb"\r\nContent-Length: (\d+)", head)
+                    head, body = (b"", block) if h["WARC-Type"] == "resource" else halves(block)
+                    page, size = PAGE.search(head), re.search(rb"(?i)\r?\nContent-Length: *(\d+)", head)
                     dig = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    full = h["WARC-Type"] == "response"
+                    full = h["WARC-Type"] != "revisit"
                     intact = h["WARC-Block-Digest"] == f"sha1:{digest(block)}" and (not full or digest(body) == dig)
-                    rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), int(page[1]) if page else None, len(body) if full else int(size[1]), dig, intact))
-                yield pd.DataFrame(rows, columns=[f.split()[0] for f in BACK.split(", ")]).astype({"page_id": "Int64"})
+                    rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), int(page[1]) if page else None, len(body) if full else int(size[1]) if size else None, dig, intact))
+                yield pd.DataFrame(rows, columns=[f.split()[0] for f in BACK.split(", ")]).astype({"page_id": "Int64", "payload_bytes": "Int64"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, BACK)
 
 
-def convert(pages: DataFrame, path: str | None = None, min_bytes: int = 0, records_per_file: int = 4096) -> DataFrame:
-    """Write pages (page_id, url, html) as ARC, convert to gzipped WARC files under path, and return what is read back.
+def to_warc(arcs: DataFrame, path: str | None = None, min_bytes: int = 0, file_bytes: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
+    """(what is read back from the gzipped WARC files written under path, what couldn't be read of the archives).
 
-    Of records with equal payloads of at least min_bytes, the one with the smallest page_id is a response and the others
-    revisit it, without a body; smaller ones are all responses. Returns page_id, payload_bytes, payload_digest,
-    record_type, refers_to (page_id of the response) and intact. Null html: empty payload. Null url: "-". Null page_id:
-    kept, after all numbers. Rows that repeat a response's page_id and payload are responses too. Only ids and digests are
-    grouped, summed up before they meet, so a payload with very many copies weighs no more than another; html is shuffled
-    once. No rows: no records.
+    The first has page_id, payload_bytes, payload_digest, record_type, refers_to (page_id of the response) and intact; the second
+    error and payload. Of http records with equal payloads of at least min_bytes, the one with the smallest page_id is a
+    response and the others revisit it, without a body; smaller ones are all responses; what isn't http is a resource.
+
+    Archives are parsed once, into a table that is removed when the files are written. Only ids, addresses and digests are
+    grouped, summed up before they meet, so a payload with very many copies weighs no more than another; payloads are shuffled
+    once. A file has as many records as make file_bytes on average, and no more than 4,096.
+    """
+    spark = arcs.sparkSession
+    with scratch(spark):
+        every = materialize(arc_records(arcs), "arc-records")
+        bad = materialize(every.where("error is not null").select("error", "payload"), "arc-errors", keep=True)
+        records = every.where("error is null")
+        ids = records.where(F.col("http") & (F.col("size") >= min_bytes)).select("page_id", "digest", "uri", "date")
+        first = ids.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri", "date"))).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and f is not null")
+        first = first.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.uri").alias("first_uri"), F.col("f.date").alias("first_date"))
+        again = ids.select("page_id", "digest").join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).distinct()
+        mean = records.agg(F.avg(F.col("size") + 1024)).first()[0] or 1024
+        path = path or scratch_path(spark, "warc")
+        per_file = int(min(4096, max(1, file_bytes // mean)))
+        warc_text(records, again).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        back = materialize(read_warc(spark, path), "warc-read", keep=True)
+    owners = back.where("record_type = 'response'").select(F.col("record_id").alias("r"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n")).distinct()
+    rows = back.join(owners, F.col("refers_to_id") == F.col("r"), "left")
+    return rows.select("page_id", F.coalesce("n", "payload_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "intact"), bad
+
+
+def convert(pages: DataFrame, path: str | None = None, min_bytes: int = 0, file_bytes: int = 1 << 26) -> DataFrame:
+    """Write pages (page_id, url, html) as ARC, convert to gzipped WARC files under path, and return what is read back, as to_warc does.
+
+    Null html: empty payload. Null url: "-". Null page_id: kept, after all numbers. Rows that repeat a response's page_id and
+    payload are responses too. No rows: no records. Raises ValueError if an archive just written can't be read.
     """
-    spark = pages.sparkSession
-    records = arc_records(pages_to_arc(pages))
-    ids = materialize(records.select("page_id", "digest", F.length("payload").alias("n")).where(F.col("n") >= min_bytes), "payloads")
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first_id is not null")
-    again = ids.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "digest", "first_id").distinct()
-    path = path or scratch_path(spark, "warc")
-    (warc_text(records, again).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
-    back = read_warc(spark, path)
-    owners = back.where("record_type = 'response'").select(F.col("record_id").alias("r"), F.col("page_id").alias("refers_to")).distinct()
-    return back.join(owners, F.col("refers_to_id") == F.col("r"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    back, bad = to_warc(pages_to_arc(pages), path, min_bytes, file_bytes)
+    if not bad.isEmpty():
+        raise ValueError(f"an archive can't be read: {bad.first()['error']}")
+    return back

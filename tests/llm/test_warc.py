@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -57,3 +58,30 @@ def test_odd_pages_and_empty_tables(spark, tmp_path):
 def test_small_payloads_may_all_be_responses(spark):
     d = spark.createDataFrame([(1, "http://a", "aa"), (2, "http://b", "aa"), (3, "http://c", "a" * 30), (4, "http://d", "a" * 30)], "page_id long, url string, html string")
     assert {r["page_id"]: r["refers_to"] for r in warc.convert(d, min_bytes=10).collect()} == {1: None, 2: None, 3: None, 4: 3}
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Addresses, documents that aren't http, headers without carriage returns, and stretches that can't be read."""
+    def record(url, doc, ip="10.1.2.3", length=None):
+        return f"{url} {ip} 20010203040506 text/html {len(doc) if length is None else length}\n".encode() + doc + b"\n"
+
+    body = b"HTTP/1.0 200 OK\nX-Page-Id: 7\n\nbody"
+    data = record("http://a", body) + record("dns:a", b"a. 60 IN A 10.1.2.3") + b"garbage \xff line\nmore\n" + record("http://b", b"HTTP/1.0 200 OK\r\nX-Page-Id: 3\r\n\r\nbody") + record("http://c", b"lost", length=999)
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(data))
+    arcs = spark.createDataFrame([(bytearray(gzip.compress(data)),), (bytearray(b""),), (bytearray(b"cut"),)], "data binary")
+    back, bad = warc.to_warc(arcs, str(tmp_path / "w"))
+    rows = sorted((r["record_type"], r["page_id"], r["payload_bytes"], r["refers_to"], r["payload_digest"], r["intact"]) for r in back.collect())
+    assert rows == [("resource", None, 19, None, sha(b"a. 60 IN A 10.1.2.3"), True), ("response", 3, 4, None, sha(b"body"), True), ("revisit", 7, 4, 3, sha(b"body"), True)]
+    assert sorted(bytes(r["payload"]) for r in bad.collect()) == [b"cut", b"garbage \xff line\nmore\n", record("http://c", b"lost", length=999)]
+    heads = [h for f in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse_warc(gzip.decompress(f.read_bytes()))]
+    assert {h["WARC-IP-Address"] for h in heads} == {"10.1.2.3"}
+    revisit = next(h for h in heads if h["WARC-Type"] == "revisit")
+    assert (revisit["WARC-Refers-To-Target-URI"], revisit["WARC-Refers-To-Date"]) == ("http://b", "2001-02-03T04:05:06Z")
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"http://h/{i}", f"{i} " * 3000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.convert(d, str(tmp_path / "w"), file_bytes=30_000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")]
+    assert len(sizes) > 10 and max(sizes) < 45_000
