@@ -70,7 +70,13 @@ def cuts(flow: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, path: str | None = None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+def untouched(plan: list[tuple[int, int, int, int]], n_new: int) -> list[int]:
+    """Old shards that are new ones too, that nothing leaves and nothing enters."""
+    moved = {s for i, _, _, j in plan if i != j for s in (i, j)}
+    return sorted({i for i, _, _, _ in plan if i < n_new} - moved)
+
+
+def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, path: str | None = None, slot: Column | None = None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
     """Rewrite docs (doc_id, text and any other columns) from n_old shards into n_new of near equal bytes; law "bytes".
 
     old: each row's old shard, 0 to n_old - 1. A row weighs its text's UTF-8 bytes (null: none) plus 1. Returns the new
@@ -78,7 +84,8 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, path: str | No
     or slot are not kept. A document is never cut: the side that holds its middle gets it, so that each cut costs half a document at most.
 
     Each old shard is a row of blocks, about as many as a block has rows, so that both grow with the root of the rows; a
-    hot shard has more. Byte positions are sums over blocks plus sums within one. The plan is made on ids and sizes; texts
+    hot shard has more. slot: each row's place in its old shard, gapless from 0, where there is one: shards that nothing leaves
+    or enters then keep their rows and places as docs has them, and only the files of the others are written. Byte positions are sums over blocks plus sums within one. The plan is made on ids and sizes; texts
     are shuffled once, to be written by shard under path. Null and repeated ids are rows like others; no rows: no files.
     """
     spark = docs.sparkSession
@@ -98,16 +105,22 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int, path: str | No
     flow = min_cost_flow(supply, [total * (j + 1) // n_new - total * j // n_new for j in range(n_new)])
     plan = cuts(flow)
     table = spark.createDataFrame(plan, "__o int, __start long, __end long, shard int")  # fewer than n_old + n_new rows
+    same = untouched(plan, n_new) if slot is not None else []
+    changed = ~F.col("__old").isin(same) if same else F.lit(True)
     within = Window.partitionBy("__old", "__block").orderBy(*order)
-    at = slim.join(per.drop("__bytes"), ["__old", "__block"]).withColumn("__n", F.row_number().over(within))
+    at = slim.where(changed).join(per.drop("__bytes"), ["__old", "__block"]).withColumn("__n", F.row_number().over(within))
     at = at.withColumn("__at", F.col("__from") + F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.expr("(__size + 1) div 2"))  # a row's middle decides
     at = at.join(F.broadcast(table), (F.col("__old") == F.col("__o")) & (F.col("__at") >= F.col("__start")) & (F.col("__at") < F.col("__end")))
     pieces = at.groupBy("__old", "__block", "shard").agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__rows"))
     by_shard = Window.partitionBy("shard").orderBy("__old", "__block").rowsBetween(Window.unboundedPreceding, -1)
     pieces = materialize(pieces.withColumn("__slot", F.coalesce(F.sum("__rows").over(by_shard), F.lit(0))), "reshard-pieces")
-    rows = docs.select(*kept, *keys).withColumn("__n", F.row_number().over(within))
+    rows = docs.select(*kept, *keys).where(changed).withColumn("__n", F.row_number().over(within))
     rows = rows.join(pieces, ["__old", "__block"]).where("__n >= __first and __n < __first + __rows")
     path = path or scratch_path(spark, "shards")
     rows.select(*kept, (F.col("__n") - F.col("__first") + F.col("__slot")).cast("long").alias("slot"), "shard").write.partitionBy("shard").parquet(path)
     schema = docs.select(*kept, F.lit(0).cast("long").alias("slot"), F.lit(0).alias("shard")).schema
-    return spark.read.schema(schema).parquet(path), plan
+    files = spark.read.schema(schema).parquet(path)
+    if same:
+        left = docs.select(*kept, slot.cast("long").alias("__slot"), old.cast("int").alias("__old")).where(~changed)
+        files = files.unionByName(left.withColumnsRenamed({"__slot": "slot", "__old": "shard"}))
+    return files, plan

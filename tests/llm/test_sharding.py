@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from readloom.llm import queries, sharding
@@ -47,3 +48,17 @@ def test_what_fits_stays(spark):
     files, plan = sharding.reshard(d, F.pmod("doc_id", F.lit(4)), 4, 4)
     assert all(i == j for i, _, _, j in plan)
     assert all(r["shard"] == r["doc_id"] % 4 for r in files.collect())
+
+
+def test_untouched_shards_keep_their_files(spark, tmp_path):
+    d = spark.createDataFrame([(i, "x" * 99, i % 4 if i < 160 else 0) for i in range(200)], "doc_id long, text string, shard int")
+    d = d.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("doc_id"))) - 1)
+    before = {r["doc_id"]: (r["shard"], r["slot"]) for r in d.collect()}
+    files, plan = sharding.reshard(d, F.col("shard"), 4, 5, str(tmp_path / "new"), slot=F.col("slot"))
+    rows = files.collect()
+    assert sharding.untouched(plan, 5) == [1, 2, 3] and {x.name for x in (tmp_path / "new").glob("shard=*")} == {"shard=0", "shard=4"}
+    assert all((r["shard"], r["slot"]) == before[r["doc_id"]] for r in rows if r["shard"] in (1, 2, 3))
+    assert sorted(r["doc_id"] for r in rows) == list(range(200))
+    for s in range(5):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(40))
+    assert sorted(sharding.reshard(d, F.col("shard"), 4, 5)[0].groupBy("shard").count().collect()) == [(s, 40) for s in range(5)]
