@@ -32,12 +32,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(hadoop).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation of Python work. keep: also after scratch()."""
+def materialize(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation of Python work. keep: also after scratch(). codec: zstd for texts, which it makes smaller."""
     path = scratch_path(df.sparkSession, name)
     if _scopes and not keep:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -222,7 +222,7 @@ def to_warc(arcs: DataFrame, path: str | None = None, min_bytes: int = 0, file_b
     """
     spark = arcs.sparkSession
     with scratch(spark):
-        every = materialize(arc_records(arcs), "arc-records")
+        every = materialize(arc_records(arcs), "arc-records", codec="zstd")
         bad = materialize(every.where("error is not null").select("error", "payload"), "arc-errors", keep=True)
         records = every.where("error is null")
         ids = records.where(F.col("http") & (F.col("size") >= min_bytes)).select("page_id", "digest", "uri", "date")
