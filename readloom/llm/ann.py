@@ -69,7 +69,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     come back at the end, and no other could be among the k nearest. Each tree orders the hash strings of all vectors. A
     query descends to its longest prefix in every tree and ascends, in all trees at once, symbol by symbol, until the
     prefixes hold 20 * N ** 0.6 candidates; from one symbol it ascends to the `probes` sibling symbols nearest to it, and to
-    the root only where these hold fewer than 8 * (k + 1). These ranges are then read: rows and queries of a tree's prefix meet in a task,
+    the root only where these hold fewer than 8 * (k + 1), or fewer than k + 1 different rows. These ranges are then read: rows and queries of a tree's prefix meet in a task,
     where the strings are a sorted array, and are compared by vectors of 8 bits a component; the best keep of each tree are
     compared by the original vectors in double precision. A prefix of more than `block` rows is split and its queries go to
     each part, so no task's rows grow with the table. At the root, whatever the table's size, all rows are candidates.
@@ -155,12 +155,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
                 out.append(pd.DataFrame({"query": np.repeat(some["node"].to_numpy(), top.shape[1]), "node": node[lo:hi][top].ravel(), "about": np.take_along_axis(s, top, 1).ravel()}))
         return pd.concat(out) if out else pd.DataFrame(none)
 
-    found = []
-    for level in sorted(r["level"] for r in asked.select("level").distinct().collect()):  # at most symbols + 2
+    def visit(level: int, here: DataFrame) -> DataFrame:
         some, depth = 1 if level == 0 else trees, abs(level)
-        tree_code = lambda d, *more: d.select("node", "vec", *more, F.posexplode(F.slice("codes", 1, some)).alias("tree", "code")).withColumn("prefix", of(depth))  # noqa: B023, E731
+        tree_code = lambda d, *more: d.select("node", "vec", *more, F.posexplode(F.slice("codes", 1, some)).alias("tree", "code")).withColumn("prefix", of(depth))
         r = tree_code(coded, "size").withColumn("query", F.lit(0))
-        here = asked.where(F.col("level") == level).withColumn("size", F.lit(1.0).cast("float"))
+        here = here.withColumn("size", F.lit(1.0).cast("float"))
         if level < 0:
             q = here.select("node", "vec", "size", F.posexplode("firsts").alias("at", "prefix")).select("node", "vec", "size", F.floor(F.col("at") / probes).cast("int").alias("tree"), (F.col("prefix") * base ** (symbols - 1)).alias("code"), "prefix")
         else:
@@ -175,10 +174,19 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
         q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         slots = max(1, -(-total // 4096)) if level else 1
         both = r.unionByName(q).withColumn("slot", F.pmod(F.xxhash64("prefix"), F.lit(slots))).withColumn("level", F.lit(depth))
-        found.append(both.select("tree", "slot", "part", "level", "query", "node", "code", "vec", "size").groupBy("tree", "slot", "part").applyInPandas(meet, "query long, node long, about double"))
+        return both.select("tree", "slot", "part", "level", "query", "node", "code", "vec", "size").groupBy("tree", "slot", "part").applyInPandas(meet, "query long, node long, about double")
+
+    levels = sorted(r["level"] for r in asked.select("level").distinct().collect())  # at most symbols + 2
+    found = [visit(level, asked.where(F.col("level") == level)) for level in levels]
     if not found:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    found = reduce(DataFrame.unionByName, found).groupBy("query", "node").agg(F.max("about").alias("about"))
+    once = lambda d: d.groupBy("query", "node").agg(F.max("about").alias("about"))
+    found = materialize(once(reduce(DataFrame.unionByName, found)), "found")
+    # trees may hold the same few rows: queries that found too few go on to the root
+    full = found.groupBy("query").count().where(F.col("count") >= min(k + 1, total)).select(F.col("query").alias("node"))
+    short = asked.where("level <> 0").join(full, "node", "left_anti")
+    if not short.isEmpty():
+        found = once(found.unionByName(visit(0, short)))
     near = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "node"))).where(F.col("n") <= 2 * keep)
     near = near.select("query", "node").join(nodes, "node").join(queries.select(F.col("node").alias("query"), F.col("embedding").alias("q")), "query")
     exact = near.select("query", "node", F.aggregate(F.zip_with("embedding", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
