@@ -64,11 +64,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     """query_id, rank, vec_id, score: the k nearest found of every vector whose vec_id is divisible by `every`, but for itself.
 
     vectors: vec_id, embedding; other columns play no part. What is indexed is lifted by a component, by which the nearest by
-    inner product are the nearest by angle, whatever the vectors' lengths; one in a thousand, the longest, to a length of
-    their own. Equal vectors are indexed once; the k + 1 smallest vec_ids of each
+    inner product are the nearest by angle among vectors of about one length; the longest, one in 10, 100, 1,000 and 100,000,
+    are each lifted to a length of their own, so that the shorter ones keep their directions. Equal vectors are indexed once; the k + 1 smallest vec_ids of each
     come back at the end, and no other could be among the k nearest. Each tree orders the hash strings of all vectors. A
     query descends to its longest prefix in every tree and ascends, in all trees at once, symbol by symbol, until the
-    prefixes hold 20 * N ** 0.6 candidates; from one symbol it ascends to the `probes` sibling symbols nearest to it, and to
+    prefixes hold 40 * N ** 0.6 candidates; from one symbol it ascends to the `probes` sibling symbols nearest to it, and to
     the root only where these hold fewer than 8 * (k + 1), or fewer than k + 1 different rows. These ranges are then read: rows and queries of a tree's prefix meet in a task,
     where the strings are a sorted array, and are compared by vectors of 8 bits a component; the best keep of each tree are
     compared by the original vectors in double precision. A prefix of more than `block` rows is split and its queries go to
@@ -87,8 +87,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     # in parts of the largest component, whose square may be no double
     largest = nodes.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0] or 1.0
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / F.lit(largest)) * (x / F.lit(largest))))
-    # a few very long vectors would make all others' directions nothing: they are lifted to lengths of their own
-    norms = nodes.agg(F.percentile_approx(norm, [0.999, 0.99999, 1.0], 1_000_000)).first()[0] or [1.0]
+    # long vectors would make all others' directions nothing: the longest are lifted to lengths of their own
+    norms = nodes.agg(F.percentile_approx(norm, [0.9, 0.99, 0.999, 0.99999, 1.0], 1_000_000)).first()[0] or [1.0]
     longest = F.coalesce(*[F.when(norm <= m, F.lit(m)) for m in norms], norm)
     queries = materialize(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("node"), "embedding"), "queries")
 
@@ -121,7 +121,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
         counts = counts.groupBy("tree", F.floor(F.col("prefix") / base).alias("prefix")).agg(F.sum("count").alias("count"))
         levels.append(counts.withColumn("level", F.lit(level)))
     counts = materialize(reduce(DataFrame.unionByName, levels).select("tree", "level", "prefix", "count"), "prefixes")
-    wanted, few = 20.0 * max(total, 1) ** 0.6, 8 * (k + 1)
+    wanted, few = 40.0 * max(total, 1) ** 0.6, 8 * (k + 1)
     at = asked.select("node", F.posexplode("codes").alias("tree", "code"))
     at = at.select("node", "tree", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), of(v).alias("prefix")) for v in range(1, symbols + 1)])).alias("p")).select("node", "tree", "p.*")
     held = at.join(counts, ["tree", "level", "prefix"]).groupBy("node", "level").agg(F.sum("count").alias("held"))
