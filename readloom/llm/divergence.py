@@ -2,40 +2,43 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch
 
-#: Runs of Latin letters and of what isn't ASCII, in UTF-8, lower case.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: What stands between terms, which are runs of ASCII letters and of what isn't ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 BILLION = 10**9
 #: A dense block of a chunk has at most so many cells, of eight bytes, but one term at least.
 CELLS = 1 << 19
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and df (documents): rows of a batch are summed up before they are shuffled."""
+    """lang, source, term, n (occurrences) and df (documents): a batch's terms become ids, which are counted by document, then by group, before anything is shuffled."""
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n: dict[tuple[str, str], Counter] = {}
-            df: dict[tuple[str, str], Counter] = {}
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-                found = TERM.findall(text.encode("utf-8", "surrogatepass").lower())  # bytes: only A-Z get small
-                n.setdefault((lang, source), Counter()).update(found)
-                df.setdefault((lang, source), Counter()).update(set(found))
-            rows = [(lang, source, term.decode(), k, df[lang, source][term]) for (lang, source), c in n.items() for term, k in c.items()]
-            yield pd.DataFrame(rows, columns=["lang", "source", "term", "n", "df"])
-
-    rows = docs.mapInPandas(count, "lang string, source string, term string, n long, df long")
+            lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+            split = pc.split_pattern_regex(pc.ascii_lower(batch.column("text")), BETWEEN)
+            doc, words = pc.list_parent_indices(split).to_numpy().astype(np.int64), pc.list_flatten(split).dictionary_encode()
+            v, w = len(words.dictionary), len(source.dictionary)
+            places, n = np.unique(doc * v + words.indices.to_numpy(), return_counts=True)  # a document's term
+            group = lang.indices.to_numpy().astype(np.int64) * w + source.indices.to_numpy()
+            key, at = np.unique(group[places // v] * v + places % v, return_inverse=True) if v else (places, places)
+            k, term = key // v if v else key, pa.array(key % v if v else key)
+            columns = lang.dictionary.take(pa.array(k // max(w, 1))), source.dictionary.take(pa.array(k % max(w, 1))), words.dictionary.take(term), pa.array(np.bincount(at, weights=n).astype(np.int64)), pa.array(np.bincount(at).astype(np.int64))
+            out = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield out.filter(pc.not_equal(out["term"], ""))  # what stands before a text's first term and behind its last
+
+    rows = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, df long")
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
@@ -43,53 +46,48 @@ CHUNK = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.string())), ("so
 CHUNK_DDL = "lang string, terms array<string>, sources array<string>, totals array<long>, source_ids array<int>, term_ids array<int>, n array<long>"
 
 
+def ids(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different words, in UTF-8 and so in its order, and the place of each word among them."""
+    known = np.unique(words)
+    return known, np.searchsorted(known, words).astype(np.int32)
+
+
 def encoded(counts: DataFrame, least: int, width: int) -> DataFrame:
     """CHUNK's columns: the dictionary of kept terms in pieces of at most width sorted terms of a language, and the counts of those terms by ids.
 
-    Ranges of (lang, term) are sorted and streamed: all rows of a term are neighbours, so its documents add up, a term with fewer than
-    least is left out, and the kept ones get ids in the order of UTF-8. A task holds one piece.
+    Ranges of (lang, term) hold all rows of a term, so its documents add up there and a term with fewer than least is left out. What
+    is kept is streamed in order; a task holds a batch and one term's sources.
     """
-    ranged = counts.repartitionByRange(F.col("lang"), F.col("term")).sortWithinPartitions("lang", "term")
+    ranged = counts.repartitionByRange(F.col("lang"), F.col("term")).withColumn("all", F.sum("df").over(Window.partitionBy("lang", "term")))
+    kept = ranged.where(F.col("all") >= least).select("lang", "term", "source", "n").sortWithinPartitions("lang", "term")
+    kept = kept.select("lang", *[F.col(c).cast("binary").alias(c) for c in ("term", "source")], "n")
+
+    def pieces(lang: str, terms: np.ndarray, sources: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known, term_ids = ids(terms)
+        for a in range(0, len(known), width):
+            i, j = np.searchsorted(term_ids, [a, a + width])
+            names, source_ids = ids(sources[i:j])
+            totals = np.bincount(source_ids, weights=n[i:j]).astype(np.int64)  # whole numbers below 2**53 are exact in doubles
+            columns = lang, known[a : a + width], names, totals, source_ids, term_ids[i:j] - np.int32(a), n[i:j]
+            yield pa.RecordBatch.from_arrays([pa.array([x if k else lang], pa.list_(pa.binary()) if k in (1, 2) else f.type).cast(f.type) for k, (x, f) in enumerate(zip(columns, CHUNK, strict=True))], schema=CHUNK)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, str, int]] = []  # term, source, n of the piece
-        terms: list[str] = []
-        open_: list[tuple[str, int]] = []  # source, n of the term that is being read
-        now, df = None, 0
-
-        def close() -> None:
-            if now and df >= least:
-                terms.append(now[1])
-                held.extend((now[1], s, n) for s, n in open_)
-
-        def piece() -> pa.RecordBatch:
-            words, names = np.array(terms, dtype=object), sorted({s for _, s, _ in held}, key=str.encode)
-            term_ids = np.searchsorted(np.array([w.encode() for w in words], dtype=object), np.array([t.encode() for t, _, _ in held], dtype=object)).astype(np.int32)
-            place = {s: i for i, s in enumerate(names)}
-            source_ids = np.array([place[s] for _, s, _ in held], np.int32)
-            n = np.array([k for *_, k in held], np.int64)
-            totals = np.zeros(len(names), np.int64)
-            np.add.at(totals, source_ids, n)
-            out = pa.RecordBatch.from_pydict({"lang": [now[0]], "terms": [terms], "sources": [names], "totals": [totals], "source_ids": [source_ids], "term_ids": [term_ids], "n": [n]}, schema=CHUNK)
-            held.clear()
-            terms.clear()
-            return out
-
+        held: list[np.ndarray] | None = None  # rows of the last term, which the next batch may go on with
         for batch in batches:
-            for lang, source, term, n, d in zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "term", "n", "df")], strict=True):
-                if (lang, term) != now:
-                    close()
-                    if terms and (lang != now[0] or len(terms) >= width):
-                        yield piece()
-                    now, df = (lang, term), 0
-                    open_.clear()
-                open_.append((source, n))
-                df += d
-        close()
-        if terms:
-            yield piece()
-
-    return ranged.mapInArrow(stream, CHUNK_DDL)
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            lang, term = rows[0], rows[1]
+            edges = np.flatnonzero(lang[1:] != lang[:-1]) + 1
+            starts = np.flatnonzero((lang[1:] != lang[:-1]) | (term[1:] != term[:-1])) + 1
+            whole = int(starts[-1]) if len(starts) else 0
+            for a, b in zip([0, *edges], [*edges, whole], strict=True):
+                if a < b:
+                    yield from pieces(lang[a], *[x[a:b] for x in rows[1:]])
+            held = [x[whole:] for x in rows]
+        if held and len(held[0]):
+            yield from pieces(held[0][0], *held[1:])
+
+    return kept.mapInArrow(stream, CHUNK_DDL)
 
 
 def shares(counts: np.ndarray, total: int, v: int) -> np.ndarray:
@@ -117,15 +115,14 @@ def compare(piece: pd.DataFrame, groups: pd.DataFrame, v: int, top: int) -> pd.D
     terms = piece["terms"].iloc[0] if len(piece) else []
     if len(terms):
         row = piece.iloc[0]
-        order = {name: i for i, name in enumerate(names)}
-        group = np.array([order[x] for x in row["sources"]])[row["source_ids"]]
-        ids, n = np.asarray(row["term_ids"]), np.asarray(row["n"])
+        utf8 = lambda x: np.array([w.encode() for w in x], dtype=object)
+        group = np.searchsorted(utf8(names), utf8(row["sources"]))[row["source_ids"]]
+        term, n = np.asarray(row["term_ids"]), np.asarray(row["n"])
         step = max(1, CELLS // s)
         for a in range(0, len(terms), step):
             b = min(a + step, len(terms))
-            inside = (ids >= a) & (ids < b)
-            # sums of whole numbers below 2**53 are exact in doubles
-            dense = np.bincount(group[inside] * (b - a) + ids[inside] - a, weights=n[inside], minlength=s * (b - a)).astype(np.int64).reshape(s, b - a)
+            inside = (term >= a) & (term < b)
+            dense = np.bincount(group[inside] * (b - a) + term[inside] - a, weights=n[inside], minlength=s * (b - a)).astype(np.int64).reshape(s, b - a)
             q = shares(dense.sum(0), all_, v)
             p = np.stack([shares(dense[i], int(total[i]), v) for i in range(s)])
             for i in range(s):
