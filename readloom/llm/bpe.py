@@ -121,10 +121,13 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Ids of texts. Short words that were met are kept, up to most of them, so that a batch merges its new words only."""
+    """Ids of texts. Short words that were met are kept, up to about most of them, so that new words alone are merged.
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.v, self.most, self.seen = vocabulary(path), most, {}
+    Texts are taken some at a time, of about chars characters, which bounds the words that are held at once; a longer text is taken by itself.
+    """
+
+    def __init__(self, path: str, most: int = 200_000, chars: int = 1 << 20):
+        self.v, self.most, self.chars, self.seen = vocabulary(path), most, chars, {}
         self.special = {k: np.array([i], "<u4").tobytes() for k, i in self.v.special.items()}
 
     def split(self, text: str) -> list[str]:
@@ -143,6 +146,18 @@ class Encoder:
         return out + plain(text[at:])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            if some and size + len(text) > self.chars:
+                out += self.some(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        return out + self.some(some)
+
+    def some(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         if len(self.seen) > self.most:
             self.seen = {}

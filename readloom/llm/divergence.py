@@ -168,7 +168,9 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, width: int = 4096) ->
             return compare(left, right, int(right["v"].iloc[0]), top).assign(lang=key[0])
 
         parts = pieces.groupBy("lang", "piece").cogroup(work.groupBy("of_lang", "of_piece")).applyInPandas(run, "lang string, part string, source string, item string, value long")
-        parts = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-        rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-        out = parts.withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= top))
+        parts = materialize(parts, "divergence-parts")
+        pair = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+        rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+        term = parts.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= top)  # a term is in one piece; a task keeps the top of what it reads
+        out = pair.withColumn("rank", rank).unionByName(term)
         return materialize(out.select("lang", "source", "part", "item", "value", "rank"), "divergence", keep=True)
