@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import os
 import sys
 
 from readloom import __version__, catalog, model
+from readloom.functions.naming import bytes_text
 
 PACING = {"interval": float, "batch-size": int, "timing-model": str, "random-factor": float, "burst-probability": float, "burst-rate-multiplier": float, "adaptation-rate": float, "history-size": int}
 
@@ -28,6 +30,12 @@ def parser() -> argparse.ArgumentParser:
     for c in (r, g):
         c.add_argument("--profile")
         c.add_argument("--real-time", action="store_true", default=None)
+        c.add_argument("--parallel", action=argparse.BooleanOptionalAction, default=None, help="bring several files of a batch out at once")
+        c.add_argument("--workers", type=int)
+        c.add_argument("--timeout", type=float, help="seconds that a batch may take")
+        c.add_argument("--pipeline", help="say afterwards what a pipeline would miss in the target")
+        c.add_argument("--monitor", choices=("none", "default", "enhanced"), default="default")
+        c.add_argument("--quiet", action="store_true")
         for name, kind in PACING.items():
             c.add_argument(f"--{name}", type=kind)
     v = sub.add_parser("validate", help="check a folder for a pipeline")
@@ -44,12 +52,31 @@ def parser() -> argparse.ArgumentParser:
 
 def pacing(a: argparse.Namespace) -> model.Pacing:
     """Parameters given, then the profile's, then defaults."""
-    own = {k: v for k, v in catalog.profile(a.profile).items() if k in ("batch_size", "timing_model", "timing_params")} if a.profile else {}
+    own = {k: v for k, v in catalog.profile(a.profile).items() if k in ("batch_size", "timing_model", "timing_params", "parallel", "workers")} if a.profile else {}
     params = own.pop("timing_params", {}) | {k: v for k, v in ((n.replace("-", "_"), getattr(a, n.replace("-", "_"))) for n in PACING) if v is not None and k not in ("interval", "batch_size", "timing_model")}
-    given = {k: getattr(a, k) for k in ("interval", "batch_size", "timing_model", "real_time") if getattr(a, k) is not None}
+    given = {k: getattr(a, k) for k in ("interval", "batch_size", "timing_model", "real_time", "parallel", "workers", "timeout") if getattr(a, k) is not None}
     return model.Pacing(**own | given, timing_params=params)
 
 
+def monitor(kind: str, quiet: bool) -> str:
+    """none, basic or enhanced; enhanced needs psutil, and without it a warning goes out and basic stays."""
+    if quiet or kind == "none":
+        return "none"
+    if kind == "enhanced":
+        if importlib.util.find_spec("psutil"):
+            return "enhanced"
+        print("enhanced monitoring needs psutil; basic monitoring is used", file=sys.stderr)
+    return "basic"
+
+
+def report(target: str, pipeline: str) -> None:
+    """What a pipeline would miss after a run; it never changes the exit code."""
+    found = issues(target, pipeline)
+    print(f"{pipeline}: " + ("the output fits" if not found else "the output may not fit"))
+    for issue in found:
+        print(f"  {issue}")
+
+
 def picked(a: argparse.Namespace, *names: str) -> dict:
     return {n: getattr(a, n) for n in names if getattr(a, n) is not None}
 
@@ -95,6 +122,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
+    except KeyboardInterrupt as e:
+        print(f"ended by {e or 'an interrupt'}", file=sys.stderr)
+        return 130
 
 
 def run(a: argparse.Namespace, spark) -> int:
@@ -104,6 +134,8 @@ def run(a: argparse.Namespace, spark) -> int:
     from readloom.sources import fastq
 
     if a.command == "replay":
+        if a.profile and a.operation is None and a.reads_per_file is None:
+            a.operation = catalog.profile(a.profile).get("operation")
         config = model.ReplayConfig(**picked(a, "source", "target", "operation", "reads_per_file", "output", "barcodes", "barcode_pattern", "prefix", "structure"), pacing=pacing(a))
     else:
         model.need((a.genomes is None) != (a.mock is None), "give either genomes or a mock community")
@@ -118,14 +150,23 @@ def run(a: argparse.Namespace, spark) -> int:
         more = {k: v for k, v in catalog.profile(a.profile).items() if k in ("read_count", "reads_per_file")} if a.profile else {}
         more |= picked(a, "target", "read_count", "reads_per_file", "structure", "output_format", "mean_length", "std_length", "min_length", "mean_quality", "std_quality", "seed", "mix_reads")
         config = model.GenerateConfig(genomes=tuple(genomes), abundances=tuple(weights) if weights else None, **more, pacing=pacing(a))
+    model.need(a.pipeline is None or a.pipeline in catalog.ADAPTERS, f"no adapter named {a.pipeline!r}")
     spark = spark or SparkSession.builder.appName("readloom").getOrCreate()
     try:
         done = runs.replay(spark, config) if a.command == "replay" else runs.generate(spark, config)
     except runs.EmptySource as e:
         print(e, file=sys.stderr)
         return 3
-    for target, reads, at in done:
-        print(f"{at:.2f}\t{reads}\t{target}")
+    watch = monitor(a.monitor, a.quiet)
+    if watch != "none":
+        for target, reads, at in done:
+            print(f"{at:.2f}\t{reads}\t{target}")
+    if watch == "enhanced":
+        import psutil
+
+        print(f"memory of the driver: {bytes_text(psutil.Process().memory_info().rss)}")
+    if a.pipeline:
+        report(config.target, a.pipeline)
     return 0
 
 

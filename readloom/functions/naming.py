@@ -86,3 +86,9 @@ def human_time(s: Column) -> Column:
     """Half-way values go up."""
     s = s.cast("double")
     return F.when(s < 60, F.format_string("%.1fs", s)).when(s < 3600, F.format_string("%.1fm", s / 60)).otherwise(F.format_string("%.1fh", s / 3600))
+
+
+def bytes_text(n: float) -> str:
+    """human_bytes() of a number that the driver has."""
+    unit = next((u for u in ("B", "KB", "MB", "GB", "TB") if n < 1024 or (n := n / 1024) < 0), "PB")
+    return f"{n:.1f} {unit}"

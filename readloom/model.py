@@ -61,8 +61,13 @@ class Pacing:
     timing_model: str = "uniform"
     timing_params: dict = field(default_factory=dict)
     real_time: bool = False
+    parallel: bool = False
+    workers: int = 4
+    timeout: float = 600.0
 
     def check(self) -> None:
+        need(self.workers >= 1, "workers must be at least 1")
+        need(self.timeout > 0, "timeout must be positive")
         need(self.interval >= 0, "interval must not be negative")
         need(self.batch_size >= 1, "batch_size must be at least 1")
         timing_parameters(self.timing_model, self.timing_params)

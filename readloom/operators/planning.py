@@ -9,26 +9,32 @@ from readloom.functions.rng import uniform
 from readloom.storage import written
 
 
-def positions(df: DataFrame, order: list, group: str | None = None, name: str = "pos", parts: int | None = None) -> DataFrame:
-    """df with each row's place, from 0, in the order given (of its group, if there is one), without a window over all rows.
+def before(df: DataFrame, order: list, value: Column | str, name: str, by: str | None = None, parts: int | None = None) -> DataFrame:
+    """df with the sum of value over the rows before each one in order (of its group, if there is one), without a window over all rows.
 
-    Rows are dealt into ranges and written once, for a range partitioner samples anew in every plan; only the ranges' counts and, for groups, the groups' firsts are summed up as one small
-    table. A group with most of the rows is spread over many ranges.
+    Rows are dealt into ranges and written once, for a range partitioner samples anew in every plan. Within a range the sum is a window; the ranges' own
+    sums, a row a range (and group), give what each one starts with. A group with most of the rows is spread over many ranges. value is not null.
     """
-    keys = ([group] if group else []) + list(order)
+    keys = ([by] if by else []) + list(order)
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(df.repartitionByRange(parts, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
-    out = ranged.withColumn(name, within - 1).join(F.broadcast(counts), F.col("__range") == F.col("__r"))  # a row a range
-    out = out.withColumn(name, (F.col(name) + F.col("__before")).cast("bigint")).drop("__range", "__r", "__before", "__rows")
-    if group is None:
-        return out
-    first = out.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
-    first = first.select("__g", F.coalesce(F.sum("__n").over(Window.orderBy(F.col("__g").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    return out.join(first, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col(name) - F.col("__first")).drop("__g", "__first")
+    ranged = df.withColumn("__value", value if isinstance(value, Column) else F.col(value))
+    ranged = written(ranged.repartitionByRange(parts, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    group = [F.col(by).alias("__by")] if by else []
+    sums = ranged.groupBy(*group, F.col("__range").alias("__r")).agg(F.sum("__value").alias("__s"))
+    sums = sums.groupBy(*(["__by"] if by else [])).agg(F.array_sort(F.collect_list(F.struct("__r", "__s"))).alias("__l"))  # as many as there are ranges
+    zero = F.lit(0).cast(dict(sums.dtypes)["__l"].rpartition("__s:")[2].rstrip(">"))
+    first = F.transform("__l", lambda x, i: F.struct(x["__r"].alias("r"), F.aggregate(F.slice("__l", 1, i), zero, lambda s, y: s + y["__s"]).alias("s")))
+    sums = sums.select(*(["__by"] if by else []), F.inline(first).alias("__r", "__before"))
+    own = F.sum("__value").over(Window.partitionBy("__range", *([by] if by else [])).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    out = ranged.withColumn(name, F.coalesce(own, zero))
+    same = F.col("__range") == F.col("__r")
+    out = out.join(sums, same & F.col(by).eqNullSafe(F.col("__by"))) if by else out.join(F.broadcast(sums), same)  # a row a range
+    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__value", "__range", "__r", "__by", "__before")
+
+
+def positions(df: DataFrame, order: list, group: str | None = None, name: str = "pos", parts: int | None = None) -> DataFrame:
+    """df with each row's place, from 0, in the order given (of its group, if there is one), by before()."""
+    return before(df, order, F.lit(1).cast("bigint"), name, group, parts)
 
 
 def chunked(df: DataFrame, per_file: int, pos: str = "pos") -> DataFrame:
@@ -51,8 +57,8 @@ def batched(seq: Column, size: int) -> Column:
 
 
 def small_order(df: DataFrame, order: list, name: str = "seq_no") -> DataFrame:
-    """Numbers the rows of a plan, which has a row a file: one window."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    """Numbers the rows of a plan, which has a row a file."""
+    return positions(df, order, name=name)
 
 
 def rounds(plan: DataFrame, file_index: str, barcode: str, seed: str) -> DataFrame:
@@ -93,6 +99,6 @@ def cascaded(df: DataFrame, n: str, per_file: int) -> DataFrame:
     return d.withColumn("read_count", F.least(F.lit(per_file).cast("bigint"), F.col(n) - F.col("file_index") * per_file))
 
 
-def running_before(df: DataFrame, order: list, value: str, name: str = "start") -> DataFrame:
-    """Sums of value over the rows before, in a table of a row a file."""
-    return df.withColumn(name, F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+def running_before(df: DataFrame, order: list, value: str, name: str = "start", by: str | None = None) -> DataFrame:
+    """Sums of value over the rows before."""
+    return before(df, order, F.col(value).cast("bigint"), name, by)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions import naming
+from readloom.sources.snapshots import Snapshots
+from readloom.storage import written
+
 #: Assembly levels from best to worst, domains by taxid, and parts of names that tell eukaryotes.
 LEVELS = ["Complete Genome", "Chromosome", "Scaffold", "Contig"]
 DOMAINS = {2: "bacteria", 2157: "archaea", 2759: "eukaryota"}
@@ -65,3 +69,56 @@ def assemblies(lines: DataFrame, text: str = "value") -> DataFrame:
     taxids = F.transform(lineage, lambda x: F.coalesce(F.get_json_object(x, "$.tax_id"), x).try_cast("bigint"))
     d = r.select("r.accession", F.coalesce("r.organism.organism_name", F.lit("")).alias("name"), taxids.alias("taxids"), level_rank(F.col("r.assembly_info.assembly_level")).alias("rank"))
     return d.withColumn("domain", domain_of(F.col("taxids"), F.col("name")))
+
+
+#: Columns of a lookup: what kind of key it answers (species or taxid), the key, and the genome.
+LOOKUP = ["kind", "key", "name", "accession", "domain"]
+
+
+def tagged(requests: DataFrame, lookups: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """requests with ref_name, ref_accession, ref_source, ref_domain of the genome each asks for, and miss, why there is none.
+
+    requests: kind, key, name, accession, resolver, domain; further columns stay. kind accession: a well-formed key is its own answer, of the
+    source ncbi. kind organism: one with an accession is its own answer, of its resolver; another is looked up as a species. species and taxid are looked
+    up by key, case apart, in the first of lookups that has it. lookups: (source, table of LOOKUP, domains that it isn't asked about); a lookup that
+    holds a column source gives that. Other kinds, null keys and keys that no lookup has are misses. Repeated requests stay as often as they come.
+
+    One join: lookups are put together by key first, a short list a key, so that a hot key's requests can be split.
+    """
+    all_ = None
+    for rank, (source, t, without) in enumerate(lookups):
+        own = F.coalesce(F.col("source"), F.lit(source)) if "source" in t.columns else F.lit(source)
+        t = t.select("kind", F.lower("key").alias("key"), F.struct(F.lit(rank).alias("rank"), "accession", "name", own.alias("source"), "domain", F.array(*map(F.lit, without)).cast("array<string>").alias("without")).alias("r"))
+        all_ = t if all_ is None else all_.unionByName(t)
+    best = all_.where("r.accession is not null").groupBy(F.col("kind").alias("__kind"), F.col("key").alias("__key"), F.col("r.rank").alias("rank")).agg(F.min("r").alias("r"))
+    best = best.groupBy("__kind", "__key").agg(F.array_sort(F.collect_list("r")).alias("__refs"))  # one a lookup at most
+    kind = F.when(F.col("kind") == "organism", F.when(F.col("accession").isNull(), F.lit("species"))).when(F.col("kind").isin("species", "taxid"), F.col("kind"))
+    d = requests.withColumn("__asked", kind).withColumn("__lower", F.lower("key"))
+    d = d.join(best, (F.col("__asked") == F.col("__kind")) & (F.col("__lower") == F.col("__key")), "left")
+    hit = F.get(F.filter("__refs", lambda r: ~F.coalesce(F.array_contains(r["without"], F.col("domain")), F.lit(False))), F.lit(0))
+    d = d.withColumn("__hit", hit)
+    formed = (F.col("kind") == "accession") & naming.is_accession(F.col("key"))
+    known = (F.col("kind") == "organism") & F.col("accession").isNotNull()
+    pick = lambda direct, organism, found: F.when(formed, direct).when(known, organism).otherwise(found)
+    d = d.withColumns({
+        "ref_name": pick(F.coalesce("name", "key"), F.coalesce("name", "key"), F.col("__hit.name")),
+        "ref_accession": pick(F.col("key"), F.col("accession"), F.col("__hit.accession")),
+        "ref_source": pick(F.lit("ncbi"), F.col("resolver"), F.col("__hit.source")),
+        "ref_domain": pick(F.coalesce("domain", F.lit("bacteria")), F.coalesce("domain", F.when(F.col("resolver") == "ncbi", "eukaryota").otherwise("bacteria")), F.col("__hit.domain")),
+    })
+    why = F.when(F.col("kind") == "accession", "malformed accession").when(F.col("kind").isin("organism", "species", "taxid"), "not found").otherwise("unknown kind")
+    return d.withColumn("miss", F.when(F.col("ref_accession").isNull(), why)).drop("__asked", "__lower", "__kind", "__key", "__refs", "__hit")
+
+
+def through(requests: DataFrame, cache: Snapshots, lookups: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """tagged() with the cache as the first lookup, and cached, whether it came from there; what other lookups have found for a key is put into the cache.
+
+    cache: a Snapshots of LOOKUP and source, by kind and key. Without lookups it is an offline resolution.
+    """
+    d = tagged(requests, [("cache", cache.read().withColumn("source", F.concat(F.lit("cache:"), "source")), []), *lookups])
+    d = d.withColumn("cached", F.coalesce(F.startswith("ref_source", F.lit("cache:")), F.lit(False))).withColumn("ref_source", F.regexp_replace("ref_source", "^cache:", ""))
+    d = written(d, "resolved")
+    asked = F.when(F.col("kind") == "taxid", "taxid").otherwise("species")
+    found = d.where("miss is null and not cached").where(F.col("kind").isin("species", "taxid") | ((F.col("kind") == "organism") & F.col("accession").isNull()))
+    cache.put(found.select(asked.alias("kind"), "key", F.col("ref_name").alias("name"), F.col("ref_accession").alias("accession"), F.col("ref_domain").alias("domain"), F.col("ref_source").alias("source")))
+    return d

@@ -6,11 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.rng import exponential
-from readloom.operators.planning import positions
+from readloom.operators.planning import before, positions
 
 
 def uniform_interval(base: float) -> Column:
@@ -85,7 +85,6 @@ def adaptive_intervals(draws: DataFrame, base: float, rate: float = 0.1, history
     return out.select(*by, "batch", "interval_s")
 
 
-def schedule(intervals: DataFrame, by: list[str] = ()) -> DataFrame:
+def schedule(intervals: DataFrame, by: str | None = None) -> DataFrame:
     """emit_offset_s: what has passed before a batch; no wait follows the last one."""
-    w = Window.partitionBy(*by).orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
-    return intervals.withColumn("emit_offset_s", F.coalesce(F.sum("interval_s").over(w), F.lit(0.0)))
+    return before(intervals, ["batch"], "interval_s", "emit_offset_s", by)

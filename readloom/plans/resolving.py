@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from readloom import catalog
 from readloom.operators import planning as P
 from readloom.operators import resolving as R
 from readloom.plans.registry import query, table
+from readloom.sources.snapshots import Snapshots
+from readloom.storage import shared_dir
 
 
 @query("alias_lookup", """
@@ -69,14 +73,50 @@ def alias_listing(spark, sf):
     return table(spark, sf, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("region")).agg(F.array_join(F.sort_array(F.collect_list("n_name")), ", ").alias("names"))
 
 
-@query("multi_source_resolve", """
-WITH r AS (SELECT 'name' AS kind, n_name AS k, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS ref FROM nation UNION ALL SELECT 'id', s_suppkey::VARCHAR, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END FROM supplier)
-SELECT kind, count(*)::BIGINT AS found, round(1.0::DOUBLE / sum(count(*)) OVER () * count(*), 9) AS share FROM r WHERE ref IS NOT NULL GROUP BY 1""")
+REQUESTS = """q AS (SELECT 'species' AS kind, n_name AS key, n_regionkey = 0 AS eukaryote FROM nation UNION ALL SELECT 'taxid', s_suppkey::VARCHAR, false FROM supplier UNION ALL SELECT 'accession', CASE WHEN c_custkey % 9 = 0 THEN 'GCX_' ELSE 'GCF_' END || lpad(c_custkey::VARCHAR, 9, '0') || '.1', false FROM customer),
+first AS (SELECT 'species' AS kind, lower(n_name) AS key, 'F' || n_nationkey AS accession FROM nation WHERE n_nationkey % 3 = 0),
+second AS (SELECT 'species' AS kind, lower(n_name) AS key, 'S' || n_nationkey AS accession FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'taxid', s_suppkey::VARCHAR, 'T' || s_suppkey FROM supplier WHERE s_suppkey % 7 <> 0)"""
+
+
+def requests(spark, sf):
+    """Names (those of one region as eukaryotes), taxids and accessions, some of them malformed, and two lookups, of which the first isn't asked about eukaryotes."""
+    n, s, k = table(spark, sf, "nation"), table(spark, sf, "supplier"), F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    plain = lambda d, kind, key, domain=none: d.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), none.alias("name"), none.alias("accession"), none.alias("resolver"), domain.alias("domain"))
+    q = plain(n, "species", F.col("n_name"), F.when(F.col("n_regionkey") == 0, "eukaryota")).unionByName(plain(s, "taxid", F.col("s_suppkey")))
+    q = q.unionByName(plain(table(spark, sf, "customer"), "accession", F.concat(F.when(k % 9 == 0, "GCX_").otherwise("GCF_"), F.lpad(k.cast("string"), 9, "0"), F.lit(".1"))))
+    found = lambda d, kind, key, accession: d.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), key.cast("string").alias("name"), accession.alias("accession"), F.lit("bacteria").alias("domain"))
+    name, no = F.col("n_name"), F.col("n_nationkey").cast("string")
+    first = found(n.where("n_nationkey % 3 = 0"), "species", F.upper(name), F.concat(F.lit("F"), no))
+    second = found(n.where("n_nationkey % 2 = 0"), "species", name, F.concat(F.lit("S"), no)).unionByName(found(s.where("s_suppkey % 7 <> 0"), "taxid", F.col("s_suppkey"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string"))))
+    return q, [("first", first, ["eukaryota"]), ("second", second, [])]
+
+
+@query("multi_source_resolve", f"""
+WITH {REQUESTS}, r AS (SELECT q.kind, CASE WHEN q.kind = 'accession' THEN CASE WHEN q.key LIKE 'GCF%' THEN q.key END WHEN NOT eukaryote AND first.accession IS NOT NULL THEN first.accession ELSE second.accession END AS ref
+  FROM q LEFT JOIN first ON q.kind = first.kind AND lower(q.key) = first.key LEFT JOIN second ON q.kind = second.kind AND lower(q.key) = second.key)
+SELECT kind, count(ref)::BIGINT AS found, count_if(ref IS NULL)::BIGINT AS missed, min(ref) AS least_ref, max(ref) AS most_ref, round(1.0::DOUBLE / sum(count(ref)) OVER () * count(ref), 9) AS share FROM r GROUP BY 1""")
 def multi_source_resolve(spark, sf):
-    n = table(spark, sf, "nation").select(F.lit("name").alias("kind"), F.col("n_name").alias("k"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name")).alias("ref"))
-    s = table(spark, sf, "supplier").select(F.lit("id").alias("kind"), F.col("s_suppkey").cast("string").alias("k"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_name")).alias("ref"))
-    d = n.unionByName(s).where("ref is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("found"))
-    return P.renormalised(d, "found").select("kind", "found", F.round("share", 9).alias("share"))
+    """Names, taxids and accessions resolved at once, with what is missed."""
+    q, lookups = requests(spark, sf)
+    d = R.tagged(q, lookups).groupBy("kind").agg(F.count("ref_accession").alias("found"), F.count("miss").alias("missed"), F.min("ref_accession").alias("least_ref"), F.max("ref_accession").alias("most_ref"))
+    return P.renormalised(d, "found").select("kind", "found", "missed", "least_ref", "most_ref", F.round("share", 9).alias("share"))
+
+
+@query("resolution_cache", f"""
+WITH {REQUESTS}, r AS (SELECT q.kind, lower(q.key) AS key, CASE WHEN NOT eukaryote AND first.accession IS NOT NULL THEN first.accession ELSE second.accession END AS accession, CASE WHEN NOT eukaryote AND first.accession IS NOT NULL THEN 'first' ELSE 'second' END AS source
+  FROM q LEFT JOIN first ON q.kind = first.kind AND lower(q.key) = first.key LEFT JOIN second ON q.kind = second.kind AND lower(q.key) = second.key WHERE q.kind <> 'accession')
+SELECT kind, key, accession, source, true AS again FROM r WHERE accession IS NOT NULL""")
+def resolution_cache(spark, sf):
+    """What a cache holds after half of the requests and then all are resolved, and whether a third time, without any lookup, gives the same for each."""
+    q, lookups = requests(spark, sf)
+    cache = Snapshots(spark, f"{shared_dir(spark)}/readloom/cache-{uuid.uuid4().hex}", "kind string, key string, name string, accession string, domain string, source string", ("kind", "key"))
+    R.through(q.where(F.pmod(F.xxhash64("key"), F.lit(2)) == 0), cache, lookups)
+    R.through(q, cache, lookups)
+    offline = R.through(q, cache, []).where("cached").select(F.col("kind").alias("k"), F.lower("key").alias("l"), "ref_accession", "ref_source").distinct()
+    same = (F.col("kind") == F.col("k")) & (F.col("key") == F.col("l"))
+    d = cache.read().join(offline, same, "left")
+    return d.select("kind", "key", "accession", "source", F.coalesce((F.col("accession") == F.col("ref_accession")) & (F.col("source") == F.col("ref_source")), F.lit(False)).alias("again"))
 
 
 def quoted(v) -> str:

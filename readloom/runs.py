@@ -3,20 +3,77 @@
 from __future__ import annotations
 
 import os
-import time
+import re
+import shutil
+import signal
+import threading
+import uuid
+import warnings
 import zlib
+from collections.abc import Callable, Iterator
+from contextlib import closing, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import model
 from readloom.functions import naming
+from readloom.functions.naming import bytes_text
 from readloom.operators import generating
 from readloom.operators import planning as P
-from readloom.sources import fastq, sinks
+from readloom.sources import fastq, ranges, sinks
 from readloom.streaming.delivery import paced
 
 
+@contextmanager
+def interruptible() -> Iterator[None]:
+    """SIGTERM and SIGHUP end what runs inside as an interrupt does, so that its own files are removed; the former handlers come back. In a thread that isn't the main one signals stay as they are."""
+    def stop(number, frame):
+        raise KeyboardInterrupt(signal.Signals(number).name)
+
+    before = {}
+    if threading.current_thread() is threading.main_thread():
+        before = {s: signal.signal(s, stop) for s in (signal.SIGTERM, signal.SIGHUP)}
+    try:
+        yield
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler if handler is not None else signal.SIG_DFL)
+
+
+def within(spark: SparkSession, seconds: float, work: Callable[[], object]) -> object:
+    """work's result; its Spark jobs are ended, and TimeoutError raised, once it takes longer than seconds. What it raises comes through."""
+    tag = f"readloom-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def end() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, end)
+    timer.daemon = True
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        return work()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"a batch took more than {seconds:g} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
+
+def warn_of_capacity(folder: str, estimated: int) -> None:
+    """Warn where a run may need more than four fifths of what is free; an estimate only, nothing is stopped."""
+    while not os.path.isdir(folder) and os.path.dirname(folder) != folder:
+        folder = os.path.dirname(folder)
+    free = shutil.disk_usage(folder).free
+    if estimated > 0.8 * free:
+        warnings.warn(f"the run may write {bytes_text(estimated)}, and {bytes_text(free)} are free", stacklevel=3)
+
+
 class EmptySource(Exception):
     """There is nothing to deliver."""
 
@@ -26,24 +83,29 @@ def sources(c: model.ReplayConfig) -> list[tuple[str | None, str]]:
     return fastq.listing(c.source, c.structure) if os.path.isdir(c.source) else [(None, c.source)]
 
 
-def replay_reads(spark: SparkSession, c: model.ReplayConfig) -> DataFrame:
-    """The source's reads with the target of each and its batch, for rechunking."""
+def replay_reads(spark: SparkSession, c: model.ReplayConfig) -> tuple[DataFrame, list[str]]:
+    """The source's reads with the target of each (relative to the run's), and the targets in order, for rechunking.
+
+    An offset index numbers the reads, so that nothing is shuffled to place them, and tells the plan before a read is taken up.
+    """
     files = sources(c)
-    order = spark.createDataFrame([(f"file://{os.path.abspath(p)}", b, i) for i, (b, p) in enumerate(files)], "path string, barcode string, file_no int")
-    plain = F.regexp_replace("src_path", "^file:/+", "file:///")
-    reads = fastq.scan(spark, [p for _, p in files]).withColumn("path", F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))).join(order, "path")
+    index = ranges.index(spark, files)
+    group = c.output == "preserve" and files[0][0] is not None
+    reads = ranges.by_index(spark, index)
+    reads = P.chunked(reads.withColumn("pos", F.col("group_pos")) if group else reads, c.reads_per_file)
+    totals = index.groupBy(*(["barcode"] if group else [])).agg(F.sum("reads").alias("n")).where("n > 0")
+    plan = P.cascaded(totals, "n", c.reads_per_file).withColumnRenamed("file_index", "chunk_idx")
     ext = output_extension(files[0][1])
     stem = c.prefix or os.path.basename(naming_stem(files[0][1]))
-    group = "barcode" if c.output == "preserve" and files[0][0] else None
-    reads = P.chunked(P.positions(reads, ["file_no", "src_pos"], group=group), c.reads_per_file)
     name = naming.numbered(F.lit(stem), "chunk", F.col("chunk_idx"), F.lit(ext))
     if c.output == "barcoded":
         names = F.array(*map(F.lit, naming.barcode_names(c.barcode_pattern, c.barcodes)))
-        index = F.floor(F.col("chunk_idx") / c.barcodes)
-        name = F.concat(F.element_at(names, (F.col("chunk_idx") % c.barcodes + 1).cast("int")), F.lit("/"), naming.numbered(F.lit(stem), "chunk", index, F.lit(ext)))
+        number = F.floor(F.col("chunk_idx") / c.barcodes)
+        name = F.concat(F.element_at(names, (F.col("chunk_idx") % c.barcodes + 1).cast("int")), F.lit("/"), naming.numbered(F.lit(stem), "chunk", number, F.lit(ext)))
     elif group:
         name = F.concat(F.col("barcode"), F.lit("/"), name)
-    return reads.withColumn("target", F.concat(F.lit(c.target.rstrip("/") + "/"), name))
+    plan = plan.select("chunk_idx", name.alias("target")).orderBy("chunk_idx", "target").collect()  # a row a file
+    return reads.withColumn("target", name), [r["target"] for r in plan]
 
 
 def output_extension(path: str) -> str:
@@ -51,49 +113,77 @@ def output_extension(path: str) -> str:
 
 
 def naming_stem(path: str) -> str:
-    import re
-
     return re.sub(naming.FASTQ, "", path)
 
 
-def _deliver(spark: SparkSession, reads: DataFrame, targets: list[str], pacing: model.Pacing, seed: str) -> list[tuple[str, int, float]]:
-    """Write the targets batch by batch at their times: (target, reads, offset). targets is the plan, a row a file."""
-    batches = [targets[i : i + pacing.batch_size] for i in range(0, len(targets), pacing.batch_size)]
-    times = model.intervals(spark, pacing.timing_model, len(batches), pacing.interval, seed, **pacing.timing_params).orderBy("batch").collect()
-    if not pacing.real_time:
-        made = {r["target"]: r["reads"] for r in sinks.write_fastq(reads).collect()}
-        return [(t, made.get(t, 0), row["emit_offset_s"]) for b, row in zip(batches, times, strict=True) for t in b]
-    done = []
-    for n, at in paced([(r["batch"], r["interval_s"]) for r in times], True, time.sleep):
-        made = {r["target"]: r["reads"] for r in sinks.write_fastq(reads.where(F.col("target").isin(batches[n]))).collect()}
-        done += [(t, made.get(t, 0), at) for t in batches[n]]
+def times(spark: SparkSession, pacing: model.Pacing, batches: int, seed: str) -> list[tuple[int, float, float]]:
+    """(batch, seconds to wait after it, seconds since the start)."""
+    rows = model.intervals(spark, pacing.timing_model, batches, pacing.interval, seed, **pacing.timing_params).orderBy("batch").collect()
+    return [(r["batch"], r["interval_s"], r["emit_offset_s"]) for r in rows]
+
+
+def in_batches(items: list, size: int) -> list[list]:
+    return [items[i : i + size] for i in range(0, len(items), size)]
+
+
+def _deliver(spark: SparkSession, reads: DataFrame, targets: list[str], root: str, pacing: model.Pacing, seed: str) -> list[tuple[str, int, float]]:
+    """Bring the targets out batch by batch at their times: (target, reads, offset). targets is the plan, a row a file, relative to root.
+
+    One job writes all files under hidden names; a batch is then a matter of names, however long its interval is. What a run that ends early has
+    not brought out is removed.
+    """
+    batches = in_batches(targets, pacing.batch_size)
+    done: list[tuple[str, int, float]] = []
+    with interruptible(), closing(sinks.Later(reads, root)) as later:
+        for (_, at), batch in zip(paced([(b, s) for b, s, _ in times(spark, pacing, len(batches), seed)], pacing.real_time), batches, strict=True):
+            later.publish(batch)
+            done += [(f"{root}/{t}", later.made.get(f"{root}/{t}", (None, 0))[1], at) for t in batch]
     return done
 
 
 def replay(spark: SparkSession, c: model.ReplayConfig) -> list[tuple[str, int, float]]:
-    """(target, reads, seconds since the start) of each file. Without reads_per_file files are copied or linked, and reads is -1."""
+    """(target, reads, seconds since the start) of each file. Without reads_per_file files are copied or linked, and reads is -1.
+
+    Executors copy, a batch at a time: each batch is complete before its interval is waited. pacing.parallel and workers say how many files of a
+    batch are under way at once. A batch that takes longer than pacing.timeout raises TimeoutError, and its job is ended.
+    """
     if not os.path.exists(c.source):
         raise FileNotFoundError(c.source)
+    root = os.path.abspath(c.target)
     if c.reads_per_file is None:
         files = sources(c)
-        n = -(-len(files) // c.pacing.batch_size)
-        times = model.intervals(spark, c.pacing.timing_model, n, c.pacing.interval, c.target, **c.pacing.timing_params).orderBy("batch").collect()
+        warn_of_capacity(root, sum(os.path.getsize(p) for _, p in files) if c.operation == "copy" else 0)
+        pairs = [(path, "/".join([root, *([barcode] if barcode else []), os.path.basename(path)])) for barcode, path in files]
+        batches = in_batches(pairs, c.pacing.batch_size)
+        plan = times(spark, c.pacing, len(batches), c.target)
+        workers = c.pacing.workers if c.pacing.parallel else 1
         done = []
-        for k, at in paced([(r["batch"], r["interval_s"]) for r in times], c.pacing.real_time):
-            for barcode, path in files[k * c.pacing.batch_size : (k + 1) * c.pacing.batch_size]:
-                target = os.path.join(c.target, *([barcode] if barcode else []), os.path.basename(path))
-                sinks.copy(path, target, c.operation == "link")
-                done.append((target, -1, at))
+        with interruptible():
+            if c.pacing.real_time:
+                pace = paced([(b, s) for b, s, _ in plan], True)
+                for (_, at), batch in zip(pace, batches, strict=True):
+                    within(spark, c.pacing.timeout, lambda batch=batch: sinks.copies(spark, batch, c.operation == "link", workers))
+                    done += [(t, -1, at) for _, t in batch]
+            else:  # no one sees the order on a virtual clock
+                within(spark, c.pacing.timeout * len(batches), lambda: sinks.copies(spark, pairs, c.operation == "link", workers))
+                done = [(t, -1, at) for (*_, at), batch in zip(plan, batches, strict=True) for _, t in batch]
         return done
-    reads = replay_reads(spark, c)
-    plan = [r["target"] for r in reads.select("chunk_idx", "target").distinct().orderBy("chunk_idx", "target").collect()]  # a row a file
+    if os.path.isfile(c.source) and not re.search(naming.FASTQ, c.source):  # a file that can't be cut goes through whole, or is left out where another layout is asked for
+        if c.output != "preserve":
+            raise EmptySource(f"{c.source} holds no reads")
+        target = f"{root}/{os.path.basename(c.source)}"
+        sinks.copies(spark, [(c.source, target)])
+        return [(target, -1, 0.0)]
+    reads, plan = replay_reads(spark, c)
     if not plan:
         raise EmptySource(f"{c.source} holds no reads")
-    return _deliver(spark, reads, plan, c.pacing, c.target)
+    warn_of_capacity(root, sum(os.path.getsize(p) for _, p in sources(c)))
+    return _deliver(spark, reads, plan, root, c.pacing, c.target)
 
 
 def generate(spark: SparkSession, c: model.GenerateConfig) -> list[tuple[str, int, float]]:
     """(target, reads, seconds since the start) of each simulated file; a genome whose share is nothing still has an empty file."""
+    warn_of_capacity(os.path.abspath(c.target), int(c.read_count * (2 * c.mean_length + 80) * (0.3 if c.output_format.endswith("gz") else 1)))
     seed = c.seed if c.seed is not None else zlib.adler32(c.target.encode())
     n = len(c.genomes)
     weights = c.abundances or tuple([1.0 / n] * n)
@@ -102,23 +192,19 @@ def generate(spark: SparkSession, c: model.GenerateConfig) -> list[tuple[str, in
     shares = P.apportioned(order, F.lit(c.read_count)).join(seqs, "path", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
     reads = generating.generate(shares, per_file=c.reads_per_file, mean_length=c.mean_length, std_length=c.std_length, min_length=c.min_length, mean_quality=c.mean_quality, std_quality=c.std_quality, seed=seed)
     reads = reads.join(order.select("genome", "idx"), "genome")
-    ext, root = f".{c.output_format}", c.target.rstrip("/") + "/"
+    ext, root = f".{c.output_format}", os.path.abspath(c.target)
     if c.mix_reads and not c.multiplex:
         from readloom.functions.rng import fast_uniform
 
         mixed = P.chunked(P.positions(reads.withColumn("u", fast_uniform(seed, F.lit("mix"), "genome", "file_index", "read_no")), ["u", "genome", "file_index", "read_no"]), c.reads_per_file)
-        reads = mixed.withColumn("target", F.concat(F.lit(root), naming.numbered(F.lit("reads"), "chunk", F.col("chunk_idx"), F.lit(ext))))
+        reads = mixed.withColumn("target", naming.numbered(F.lit("reads"), "chunk", F.col("chunk_idx"), F.lit(ext)))
         plan = [r[0] for r in reads.select("target").distinct().orderBy("target").collect()]
-        return _deliver(spark, reads, plan, c.pacing, c.target)
+        return _deliver(spark, reads, plan, root, c.pacing, c.target)
     stem = naming.stem(F.col("genome"), naming.FASTA)
     folder = F.concat(naming.barcode_name(F.col("idx")), F.lit("/")) if c.multiplex else F.lit("")
-    target = F.concat(F.lit(root), folder, naming.numbered(stem, "reads", F.col("file_index"), F.lit(ext)))
+    target = F.concat(folder, naming.numbered(stem, "reads", F.col("file_index"), F.lit(ext)))
     reads = reads.withColumn("target", target).withColumn("pos", F.col("read_no"))
     files = P.cascaded(shares.select("idx", "genome", "n"), "n", c.reads_per_file).withColumn("target", target)
     files = P.rounds(files, "file_index", "genome", c.target) if c.multiplex else P.small_order(files, ["idx", "file_index"])
-    plan = [(r["target"], r["read_count"]) for r in files.orderBy("seq_no").collect()]  # a row a file
-    done = _deliver(spark, reads, [t for t, _ in plan], c.pacing, c.target)
-    for t, k, _ in done:
-        if not k:
-            sinks.publish(b"", t)
-    return done
+    plan = [r["target"] for r in files.orderBy("seq_no").collect()]  # a row a file
+    return _deliver(spark, reads, plan, root, c.pacing, c.target)

@@ -4,36 +4,49 @@ from __future__ import annotations
 
 import os
 import re
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import naming
+from readloom.sources import ranges, store
 
 READ = "src_path string, src_pos bigint, header string, seq string, sep string, qual string"
+FIELDS = [c.split()[0] for c in READ.split(", ")]
 
 
-def scan(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """READ's columns. Four lines a record, by position; a record that is cut off is left out; .gz is unpacked; a file is a task's unit."""
-    d = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("src_path"), F.col("value"))
-    lines = F.split(F.regexp_replace("value", r"\r\n", "\n"), "\n")
-    d = d.select("src_path", lines.alias("l")).withColumn("n", F.floor((F.size("l") - F.when(F.element_at("l", -1) == "", 1).otherwise(0)) / 4).cast("int"))
-    at = lambda k: F.element_at("l", (F.col("i") * 4 + k).cast("int"))
-    d = d.where("n > 0").select("src_path", "l", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return d.select("src_path", F.col("i").cast("bigint").alias("src_pos"), at(1).alias("header"), at(2).alias("seq"), at(3).alias("sep"), at(4).alias("qual"))
+def scan(spark: SparkSession, paths: list[str] | str, range_bytes: int = 1 << 26) -> DataFrame:
+    """READ's columns. Four lines a record, by position; a record that is cut off is left out; .gz is unpacked.
+
+    paths: files, folders and patterns. A plain file of more than range_bytes is read by ranges of an index, which costs one more pass
+    for its line ends; other files are streamed, each by one task. Filters on src_path and src_pos decide what is opened.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if any(size > range_bytes and not path.endswith(".gz") for path, size in store.listed(paths)):
+        return ranges.by_index(spark, ranges.index(spark, paths, range_bytes)).select(*FIELDS)
+    return ranges.registered(spark).read.format("fastq").option("paths", "\n".join(paths)).load().select(*FIELDS)
+
+
+def between(spark: SparkSession, index: DataFrame | str, first: int, n: int) -> DataFrame:
+    """READ's columns and pos of the reads first to first + n - 1 of all files of an index, in their order: other ranges and files are not opened."""
+    d = ranges.by_index(spark, index).where((F.col("pos") >= first) & (F.col("pos") < first + n))
+    return d.select(*FIELDS, "pos")
 
 
-def counts(reads: DataFrame, chunk: int | None = None) -> DataFrame:
-    """src_path, reads; with chunk also the places of every chunk-th read."""
-    aggs = [F.count(F.lit(1)).alias("reads")]
+def counts(index: DataFrame, chunk: int | None = None) -> DataFrame:
+    """src_path, reads of each file of an index, without another look at it; with chunk also the places of every chunk-th read."""
+    d = index.groupBy("file_no", F.col("path").alias("src_path")).agg(F.sum("reads").alias("reads")).drop("file_no")
     if chunk:
-        aggs.append(F.array_sort(F.collect_list(F.when(F.col("src_pos") % chunk == 0, F.col("src_pos")))).alias("starts"))
-    return reads.groupBy("src_path").agg(*aggs)
+        starts = F.when(F.col("reads") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("reads") - 1, F.lit(chunk).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+        d = d.withColumn("starts", starts)
+    return d
 
 
-def strict_counts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """src_path, reads; fails on a file whose lines aren't a multiple of four."""
-    d = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("src_path")).agg(F.count(F.lit(1)).alias("lines"))
+def strict_counts(spark: SparkSession, paths: list[str] | str | DataFrame) -> DataFrame:
+    """src_path, reads of files or of an index; fails on a file whose lines aren't a multiple of four."""
+    found = paths if isinstance(paths, DataFrame) else ranges.index(spark, paths)
+    d = found.groupBy("file_no", F.col("path").alias("src_path")).agg(F.max("lines").alias("lines"))
     return d.select("src_path", F.when(F.col("lines") % 4 != 0, F.raise_error(F.concat(F.col("src_path"), F.lit(": lines aren't a multiple of four"))).cast("bigint")).otherwise(F.floor(F.col("lines") / 4)).alias("reads"))
 
 
@@ -73,8 +86,16 @@ def listing(folder: str, structure: str = "auto") -> list[tuple[str | None, str]
 
 
 def layout(folder: str) -> str:
-    """multiplex if any barcode folder has a file, else singleplex."""
-    return "multiplex" if listing(folder)[0][0] else "singleplex"
+    """multiplex if any barcode folder has a file, else singleplex. Files of the folder itself, which a multiplex run leaves out, are warned of."""
+    structure = "multiplex" if listing(folder)[0][0] else "singleplex"
+    if structure == "multiplex":
+        try:
+            beside = listing(folder, "singleplex")
+        except ValueError:
+            beside = []
+        if beside:
+            warnings.warn(f"{folder} holds barcode folders, so that {len(beside)} sequencing files beside them are left out", stacklevel=2)
+    return structure
 
 
 def genome_files(path: str) -> list[str]:

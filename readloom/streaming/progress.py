@@ -1,10 +1,15 @@
-"""Progress of a delivery: counters that a consumer's queries report."""
+"""Progress of a delivery: counters that a consumer's queries report, and a state for each run of a stream."""
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 class Progress(StreamingQueryListener):
@@ -47,3 +52,50 @@ class Progress(StreamingQueryListener):
         if self.total is not None and self.rows >= self.total:
             return 0.0
         return (self.total - self.rows) / self.rate if self.total and self.rows and self.rate else None
+
+
+RUN = "run string, done bigint, total bigint, first_ts timestamp, last_ts timestamp, percent double, rate double, eta double, stalled boolean"
+
+
+def by_run(stream: DataFrame, run: str, ts: str, total: str | None = None, stall: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """RUN's columns, a row for each run that a batch of the stream has rows of, and one for a run that stalls: nothing of it came for stall of event time.
+
+    rate is rows a second between a run's first and last; eta, the seconds left at that rate, is 0 at the end and null where no rate or total is known;
+    percent is 0 without a total. Null runs are the run ''. What counts is in the state, so a query that goes on from its checkpoint counts on. A run that
+    is complete or has stalled gives up its state; rows that come for it later begin anew. Rows that come more than late behind the stream's newest
+    are left out, where all of what a task has read of the run is that late. To be written in update mode.
+
+    A batch's rows are summed up where they are read, so a hot run is a few rows to the task that keeps its state.
+    """
+    rows = stream.select(F.coalesce(F.col(run).cast("string"), F.lit("")).alias("run"), F.col(ts).cast("timestamp").alias("ts"), (F.col(total) if total else F.lit(None)).cast("bigint").alias("total"))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b.groupby("run", as_index=False).agg(done=("ts", "size"), first_ts=("ts", "min"), last_ts=("ts", "max"), total=("total", "max"))
+            yield out.astype({"total": "Int64"})
+
+    part = rows.mapInPandas(summed, "run string, done bigint, first_ts timestamp, last_ts timestamp, total bigint").where("last_ts is not null").withWatermark("last_ts", late)
+    wait = int(pd.Timedelta(stall).total_seconds() * 1000)
+
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, total, first, last = state.get if state.exists else (0, -1, None, None)
+        stalled = state.hasTimedOut
+        if not stalled:
+            for f in frames:
+                low, high = int(f["first_ts"].min().value // 1000), int(f["last_ts"].max().value // 1000)
+                done, first, last = done + int(f["done"].sum()), low if first is None else min(first, low), high if last is None else max(last, high)
+                total = max([total, *f["total"].dropna().astype(int).tolist()])
+        passed = (last - first) / 1e6
+        rate = done / passed if passed > 0 else 0.0
+        known = total >= 0
+        eta = 0.0 if known and done >= total else (total - done) / rate if known and rate else None
+        percent = 100.0 * done / total if total > 0 else 0.0
+        if stalled or (known and done >= total):
+            state.remove()
+        else:
+            state.update((done, total, first, last))
+            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + wait)
+        at = lambda us: pd.Timestamp(us, unit="us")
+        yield pd.DataFrame({"run": [key[0]], "done": [done], "total": pd.array([total if known else None], "Int64"), "first_ts": [at(first)], "last_ts": [at(last)], "percent": [percent], "rate": [rate], "eta": [eta], "stalled": [stalled]})
+
+    return part.groupBy("run").applyInPandasWithState(keep, RUN, "done bigint, total bigint, first bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
