@@ -9,9 +9,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import slices
 
 NONE = np.iinfo(np.int32).max
 
@@ -169,33 +173,42 @@ class Encoder:
         return [b"".join([seen.get(w) or look[w] for w in ws]) for ws in split]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs' columns but text, with ids (little-endian 32-bit, binary) and n_tokens, as the tokenizers library gives them by the file at path without added special tokens, truncation and padding.
+def decoded(ids: bytes, tokens: np.ndarray) -> str:
+    """The tokens of ids, special ones too, joined by blanks, which is what a file without a decoder asks for. An id that the vocabulary doesn't have raises IndexError."""
+    return " ".join(tokens[np.frombuffer(ids, "<u4")])
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", back: bool = False, most: int = 100_000, chars: int = 1 << 20) -> DataFrame:
+    """docs' columns but text, with ids (little-endian 32-bit, binary) and n_tokens, as the tokenizers library gives them by the file at path without added special tokens, truncation and padding;
+    with back also decoded, what decode() makes of ids.
 
-    Null text: empty, which has no ids. Whole texts, whatever their length; rows don't meet, so nothing is shuffled; a task holds a batch
-    of texts and a bounded store of words. path: a file that every executor has. No rows: no rows. Other columns: left as they are.
+    Null text: empty, which has no ids. Whole texts, whatever their length; rows don't meet, so nothing is shuffled; a task holds an Arrow batch of texts, and ids and
+    words of about chars characters of them, besides a store of about most words. path: a file that every executor has. No rows: no rows. Other columns stay, but
+    for those named ids, n_tokens or decoded, which are replaced.
     """
-    kept = [c for c in docs.columns if c != text]
+    made = [T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if back else [])]
+    kept = [f for f in docs.schema if f.name not in (text, "ids", "n_tokens", "decoded")]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, tokens = Encoder(path, most), np.array(vocabulary(path).tokens, dtype=object)
         for batch in batches:
-            yield pd.Series(encoder([t or "" for t in batch]), dtype=object)
+            for a, b in slices(batch.column(0), chars):
+                ids = encoder([t or "" for t in batch.column(0).slice(a, b - a).to_pylist()])
+                columns = [c.slice(a, b - a) for c in batch.columns[1:]] + [pa.array(ids, pa.binary())]
+                if back:
+                    columns.append(pa.array([decoded(x, tokens) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept + made])
 
-    ids = F.pandas_udf(run, "binary")
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], ids(F.col(f"`{text}`")).alias("ids"))
-    return out.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4).cast("long"))
+    rows = docs.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, T.StructType(kept + made))
+    return rows.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4).cast("long"))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
-    """rows with decoded: the tokens of ids, special ones too, joined by blanks, which is what a file without a decoder asks for.
-
-    Null ids decode to null. An id that the vocabulary doesn't have raises IndexError.
-    """
+    """rows with decoded, the text of ids by decoded(). Null ids decode to null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = np.array(vocabulary(path).tokens, dtype=object)
         for batch in batches:
-            yield pd.Series([None if b is None else " ".join(tokens[np.frombuffer(b, "<u4")]) for b in batch], dtype=object)
+            yield pd.Series([None if b is None else decoded(b, tokens) for b in batch], dtype=object)
 
     return rows.withColumn("decoded", F.pandas_udf(run, "string")("ids"))

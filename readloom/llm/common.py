@@ -6,6 +6,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,10 @@ def uniform(*cols: Column) -> Column:
 
 def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+def slices(text: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
+    """(first, behind the last) of neighbouring rows of about chars characters together, or of one longer text."""
+    part = np.cumsum(pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False)) // chars
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    yield from zip(edges, edges[1:], strict=False)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import materialize, scratch, slices
 
 #: What stands between terms, which are runs of ASCII letters and of what isn't ASCII.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -20,12 +20,13 @@ BILLION = 10**9
 CELLS = 1 << 19
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and df (documents): a batch's terms become ids, which are counted by document, then by group, before anything is shuffled."""
+def term_counts(docs: DataFrame, chars: int = 1 << 22) -> DataFrame:
+    """lang, source, term, n (occurrences) and df (documents): the terms of about chars characters become ids, which are counted by document, then by group, before anything is shuffled."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column("text"), chars)):
+            pa.default_memory_pool().release_unused()
             lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
             split = pc.split_pattern_regex(pc.ascii_lower(batch.column("text")), BETWEEN)
             doc, words = pc.list_parent_indices(split).to_numpy().astype(np.int64), pc.list_flatten(split).dictionary_encode()

@@ -5,6 +5,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from readloom.llm import bpe, queries
@@ -51,9 +52,18 @@ def test_odd_rows_and_empty_table(spark, odd, library):
     assert got.columns == [c for c in d.columns if c != "text"] + ["ids", "n_tokens", "decoded"]
     want = sorted((str(r["doc_id"]), len(ids := library[0](r["text"])), np.array(ids, "<u4").tobytes(), library[1](ids)) for r in odd.collect())
     assert sorted((str(r["doc_id"]), r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in got.collect()) == want
+    both = bpe.encode(odd.withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1)), PATH, back=True, most=3, chars=40)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in both.collect()) == want
     assert bpe.decode(bpe.encode(d.where("false"), PATH), PATH).count() == 0
 
 
+def test_ids_that_are_not_known(spark):
+    d = spark.createDataFrame([(1, bytearray(b"\xff\xff\xff\x7f")), (2, None)], "i int, ids binary")
+    assert bpe.decode(d.where("i = 2"), PATH).first()["decoded"] is None
+    with pytest.raises(Exception, match="out of bounds"):
+        bpe.decode(d, PATH).collect()
+
+
 def test_query(spark, sf, library):
     got = {r["doc_id"]: r for r in queries.op13_bpe(spark, sf).collect()}
     docs = queries.table(spark, sf, "documents").select("doc_id", "text").collect()
