@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib.util
+import logging
 import os
 import sys
 
@@ -15,6 +16,7 @@ PACING = {"interval": float, "batch-size": int, "timing-model": str, "random-fac
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="readloom", description="Plan, generate, rechunk and pace streams of sequencing reads.")
+    p.add_argument("--log-level", choices=("debug", "info", "warning", "error"), default="warning")
     p.add_argument("--version", action="version", version=f"readloom {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     r = sub.add_parser("replay", help="bring existing reads to a watched folder")
@@ -45,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
     n = m.add_mutually_exclusive_group(required=True)
     n.add_argument("--file-count", type=int)
     n.add_argument("--source", help="a folder whose files are counted")
-    for name in ("list-profiles", "list-adapters", "list-mocks", "list-generators"):
+    for name in ("list-profiles", "list-adapters", "list-mocks", "list-generators", "check-deps"):
         sub.add_parser(name)
     return p
 
@@ -81,6 +83,18 @@ def picked(a: argparse.Namespace, *names: str) -> dict:
     return {n: getattr(a, n) for n in names if getattr(a, n) is not None}
 
 
+#: Modules by what needs them: (module, what it is for); those of the first kind must be there.
+NEEDED = {
+    "core": [("pyspark", "everything"), ("pyarrow", "files and batches"), ("pandas", "functions on batches"), ("numpy", "generators and timing")],
+    "monitoring": [("psutil", "enhanced monitoring")],
+}
+
+
+def missing() -> dict[str, list[str]]:
+    """Modules that aren't installed, by kind."""
+    return {kind: [m for m, _ in modules if importlib.util.find_spec(m) is None] for kind, modules in NEEDED.items()}
+
+
 def issues(target: str, adapter: str) -> list[str]:
     """What a pipeline would miss in a folder. Raises ValueError for an unknown adapter."""
     import fnmatch
@@ -99,6 +113,7 @@ def issues(target: str, adapter: str) -> list[str]:
 def main(argv: list[str] | None = None, spark=None) -> int:
     """0: done; 1: problems found; 2: wrong parameters; 3: nothing to deliver."""
     a = parser().parse_args(argv)
+    logging.basicConfig(level=a.log_level.upper())
     try:
         if a.command == "validate":
             found = issues(a.target, a.pipeline)
@@ -112,6 +127,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             files = len(fastq.listing(a.source)) if a.source else a.file_count
             print("\n".join(RECOMMENDED[0 if files < 50 else 1 if files < 500 else 2]))
             return 0
+        if a.command == "check-deps":
+            gone = missing()
+            for kind, modules in NEEDED.items():
+                print(f"{kind}: {len(gone[kind])} of {len(modules)} missing")
+                print("\n".join(f"  {m}: {'missing, pip install ' + m if m in gone[kind] else 'found'} ({why})" for m, why in modules))
+            return int(bool(gone["core"]))
         if a.command.startswith("list-"):
             from readloom.operators import generating
 

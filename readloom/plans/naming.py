@@ -97,15 +97,20 @@ def path_suffix(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.lower(F.regexp_extract("url", r"(\.[A-Za-z0-9]+)$", 1)).alias("suffix"), F.col("url").endswith(".html").alias("is_html"))
 
 
-@query("adler_seed", None)
+ADLER = "((len(c) + list_sum(list_transform(c, lambda x, i: ascii(x) * (len(c) - i + 1)))) % 65521 * 65536 + (1 + list_sum(list_transform(c, lambda x: ascii(x)))) % 65521)::BIGINT"
+
+
+@query("adler_seed", f"""
+WITH p AS (SELECT c_custkey, string_split('/out/' || c_mktsegment || '/' || c_name, '') AS c FROM customer), s AS (SELECT c_custkey, {ADLER} AS seed FROM p)
+SELECT seed % 64 AS slot, count(*)::BIGINT AS runs, min(seed) AS least, max(seed) AS most FROM s GROUP BY 1""")
 def adler_seed(spark, sf):
-    """The seed of a run: adler32 of its path, as a fold."""
-    return spark.range(1).select(adler32(F.lit(f"{sf}/out")).alias("seed"))
+    """The seeds of the customers' runs, adler32 of their paths, over 64 slots."""
+    seed = adler32(F.concat(F.lit("/out/"), "c_mktsegment", F.lit("/"), "c_name"))
+    d = table(spark, sf, "customer").select(seed.alias("seed"))
+    return d.groupBy((F.col("seed") % 64).alias("slot")).agg(F.count(F.lit(1)).alias("runs"), F.min("seed").alias("least"), F.max("seed").alias("most"))
 
 
-@query("adler_paths", """
-WITH p AS (SELECT p_partkey, string_split('/runs/' || p_name || '/' || p_partkey, '') AS c FROM part)
-SELECT p_partkey, ((len(c) + list_sum(list_transform(c, lambda x, i: ascii(x) * (len(c) - i + 1)))) % 65521 * 65536 + (1 + list_sum(list_transform(c, lambda x: ascii(x)))) % 65521)::BIGINT AS seed FROM p""")
+@query("adler_paths", f"WITH p AS (SELECT p_partkey, string_split('/runs/' || p_name || '/' || p_partkey, '') AS c FROM part) SELECT p_partkey, {ADLER} AS seed FROM p")
 def adler_paths(spark, sf):
     """Seeds of runs, one a path."""
     return table(spark, sf, "part").select("p_partkey", adler32(F.concat(F.lit("/runs/"), "p_name", F.lit("/"), F.col("p_partkey").cast("string"))).alias("seed"))

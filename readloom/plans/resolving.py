@@ -127,24 +127,36 @@ MOCKS = "o(community, org_pos, name, resolver, abundance, accession, domain) AS
 OTHERS = "a(alias, target) AS (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in catalog.ALIASES.items()) + ")"
 
 
+#: Communities in order of their names, which tables' rows are dealt to.
+NAMES = sorted({r[0] for r in catalog.placed()})
+DEALT = "CASE {key} % " + str(len(NAMES)) + " " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END"
+
+
+def dealt(key):
+    return F.get(F.array(*map(F.lit, NAMES)), (key % len(NAMES)).cast("int"))
+
+
 @query("mock_catalogue", f"""
-WITH {MOCKS}, {OTHERS}, g AS (SELECT target, string_agg(alias, ', ' ORDER BY alias) AS aliases FROM a GROUP BY 1)
-SELECT community, count(*)::BIGINT AS organisms, round(sum(abundance), 6) AS total, min(aliases) AS aliases FROM o LEFT JOIN g ON community = target GROUP BY 1""")
+WITH {MOCKS}, {OTHERS}, g AS (SELECT target, string_agg(alias, ', ' ORDER BY alias) AS aliases FROM a GROUP BY 1), c AS (SELECT {DEALT.format(key='c_custkey')} AS community, count(*)::BIGINT AS samples FROM customer GROUP BY 1)
+SELECT community, samples, count(*)::BIGINT AS organisms, round(sum(abundance), 6) AS total, min(aliases) AS aliases FROM o JOIN c USING (community) LEFT JOIN g ON community = target GROUP BY 1, 2""")
 def mock_catalogue(spark, sf):
-    """Communities with their aliases and weights."""
+    """Communities with their aliases, weights and samples: customers are samples, dealt to communities."""
     o = catalog.organisms(spark).groupBy("community").agg(F.count(F.lit(1)).alias("organisms"), F.round(F.sum("abundance"), 6).alias("total"))
     a = catalog.aliases(spark).groupBy("target").agg(F.array_join(F.sort_array(F.collect_list("alias")), ", ").alias("aliases"))
-    return o.join(a, F.col("community") == F.col("target"), "left").select("community", "organisms", "total", "aliases")
+    c = table(spark, sf, "customer").groupBy(dealt(F.col("c_custkey")).alias("community")).agg(F.count(F.lit(1)).alias("samples"))
+    return c.join(o, "community").join(a, F.col("community") == F.col("target"), "left").select("community", "samples", "organisms", "total", "aliases")
 
 
 @query("mock_apportion", f"""
-WITH {MOCKS}, f AS (SELECT *, count(*) OVER (PARTITION BY community) AS k, CASE WHEN abundance > 0 AND floor(abundance * 5000) < 1 THEN 1 ELSE floor(abundance * 5000)::BIGINT END AS fl, abundance * 5000 - floor(abundance * 5000) AS rem FROM o),
-g AS (SELECT *, 5000 - sum(fl) OVER (PARTITION BY community) AS gap, row_number() OVER (PARTITION BY community ORDER BY rem DESC, org_pos) AS r, coalesce(sum(fl - 1) OVER (PARTITION BY community ORDER BY fl DESC, org_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM f)
-SELECT community, org_pos, name, (CASE WHEN k = 1 THEN 5000 WHEN gap > 0 THEN fl + (r <= gap)::INT ELSE fl - least(fl - 1, greatest(-gap - prior, 0)) END)::BIGINT AS n FROM g""")
+WITH {MOCKS}, c AS (SELECT {DEALT.format(key='o_orderkey')} AS community, count(*)::BIGINT AS reads FROM orders GROUP BY 1),
+f AS (SELECT *, count(*) OVER (PARTITION BY community) AS k, CASE WHEN abundance > 0 AND floor(abundance * reads) < 1 THEN 1 ELSE floor(abundance * reads)::BIGINT END AS fl, abundance * reads - floor(abundance * reads) AS rem FROM o JOIN c USING (community)),
+g AS (SELECT *, reads - sum(fl) OVER (PARTITION BY community) AS gap, row_number() OVER (PARTITION BY community ORDER BY rem DESC, org_pos) AS r, coalesce(sum(greatest(fl - 1, 0)) OVER (PARTITION BY community ORDER BY fl DESC, org_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM f)
+SELECT community, org_pos, name, (CASE WHEN k = 1 THEN reads WHEN gap > 0 THEN fl + (r <= gap)::INT ELSE fl - least(greatest(fl - 1, 0), greatest(-gap - prior, 0)) END)::BIGINT AS n FROM g""")
 def mock_apportion(spark, sf):
-    """5000 reads of every community, by abundance."""
-    o = catalog.organisms(spark)
-    return P.apportioned(o, F.lit(5000), idx="org_pos", weight="abundance", by=["community"]).select("community", "org_pos", "name", "n")
+    """The orders are reads, dealt to communities and apportioned to their organisms by abundance."""
+    c = table(spark, sf, "orders").groupBy(dealt(F.col("o_orderkey")).alias("community")).agg(F.count(F.lit(1)).alias("reads"))
+    o = catalog.organisms(spark).join(c, "community")
+    return P.apportioned(o, F.col("reads"), idx="org_pos", weight="abundance", by=["community"]).select("community", "org_pos", "name", "n")
 
 
 @query("assembly_reports", """

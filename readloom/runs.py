@@ -134,7 +134,7 @@ def _deliver(spark: SparkSession, reads: DataFrame, targets: list[str], root: st
     """
     batches = in_batches(targets, pacing.batch_size)
     done: list[tuple[str, int, float]] = []
-    with interruptible(), closing(sinks.Later(reads, root)) as later:
+    with interruptible(), closing(within(spark, pacing.timeout * len(batches), lambda: sinks.Later(reads, root))) as later:
         for (_, at), batch in zip(paced([(b, s) for b, s, _ in times(spark, pacing, len(batches), seed)], pacing.real_time), batches, strict=True):
             later.publish(batch)
             done += [(f"{root}/{t}", later.made.get(f"{root}/{t}", (None, 0))[1], at) for t in batch]
@@ -187,8 +187,8 @@ def generate(spark: SparkSession, c: model.GenerateConfig) -> list[tuple[str, in
     seed = c.seed if c.seed is not None else zlib.adler32(c.target.encode())
     n = len(c.genomes)
     weights = c.abundances or tuple([1.0 / n] * n)
-    order = spark.createDataFrame([(i, f"file://{os.path.abspath(p)}", os.path.basename(p), w) for i, (p, w) in enumerate(zip(c.genomes, weights, strict=True))], "idx int, path string, genome string, w double")
-    seqs = fastq.genomes(fastq.scan_fasta(spark, list(c.genomes))).select(F.regexp_replace("src_path", "^file:/+", "file:///").alias("path"), "seq")
+    order = spark.createDataFrame([(i, os.path.abspath(p), os.path.basename(p), w) for i, (p, w) in enumerate(zip(c.genomes, weights, strict=True))], "idx int, path string, genome string, w double")
+    seqs = fastq.genomes(fastq.scan_fasta(spark, list(c.genomes))).select(F.col("src_path").alias("path"), "seq")
     shares = P.apportioned(order, F.lit(c.read_count)).join(seqs, "path", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
     reads = generating.generate(shares, per_file=c.reads_per_file, mean_length=c.mean_length, std_length=c.std_length, min_length=c.min_length, mean_quality=c.mean_quality, std_quality=c.std_quality, seed=seed)
     reads = reads.join(order.select("genome", "idx"), "genome")

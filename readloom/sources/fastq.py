@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import warnings
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +52,42 @@ def strict_counts(spark: SparkSession, paths: list[str] | str | DataFrame) -> Da
     return d.select("src_path", F.when(F.col("lines") % 4 != 0, F.raise_error(F.concat(F.col("src_path"), F.lit(": lines aren't a multiple of four"))).cast("bigint")).otherwise(F.floor(F.col("lines") / 4)).alias("reads"))
 
 
-def scan_fasta(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """src_path, contig_pos, contig (first word), seq (upper case, lines joined). Text before the first > is left out."""
-    d = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("src_path"), F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("k", "r"))
-    body = F.upper(F.regexp_replace(F.regexp_replace("r", r"^[^\n]*", ""), r"\s", ""))
-    return d.where("k > 0").select("src_path", (F.col("k") - 1).alias("contig_pos"), F.regexp_extract("r", r"^(\S*)", 1).alias("contig"), body.alias("seq"))
+def contigs(path: str) -> Iterator[tuple[str, str]]:
+    """(first word of the header, upper-case sequence) of a file's contigs, one at a time; gzip is unpacked."""
+    name, held = None, []
+    with ranges.stream(path) as f:
+        for some in ranges.lines(f):
+            for line in some:
+                if line.startswith(b">"):
+                    if name is not None:
+                        yield name, b"".join(held).upper().decode(errors="replace")
+                    words = line[1:].decode(errors="replace").split(maxsplit=1)
+                    name, held = words[0] if words and not line[1:2].isspace() else "", []
+                elif name is not None:
+                    held.append(b"".join(line.split()))
+    if name is not None:
+        yield name, b"".join(held).upper().decode(errors="replace")
+
+
+def scan_fasta(spark: SparkSession, paths: list[str] | str, held: int = 1 << 22) -> DataFrame:
+    """src_path, contig_pos, contig (first word), seq (upper case, lines joined). Text before the first > is left out. A file is streamed by one task, which holds a contig, or held characters of short ones."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["src_path", "contig_pos", "contig", "seq"]
+        for batch in batches:
+            for path in batch["path"]:
+                rows, size = [], 0
+                for i, (name, seq) in enumerate(contigs(path)):
+                    rows.append((path, i, name, seq))
+                    size += len(seq)
+                    if size >= held:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=columns)
+
+    files = [(i, p) for i, (p, _) in enumerate(store.listed(paths))]
+    d = spark.createDataFrame(files, "no int, path string").repartitionByRange(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)), "no")
+    return d.select("path").mapInPandas(read, "src_path string, contig_pos int, contig string, seq string")
 
 
 def genomes(contigs: DataFrame) -> DataFrame:

@@ -164,6 +164,15 @@ def test_profile_decides_how(spark, tmp_path, capsys):
     assert cli.main([*args, "--pipeline", "none"], spark) == 2 and cli.main([*args, "--workers", "0"], spark) == 2
 
 
+def test_dependencies(capsys, monkeypatch):
+    assert cli.main(["--log-level", "error", "check-deps"]) == 0 and "core: 0 of 4 missing" in capsys.readouterr().out
+    monkeypatch.setitem(cli.NEEDED, "core", [("no_such_module", "nothing")])
+    assert cli.main(["check-deps"]) == 1 and "no_such_module: missing" in capsys.readouterr().out
+    monkeypatch.setitem(cli.NEEDED, "monitoring", [])
+    monkeypatch.setattr(cli.importlib.util, "find_spec", lambda name: None)
+    assert cli.monitor("enhanced", False) == "basic" and cli.monitor("enhanced", True) == "none" and cli.monitor("none", False) == "none"
+
+
 def test_a_file_that_is_no_fastq(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("words\n")
     config = lambda **k: model.ReplayConfig(str(tmp_path / "notes.txt"), str(tmp_path / "out"), reads_per_file=3, **k)
