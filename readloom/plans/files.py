@@ -98,6 +98,23 @@ def paced_stream(spark, sf):
     return spark.read.parquet(f"{out}/totals")
 
 
+@query("run_progress", """
+WITH p AS (SELECT event_type AS run, count(*)::BIGINT AS done, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS passed FROM events GROUP BY 1)
+SELECT run, done, round(100.0::DOUBLE * done / 1000000, 6) AS percent, round(done / passed, 9) AS rate, round((1000000 - done) / (done / passed), 2) AS eta, false AS stalled FROM p""")
+def run_progress(spark, sf):
+    """The last that a stream of events in three batches tells of each type, from states that each batch goes on with."""
+    from readloom.streaming import delivery, progress
+
+    out = folder(spark)
+    d = table(spark, sf, "events").select("event_id", "event_type", "ts", F.lit(1_000_000).cast("bigint").alias("total"))
+    d.repartition(9, "event_id").write.parquet(f"{out}/in")
+    told = progress.by_run(delivery.arrivals(spark, f"{out}/in", d.schema, 3), "event_type", "ts", "total", stall="1000 days", late="1000 days")
+    keep = lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/told/{n}")
+    told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{out}/told/*").groupBy("run").agg(F.max_by(F.struct("done", "percent", "rate", "eta", "stalled"), "n").alias("r"))
+    return last.select("run", "r.done", F.round("r.percent", 6).alias("percent"), F.round("r.rate", 9).alias("rate"), F.round("r.eta", 2).alias("eta"), "r.stalled")
+
+
 FAULTS = """(SELECT o_orderkey AS k, o_orderstatus, (o_orderkey % 5 + 1) * 4 AS n, o_orderkey % 7 = 0 AS no_at, o_orderkey % 11 = 0 AS no_plus, o_orderkey % 13 = 0 AS short, 33 + o_orderkey % 41 AS code FROM orders)"""
 
 

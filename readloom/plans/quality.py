@@ -17,6 +17,16 @@ def interleave_metric(spark, sf):
     return Q.interleaving(d, "event_type", ["ts", "event_id"], ["grp"])
 
 
+@query("interleave_all", """
+WITH r AS (SELECT event_type, ts, event_id, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS run FROM r), t AS (SELECT run, min(event_type) AS e, count(*) AS n FROM s GROUP BY 1)
+SELECT 0 AS grp, max(n)::BIGINT AS max_run, (count(*) - 1)::BIGINT AS transitions, count(DISTINCT e)::BIGINT AS buckets FROM t""")
+def interleave_all(spark, sf):
+    """One group of all rows."""
+    d = table(spark, sf, "events").select(F.lit(0).alias("grp"), "event_type", "ts", "event_id")
+    return Q.interleaving(d, "event_type", ["ts", "event_id"], ["grp"])
+
+
 @query("interarrival_stats", """
 WITH g AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6 AS gap FROM events)
 SELECT user_id, count(gap)::BIGINT AS gaps, round(avg(gap), 3) AS mean_s, round(stddev_pop(gap), 3) AS std_s FROM g GROUP BY 1""")

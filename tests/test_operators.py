@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from readloom import catalog
 from readloom.functions import naming, sequences
-from readloom.functions.rng import lognormal_parameters, uniform
+from readloom.functions.rng import adler32, lognormal_parameters, uniform
 from readloom.operators import generating, quality, resolving, timing
 from readloom.operators import planning as P
-from readloom.plans.naming import adler_seed
 from readloom.sources import fastq, sinks
 from readloom.streaming import delivery
 
@@ -96,7 +95,9 @@ def test_names(spark):
 
 
 def test_adler(spark):
-    assert adler_seed(spark, "/x").first()[0] == zlib.adler32(b"/x/out")
+    paths = ["/x/out", "", "a", "é/ü", "x" * 300]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", adler32(F.col("p")).alias("a")).collect()
+    assert {r["p"]: r["a"] for r in got} == {p: zlib.adler32(p.encode()) for p in paths}
 
 
 def test_uniform_is_reproducible(spark):
