@@ -48,8 +48,8 @@ def fastq_roundtrip(spark, sf):
 @query("fastq_ranges", """
 SELECT o_orderkey AS k, (row_number() OVER (ORDER BY o_orderkey) - 1) % 2000 AS src_pos, (row_number() OVER (ORDER BY o_orderkey) - 1) // 2000 AS file_no, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders""")
 def fastq_ranges(spark, sf):
-    """Plain files read by ranges of 4,096 bytes, each read with its place in its file and in all files; nothing is shuffled for that."""
-    index = ranges.index(spark, f"{orders_written(spark, sf, '.fastq')}/*.fastq", 4096)
+    """Plain files read by ranges of 32,768 bytes, each read with its place in its file and in all files; nothing is shuffled for that."""
+    index = ranges.index(spark, f"{orders_written(spark, sf, '.fastq')}/*.fastq", 32768)
     return ranges.by_index(spark, index).select(key(), "src_pos", F.regexp_extract("src_path", r"_chunk_(\d+)", 1).cast("bigint").alias("file_no"), "pos")
 
 

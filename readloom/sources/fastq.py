@@ -27,7 +27,7 @@ def scan(spark: SparkSession, paths: list[str] | str, range_bytes: int = 1 << 26
     paths = [paths] if isinstance(paths, str) else list(paths)
     if any(size > range_bytes and not path.endswith(".gz") for path, size in store.listed(paths)):
         return ranges.by_index(spark, ranges.index(spark, paths, range_bytes)).select(*FIELDS)
-    return ranges.registered(spark).read.format("fastq").option("paths", "\n".join(paths)).load().select(*FIELDS)
+    return ranges.registered(spark).read.format("fastq").option("paths", "\n".join(paths)).option("parallelism", spark.sparkContext.defaultParallelism).load().select(*FIELDS)
 
 
 def between(spark: SparkSession, index: DataFrame | str, first: int, n: int) -> DataFrame:

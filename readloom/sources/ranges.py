@@ -20,7 +20,7 @@ from readloom.sources import store
 from readloom.storage import written
 
 BLOCK = 1 << 22
-INDEX = "file_no bigint, barcode string, path string, bytes bigint, range_no bigint, start bigint, lines bigint, reads bigint, src_pos bigint, pos bigint, group_pos bigint"
+INDEX = "file_no bigint, barcode string, path string, bytes bigint, range_no bigint, width bigint, start bigint, lines bigint, reads bigint, src_pos bigint, pos bigint, group_pos bigint"
 COLUMNS = "src_path string, src_pos bigint, header string, seq string, sep string, qual string, file_no bigint, barcode string, pos bigint, group_pos bigint"
 
 
@@ -78,9 +78,9 @@ def index(spark: SparkSession, files: Sequence[tuple[str | None, str]] | Sequenc
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [line_starts(p, a, b) for p, a, b in zip(batch["path"], batch["a"], batch["b"], strict=True)]
-            yield pd.DataFrame({"file_no": batch["file_no"], "range_no": batch["range_no"], "c": [c for c, _ in found], "first": pd.Series([x for _, x in found], index=batch.index, dtype=object)})
+            yield pd.DataFrame({"file_no": batch["file_no"], "range_no": batch["range_no"], "width": batch["b"] - batch["a"], "c": [c for c, _ in found], "first": pd.Series([x for _, x in found], index=batch.index, dtype=object)})
 
-    counted = d.select("file_no", "range_no", "path", "a", "b").mapInPandas(count, "file_no bigint, range_no bigint, c bigint, first array<bigint>")
+    counted = d.select("file_no", "range_no", "path", "a", "b").mapInPandas(count, "file_no bigint, range_no bigint, width bigint, c bigint, first array<bigint>")
     counted = written(counted, "line-starts")
     own = Window.partitionBy("file_no")
     before = own.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,7 +94,7 @@ def index(spark: SparkSession, files: Sequence[tuple[str | None, str]] | Sequenc
     per_file = r.groupBy("file_no").agg(F.sum("reads").alias("n")).join(named.select("file_no", "barcode"), "file_no")  # a row a file
     per_file = running_before(running_before(per_file, ["file_no"], "n", "all_before"), ["file_no"], "n", "own_before", by="barcode")
     out = r.join(per_file.select("file_no", "all_before", "own_before"), "file_no").join(named, "file_no")
-    out = out.select("file_no", "barcode", "path", "bytes", "range_no", "start", "lines", "reads", "src_pos", (F.col("all_before") + F.col("src_pos")).alias("pos"), (F.col("own_before") + F.col("src_pos")).alias("group_pos"))
+    out = out.select("file_no", "barcode", "path", "bytes", "range_no", "width", "start", "lines", "reads", "src_pos", (F.col("all_before") + F.col("src_pos")).alias("pos"), (F.col("own_before") + F.col("src_pos")).alias("group_pos"))
     if path is None:
         return written(out, "fastq-index")
     out.write.mode("overwrite").parquet(path)
@@ -106,7 +106,7 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 @dataclass
-class Range(ds.InputPartition):
+class Range:
     """Reads to give of a file: from the record that starts at byte start, after skip of them, reads (None: all that start before byte end)."""
 
     path: str
@@ -121,6 +121,28 @@ class Range(ds.InputPartition):
     barcode: str | None = None
     pos: int | None = None
     group_pos: int | None = None
+    width: int = 0
+
+
+@dataclass
+class Ranges(ds.InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+
+def packed(ranges: list[Range], parallelism: int, least: int = 1 << 20) -> list[Ranges]:
+    """Neighbouring ranges put together for tasks of about a fourth of a core's share of the bytes, and of least bytes; large ranges stay alone. 0: every range is a task's."""
+    target = max(least, sum(r.width for r in ranges) // (4 * parallelism)) if parallelism else -1
+    out: list[Ranges] = []
+    size = 0
+    for r in ranges:
+        if not out or size + r.width > target:
+            out.append(Ranges([]))
+            size = 0
+        out[-1].ranges.append(r)
+        size += r.width + 4096  # a file costs more than its bytes
+    return out
 
 
 def lines(f) -> Iterator[list[bytes]]:
@@ -210,26 +232,28 @@ class FastqReader(ds.DataSourceReader):
             r.skip, r.reads = int(first), None if last == inf else int(last - first + 1)
         return r
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         found: list[Range] = []
         if "index" in self.options:
             system, inside = store.located(self.options["index"])
             table = pads.dataset(inside, filesystem=system, format="parquet").to_table(filter=pads.field("reads") > 0)
             for x in table.sort_by([("file_no", "ascending"), ("range_no", "ascending")]).to_pylist():
-                found.append(Range(x["path"], x["start"], x["reads"], size=x["bytes"], **{k: x[k] for k in ("src_pos", "file_no", "barcode", "pos", "group_pos")}))
+                found.append(Range(x["path"], x["start"], x["reads"], size=x["bytes"], **{k: x[k] for k in ("src_pos", "file_no", "barcode", "pos", "group_pos", "width")}))
         else:
             wide = int(self.options.get("rangebytes", 1 << 26))
             resync = self.options.get("resync", "false").lower() == "true"
             for i, (path, size) in enumerate(store.listed(self.options["paths"].split("\n") if "paths" in self.options else self.options["path"])):
                 if resync and not path.endswith(".gz"):
-                    found += [Range(path, a, end=a + wide, resync=True, src_pos=None, file_no=i) for a in range(0, size, wide)]
+                    found += [Range(path, a, end=a + wide, resync=True, src_pos=None, file_no=i, width=wide) for a in range(0, size, wide)]
                 elif size:
-                    found.append(Range(path, file_no=i))
-        return [r for r in map(self.narrowed, found) if r is not None]
+                    found.append(Range(path, file_no=i, width=size))
+        return packed([r for r in map(self.narrowed, found) if r is not None], int(self.options.get("parallelism", 0)))
 
-    def read(self, r: Range | None) -> Iterator[pa.RecordBatch]:
-        if r is None:  # no range is left
-            return
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges if partition else ():  # None: no range is left
+            yield from self.reads(r)
+
+    def reads(self, r: Range) -> Iterator[pa.RecordBatch]:
         if r.size is not None and store.located(r.path)[0].get_file_info(store.located(r.path)[1]).size != r.size:
             raise ValueError(f"{r.path} has changed since it was indexed")
         start = resynchronised(r.path, r.start) if r.resync else r.start
@@ -279,7 +303,7 @@ class FastqSource(ds.DataSource):
     """spark.read.format("fastq"): COLUMNS, of files by path (paths, by line, for several), or of an index's ranges by index.
 
     Options: index, a written index; rangeBytes and resync true, to cut plain files without one at records that are told by their content (src_pos is
-    null then). Without either a file is one task's, read as a stream. pos and group_pos are an index's.
+    null then); parallelism, to put small ranges together. Without either a file is one task's, read as a stream. pos and group_pos are an index's.
     """
 
     @classmethod
@@ -308,4 +332,4 @@ def registered(spark: SparkSession) -> SparkSession:
 def by_index(spark: SparkSession, index: DataFrame | str) -> DataFrame:
     """COLUMNS of an index that is written: filters on places and paths decide what is opened."""
     path = index if isinstance(index, str) else unquote(index.inputFiles()[0].rpartition("/")[0])
-    return registered(spark).read.format("fastq").option("index", path).load()
+    return registered(spark).read.format("fastq").option("index", path).option("parallelism", spark.sparkContext.defaultParallelism).load()

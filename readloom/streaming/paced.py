@@ -38,8 +38,10 @@ def table(path: str) -> list[tuple[float, int]]:
 
 
 @dataclass
-class Batch(ds.InputPartition):
-    path: str
+class Batches(ds.InputPartition):
+    """Files that one task reads."""
+
+    paths: list[str]
 
 
 class PacedReader(ds.DataSourceStreamReader):
@@ -52,7 +54,7 @@ class PacedReader(ds.DataSourceStreamReader):
     def __init__(self, options: dict, schema):
         self.path, self.schema = options["path"], schema
         self.speed, self.clock = float(options.get("speed", 1.0)), options.get("clock") or f"{options['path']}/clock.json"
-        self.most = int(options.get("maxbatchespertrigger", 0))
+        self.most, self.tasks = int(options.get("maxbatchespertrigger", 0)), int(options.get("tasks", 32))
         if self.speed <= 0:
             raise ValueError("speed must be positive")
         self.plan, self.began, self.told = None, None, 0
@@ -84,22 +86,24 @@ class PacedReader(ds.DataSourceStreamReader):
             sinks.publish(json.dumps({"passed": max(self.plan[due - 1][0], 0.0) if self.most else passed, "next": due}).encode(), self.clock)
         return {"next": self.told}
 
-    def partitions(self, start: dict, end: dict) -> list[Batch]:
+    def partitions(self, start: dict, end: dict) -> list[Batches]:
         self.open()
         self.told = max(self.told, end["next"])
         out = []
         for _, batch in self.plan[start["next"] : end["next"]]:
             system, inside = store.located(f"{self.path}/data/__batch={batch}")
             if system.get_file_info(inside).type.name == "Directory":
-                out += [Batch(f) for f, size in store.listed(f"{self.path}/data/__batch={batch}") if size]
-        return out
+                out += [f for f, size in store.listed(f"{self.path}/data/__batch={batch}") if size]
+        n = min(len(out), self.tasks)
+        return [Batches(out[i::n]) for i in range(n)]
 
-    def read(self, partition: Batch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Batches | None) -> Iterator[pa.RecordBatch]:
         wanted = to_arrow_schema(self.schema)
-        system, inside = store.located(partition.path)
-        with system.open_input_file(inside) as f:
-            for batch in pq.ParquetFile(f).iter_batches(columns=wanted.names):
-                yield batch.select(wanted.names).cast(wanted)
+        for path in partition.paths if partition else ():
+            system, inside = store.located(path)
+            with system.open_input_file(inside) as f:
+                for batch in pq.ParquetFile(f).iter_batches(columns=wanted.names):
+                    yield batch.select(wanted.names).cast(wanted)
 
     def commit(self, end: dict) -> None:
         pass
@@ -108,7 +112,7 @@ class PacedReader(ds.DataSourceStreamReader):
 class PacedSource(ds.DataSource):
     """spark.readStream.format("paced"): the reads staged under path, when their batches are due.
 
-    Options: speed, seconds of the schedule in a second; maxBatchesPerTrigger; clock, the file that keeps a run's time (one a query that plays the folder).
+    Options: speed, seconds of the schedule in a second; maxBatchesPerTrigger; tasks, that share a trigger's batches (32 at most, unless given); clock, the file that keeps a run's time (one a query that plays the folder).
     """
 
     @classmethod
@@ -122,6 +126,7 @@ class PacedSource(ds.DataSource):
 def play(spark: SparkSession, path: str, **options) -> DataFrame:
     """The stream of what is staged under path."""
     spark.dataSource.register(PacedSource)
+    options = {"tasks": spark.sparkContext.defaultParallelism} | options
     schema = spark.read.parquet(f"{path}/data").drop("__batch").schema
     return spark.readStream.format("paced").schema(schema).option("path", path).options(**{k: str(v) for k, v in options.items()}).load()
 
