@@ -165,7 +165,8 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
 
     Of buckets that still hold several classes, what is outside the largest is held against one
     member of that class, another in each bucket, `rounds` times. What is left after that is held against all members of other
-    classes, with no cap, by prefix_pairs(): exactly, and without listing the pairs of a bucket.
+    classes, with no cap, by prefix_pairs(), which joins open nodes on the rare shingles that an alike pair must share. No bound is known for that: where all
+    shingles are common, as in texts put together from a few passages, it lists as many pairs as there are, and some of them several times.
 
     Pairs that 128 signature bits rule out are not compared (98 must agree; of pairs at 0.8, one in a million has fewer).
     At 0.8 a pair shares no band once in 300,000 times; the defaults trade that for cost.
