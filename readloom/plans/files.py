@@ -81,14 +81,14 @@ def stream_delivery(spark, sf):
     return delivery.counted(table(spark, sf, "events"), folder(spark), by="event_type", per_batch=4, ids="event_id")
 
 
-@query("paced_stream", "SELECT event_type, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids, (max(event_id // 100) + 1)::BIGINT AS batches FROM events GROUP BY 1")
+@query("paced_stream", "SELECT event_type, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids, (max(event_id // 500) + 1)::BIGINT AS batches FROM events GROUP BY 1")
 def paced_stream(spark, sf):
-    """Events staged by hundreds of their ids, played at the times of a bursty schedule, a million times as fast, and counted as a stream."""
+    """Events staged by five hundreds of their ids, played at the times of a bursty schedule, a million times as fast, and counted as a stream."""
     from readloom import model
     from readloom.streaming import paced
 
     out = folder(spark)
-    d = table(spark, sf, "events").withColumn("batch", F.expr("event_id div 100"))
+    d = table(spark, sf, "events").withColumn("batch", F.expr("event_id div 500"))
     n = d.agg(F.max("batch")).first()[0] + 1
     paced.stage(d, model.intervals(spark, "poisson", n, 2.0, "events"), out)
     totals = paced.play(spark, out, speed=1e6, maxBatchesPerTrigger=-(-n // 3)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), (F.max("batch") + 1).alias("batches"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from math import inf
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from readloom.operators.planning import running_before
 from readloom.sources import store
 from readloom.storage import written
 
@@ -90,10 +90,12 @@ def index(spark: SparkSession, files: Sequence[tuple[str | None, str]] | Sequenc
     ends = F.least(F.floor((F.col("before") + F.col("c") - 1) / 4), F.floor(F.col("lines") / 4) - 1)
     r = r.withColumn("reads", F.when(F.col("skip") < F.col("c"), F.greatest(ends - F.col("src_pos") + 1, F.lit(0))).otherwise(F.lit(0)).cast("bigint"))
     r = r.withColumn("start", F.when(F.col("reads") > 0, F.get("first", F.col("skip").cast("int"))))
-    named = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "file_no bigint, barcode string, path string, bytes bigint")
-    per_file = r.groupBy("file_no").agg(F.sum("reads").alias("n")).join(named.select("file_no", "barcode"), "file_no")  # a row a file
-    per_file = running_before(running_before(per_file, ["file_no"], "n", "all_before"), ["file_no"], "n", "own_before", by="barcode")
-    out = r.join(per_file.select("file_no", "all_before", "own_before"), "file_no").join(named, "file_no")
+    reads = {x["file_no"]: x["n"] for x in r.groupBy("file_no").agg(F.sum("reads").alias("n")).collect()}  # a row a file, as the driver has listed them
+    named, all_, own_ = [], 0, defaultdict(int)
+    for i, (barcode, file, size) in enumerate(rows):
+        named.append((i, barcode, file, size, all_, own_[barcode]))
+        all_, own_[barcode] = all_ + reads[i], own_[barcode] + reads[i]
+    out = r.join(spark.createDataFrame(named, "file_no bigint, barcode string, path string, bytes bigint, all_before bigint, own_before bigint"), "file_no")
     out = out.select("file_no", "barcode", "path", "bytes", "range_no", "width", "start", "lines", "reads", "src_pos", (F.col("all_before") + F.col("src_pos")).alias("pos"), (F.col("own_before") + F.col("src_pos")).alias("group_pos"))
     if path is None:
         return written(out, "fastq-index")
