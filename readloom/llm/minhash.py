@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch
@@ -114,13 +115,14 @@ def set_rows(texts: DataFrame, words: int, schema: str, held: int = 2_000_000) -
     return texts.select("uid", "text").mapInPandas(rows, schema)
 
 
-def prefix_pairs(nodes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Pairs p, q of nodes (uid, n, label and others) of different labels that may be at least `least` alike; none that is so is missing.
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, words: int, least: float, small: int = 16) -> DataFrame:
+    """Pairs p, q of nodes (uid, n, label and others) of different labels that may be at least `least` alike. A pair may come more than once.
 
     Two sets that alike share t = least / (1 + least) of their sizes' sum at least. A shingle that one node alone has is in no
     such share; the others are put in one order, rarest first. The first that a pair shares is then followed by t - 1
-    more in either set, so only sets that meet in a shingle that comes so early can be a pair. In a large group of edits of one text whose members are
-    a little less alike than `least`, what comes early are the edits, which few have, not the text that all have.
+    more in either set, so only sets that meet in a shingle that comes so early can be a pair. Where at most `small` nodes meet in a
+    shingle, they are paired: no more than `small` rows an early shingle, and no pair is lost. Pairs that meet in larger
+    groups only, as texts put together from a few passages do, come from long_pairs().
     """
     of = materialize(texts.join(nodes.select("uid"), "uid", "left_semi").select("uid", "text"), "open-texts")
     counts = set_rows(of, words, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")).where("c > 1")
@@ -128,11 +130,69 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, words: int, least: float) -
     early = nodes.join(shared, "uid").withColumn("most", F.size("hs")).withColumn("len", F.floor(F.col("most") - least * F.col("n") + 1 + 1e-6).cast("int")).where("len > 0")
     early = early.select("uid", F.struct(*nodes.columns, "most").alias("x"), F.posexplode(F.slice("hs", F.lit(1), F.col("len"))).alias("at", "e")).select("uid", "x", "at", F.col("e.h").alias("h"))
     early = materialize(early, "early")
-    several_ = materialize(early.groupBy("h").agg(F.min("x.label").alias("lo"), F.max("x.label").alias("hi")).where("lo < hi").select("h"), "meeting")
-    early = materialize(early.join(several_, "h"), "meeting")
-    p, q = early.select("h", F.col("x").alias("p"), F.col("at").alias("i")), early.select(F.col("h").alias("h2"), F.col("x").alias("q"), F.col("at").alias("j"))
-    needed = least / (1 + least) * (F.col("p.n") + F.col("q.n")) - 1e-6
-    return p.join(q, (F.col("h") == F.col("h2")) & (F.col("p.uid") < F.col("q.uid")) & (F.col("p.label") != F.col("q.label")) & (F.col("i") <= F.col("p.most") - needed) & (F.col("j") <= F.col("q.most") - needed))
+    groups = early.groupBy("h").agg(F.min("x.label").alias("lo"), F.max("x.label").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi")
+    early = materialize(early.join(materialize(groups.select("h", "g"), "meeting"), "h"), "meeting")
+    few = early.where(F.col("g") <= small)
+    p, q = few.select("h", F.col("x").alias("p"), F.col("at").alias("i")), few.select(F.col("h").alias("h2"), F.col("x").alias("q"), F.col("at").alias("j"))
+    pairs = p.join(q, (F.col("h") == F.col("h2")) & (F.col("p.uid") < F.col("q.uid")) & (F.col("p.label") != F.col("q.label")) & (F.col("i") <= F.col("p.most") - needed(least)) & (F.col("j") <= F.col("q.most") - needed(least)))
+    crowd = materialize(early.where(F.col("g") > small).select("x").distinct(), "crowd")
+    return pairs.select("p", "q").unionByName(long_pairs(crowd, of, words, least))
+
+
+def needed(least: float) -> Column:
+    """How many shingles the sets of p and q share at least, if they are that alike."""
+    return least / (1 + least) * (F.col("p.n") + F.col("q.n")) - 1e-6
+
+
+def long_bands(n: int, least: float, most: int = 1400) -> tuple[int, int]:
+    """(bands, rows) for n nodes. A pair that is `least` alike agrees in bands * least ** rows = 16 bands, as expected.
+
+    One that is s alike is listed 16 * (s / least) ** rows times. The rows of a band grow with log n, so keys and listed
+    pairs (at s = 0.64 and least = 0.8) both grow with about n ** 1.5, as long as a node has at most `most` keys; from there pairs alone grow.
+    """
+    rows = round(1.55 * math.log2(max(n, 2)))
+    if least < 1:
+        rows = min(rows, int(math.log(most / 16) / -math.log(least)))
+    rows = max(rows, 1)
+    return math.ceil(16 * least**-rows), rows
+
+
+def long_pairs(crowd: DataFrame, texts: DataFrame, words: int, least: float, registers: int = 1024) -> DataFrame:
+    """Pairs p, q of crowd's nodes (x: uid, n, most, label and others) of different labels that share a long band.
+
+    New ProbMinHash signatures of `registers` registers; a band is a choice of long_bands() rows among them, the same for all. Pairs of a
+    label are not listed: in each bucket labels meet first, then their members. A pair at exactly `least` is missed about
+    once in 200,000 times, as registers themselves agree a little more or less often than expected.
+    """
+    bands, rows = long_bands(crowd.count(), least)
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        choice = np.argsort(np.random.default_rng(bands).random((bands, registers)), axis=1)[:, :rows]
+        for batch in batches:
+            for i in range(0, len(batch), 128):
+                part = batch.iloc[i : i + 128]
+                s = prob_minhash([weighted(t, words) for t in part["text"]], registers)
+                yield pd.DataFrame({"uid": part["uid"].to_numpy(), "keys": list(chosen_keys(s, choice).view(np.int64))})
+
+    of = crowd.select(F.col("x.uid").alias("uid"), F.col("x.label").alias("label"), "x")
+    keys = texts.join(of.select("uid", "label"), "uid").select("uid", "text", "label")
+    keys = keys.select("uid", "text").mapInPandas(sign, "uid long, keys array<long>").select("uid", F.explode("keys").alias("key"))
+    keys = materialize(keys.join(of.select("uid", "label"), "uid"), "long-bands")
+    mixed = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    keys = materialize(keys.join(materialize(mixed, "long-mixed"), "key"), "long-buckets")
+    labels = keys.select("key", "label").distinct()
+    two = labels.select("key", F.col("label").alias("a")).join(labels.select("key", F.col("label").alias("b")), "key").where("a < b")
+    met = two.join(keys.select("key", F.col("label").alias("a"), F.col("uid").alias("u")), ["key", "a"]).join(keys.select("key", F.col("label").alias("b"), F.col("uid").alias("v")), ["key", "b"])
+    met = met.select("u", "v").distinct().join(of.select(F.col("uid").alias("u"), F.col("x").alias("p")), "u").join(of.select(F.col("uid").alias("v"), F.col("x").alias("q")), "v")
+    return met.where(needed(least) <= F.least("p.most", "q.most")).select("p", "q")
+
+
+def chosen_keys(signatures: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each signature; choice: the registers of each band, a row a band."""
+    k = np.broadcast_to((np.arange(1, len(choice) + 1, dtype=np.uint64)) * _STEP, (len(signatures), len(choice)))
+    for r in range(choice.shape[1]):
+        k = mix64(k * np.uint64(31) + signatures[:, choice[:, r]])
+    return k
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -164,9 +224,9 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     held against the others, so that a group of near copies is settled by about as many comparisons as it has members.
 
     Of buckets that still hold several classes, what is outside the largest is held against one
-    member of that class, another in each bucket, `rounds` times. What is left after that is held against all members of other
-    classes, with no cap, by prefix_pairs(), which joins open nodes on the rare shingles that an alike pair must share. No bound is known for that: where all
-    shingles are common, as in texts put together from a few passages, it lists as many pairs as there are, and some of them several times.
+    member of that class, another in each bucket, `rounds` times. What is left after that is held against members of other
+    classes, with no cap, by prefix_pairs(): open nodes are joined on the rare shingles that an alike pair must share, and those that share common ones only by
+    longer bands of longer signatures. Near the threshold no bound is known: n texts of common shingles that are all 0.75 alike are listed as n * n / 2 pairs.
 
     Pairs that 128 signature bits rule out are not compared (98 must agree; of pairs at 0.8, one in a million has fewer).
     At 0.8 a pair shares no band once in 300,000 times; the defaults trade that for cost.

@@ -113,6 +113,34 @@ def test_prefix_pairs_lose_no_link(spark):
     assert links and links <= got and len(got) < len(every) / 2
 
 
+def test_texts_of_shared_passages_are_not_paired_with_each_other(spark):
+    """Texts of 8 of 12 passages, so that every shingle is common: what is listed grows no faster than texts and links."""
+
+    def listed(n):
+        rng = random.Random(7)
+        passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(12)]
+        texts = sorted({" ".join(passages[i] for i in rng.sample(range(12), 8)) for _ in range(n)})
+        names: dict = {}
+        at = np.array([(i, names.setdefault(x, len(names))) for i, t in enumerate(texts) for x in shingles(t)])
+        m = np.zeros((len(texts), len(names)), np.float32)
+        m[tuple(at.T)] = 1
+        size = m.sum(axis=1)
+        alike = np.triu(m @ m.T * 1.8 >= 0.8 * (size[:, None] + size) - 1e-3, 1)
+        d = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+        nodes = spark.createDataFrame([(i, int(k), i) for i, k in enumerate(size)], "uid long, n int, label long")
+        got = [tuple(sorted((r["a"], r["b"]))) for r in minhash.prefix_pairs(nodes, d, 5, 0.8).selectExpr("p.uid a", "q.uid b").collect()]
+        links = set(map(tuple, np.argwhere(alike).tolist()))
+        assert links <= set(got)
+        return texts, len(links), len(got)
+
+    texts, links, rows = listed(400)
+    _, more, most = listed(1600)
+    print(f"400 texts: {links} links, {rows} listed; 1600: {more} links, {most} listed")
+    assert most / rows <= (1600 + more) / (400 + links) and most < 1600 * 1599 / 2 / 20
+    docs = list(enumerate(texts))
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == brute(docs)
+
+
 def test_repeated_passages_match_brute_force(spark):
     """Pairs of nearly equal sets whose repeat counts are opposite."""
     rng, docs = random.Random(9), []
