@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +20,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/readloom/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)  # a thread of the driver sees its own
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialized inside are removed at its end, but for those that are kept; nothing that outlives it may read them."""
-    _scopes.append([])
+    paths: list[str] = []
+    token = _scope.set(paths)
     try:
         yield
     finally:
+        _scope.reset(token)
         hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
-        for path in _scopes.pop():
+        for path in paths:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(hadoop).delete(at, True)
 
@@ -38,8 +41,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation of Python work. keep: also after scratch(). codec: zstd for texts, which it makes smaller."""
     path = scratch_path(df.sparkSession, name)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    paths = _scope.get()
+    if paths is not None and not keep:
+        paths.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
