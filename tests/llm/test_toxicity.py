@@ -44,6 +44,14 @@ def test_held_out_labels_are_never_read(spark):
     assert {r["doc_id"] for r in d.where(toxicity.held_out(F.col("doc_id"))).collect()} == set(held)
 
 
+def test_rows_of_one_id_speak_once(spark):
+    """Documents that share a labelled id add nothing to the training table, so the sample bounds what the driver reads."""
+    d = spark.createDataFrame([(i, f"text {i % 40} {'blargh' if i % 4 == 0 else 'fine'}") for i in range(400)], "doc_id long, text string")
+    more = d.unionByName(spark.range(5000).selectExpr("4L doc_id", "concat('zzz ', id) text"))
+    y = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    assert toxicity.fit(d, y) == toxicity.fit(more, y)
+
+
 def test_query_on_held_out_rows(spark):
     """Where there are labels enough to learn from."""
     sf = "/root/testdata/sf0.1"
