@@ -123,10 +123,21 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows, each as often as the mix takes it; see mix(). Rows that agree in doc_id, size and source share their copies, as evenly as they go."""
+    """docs' rows, each as often as the mix takes it; see mix(). Rows that agree in doc_id, size and source share their copies, as evenly as they go, by a hash of their columns."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__words"), F.col("source").alias("__of")).agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
-    rows = docs.withColumn("__size", size).join(taken.where("__all > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__words")) & F.col("source").eqNullSafe(F.col("__of")))
-    nth = F.row_number().over(Window.partitionBy("__id", "__words", "__of").orderBy(F.lit(0)))
-    rows = rows.withColumn("__nth", nth).withColumn("__own", F.expr("__all div __rows + if(__nth <= __all % __rows, 1, 0)").cast("int")).where("__own > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    d = docs.withColumn("__key", F.sha2(F.to_json(F.struct(*rest, F.md5(F.encode("text", "UTF-8")).alias("__text")), exact), 256))
+    # rows that agree in every column are one row with a count, before they are shuffled; numbering reads keys, never texts
+    same = d.groupBy("__key", F.col("doc_id").cast("long").alias("__doc"), size.alias("__size"), F.col("source").alias("__source")).agg(F.count(F.lit(1)).alias("__same"))
+    same = same.join(taken.where("__all > 0"), F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__words")) & F.col("__source").eqNullSafe(F.col("__of")))
+    before = F.sum("__same").over(Window.partitionBy("__id", "__words", "__of").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__same")
+    own = same.withColumn("__before", before).withColumn("__own", F.expr("__same * (__all div __rows) + greatest(0L, least(__same, __all % __rows - __before))"))
+    own = materialize(own.where("__own > 0").select(F.col("__key").alias("__k"), "__own"), "mix-own")
+    rows = d.groupBy("__key").agg(F.any_value(F.struct(*docs.columns)).alias("__row")).join(own, F.col("__key") == F.col("__k"))
+    runs = rows.select("__row", F.explode(F.expr("sequence(0L, (__own - 1) div 1024)")).alias("__run"), "__own")
+    first = runs.where("__run = 0")
+    later = runs.where("__run > 0").repartition("__run", F.col("__row.doc_id"))  # of rows that are taken very often
+    copies = F.explode(F.expr("sequence(__run * 1024, least(__own, (__run + 1) * 1024) - 1)")).alias("__copy")
+    return first.unionByName(later).select("__row", copies).select("__row.*")

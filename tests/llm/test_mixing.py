@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import pytest
 
@@ -75,6 +76,23 @@ def test_rows_that_repeat_are_dealt_out(spark):
     assert mixing.mixed(d, fan_in=16).count() == sum(r["copies"] for r in rows)
 
 
+def test_mixed_rows_that_agree_are_spread(spark):
+    """A third of all rows agree in every column; others share id, size and source only. Copies are shared evenly, and no row loses its columns."""
+    docs = [(7, "w " * 10, "a", 0)] * 3000 + [(8, f"x{i} y", "a", i) for i in range(40)] + [(i, "w " * (i % 30 + 1), "b", i) for i in range(100, 600)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").repartition(5)
+    want: dict = {}
+    for r in mixing.mix(d).collect():
+        want.setdefault((r["doc_id"], r["size"], r["source"]), []).append(r["copies"])
+    got: dict = {}
+    for r in mixing.mixed(d).collect():
+        assert tuple(r) in docs[:1] or tuple(r) in docs[3000:]
+        got.setdefault((r["doc_id"], len(WORD.findall(r["text"])), r["source"]), Counter())[tuple(r)] += 1
+    assert {k: sum(v.values()) for k, v in got.items()} == {k: sum(v) for k, v in want.items() if sum(v)}
+    assert got[7, 10, "a"][docs[0]] > 1024
+    eights = [got.get((8, 2, "a"), Counter())[r] for r in docs[3000:3040]]
+    assert max(eights) - min(eights) <= 1
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     docs = [(r["doc_id"], r["text"], r["source"]) for r in odd.collect()]
     rows = mixing.mix(odd).collect()
