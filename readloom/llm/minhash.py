@@ -174,14 +174,16 @@ def long_pairs(crowd: DataFrame, texts: DataFrame, words: int, least: float, reg
                 s = prob_minhash([weighted(t, words) for t in part["text"]], registers)
                 yield pd.DataFrame({"uid": part["uid"].to_numpy(), "keys": list(chosen_keys(s, choice).view(np.int64))})
 
-    of = crowd.select(F.col("x.uid").alias("uid"), F.col("x.label").alias("label"), "x")
-    keys = texts.join(of.select("uid", "label"), "uid").select("uid", "text", "label")
-    keys = keys.select("uid", "text").mapInPandas(sign, "uid long, keys array<long>").select("uid", F.explode("keys").alias("key"))
-    keys = materialize(keys.join(of.select("uid", "label"), "uid"), "long-bands")
-    mixed = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    keys = materialize(keys.join(materialize(mixed, "long-mixed"), "key"), "long-buckets")
-    labels = keys.select("key", "label").distinct()
-    two = labels.select("key", F.col("label").alias("a")).join(labels.select("key", F.col("label").alias("b")), "key").where("a < b")
+    # an alike partner has no more shingles than reach, or their share would exceed what this node shares with anyone
+    reach = (F.col("x.most") + 1e-6) * (1 + least) / least - F.col("x.n")
+    of = crowd.select(F.col("x.uid").alias("uid"), F.col("x.label").alias("label"), F.col("x.n").alias("n"), reach.alias("reach"), "x")
+    keys = texts.join(of.select("uid"), "uid", "left_semi").mapInPandas(sign, "uid long, keys array<long>").select("uid", F.explode("keys").alias("key"))
+    keys = materialize(keys.join(of.drop("x"), "uid"), "long-bands")
+    mixed = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("low")).where("lo < hi").select("key", "low")
+    keys = materialize(keys.join(materialize(mixed, "long-mixed"), "key").where("reach >= low").drop("low"), "long-buckets")
+    labels = materialize(keys.groupBy("key", "label").agg(F.min("n").alias("n"), F.max("reach").alias("reach")), "long-labels")
+    x, y = (labels.select("key", F.col("label").alias(c), F.col("n").alias(f"n_{c}"), F.col("reach").alias(f"reach_{c}")) for c in "ab")
+    two = x.join(y.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("reach_a") >= F.col("n_b")) & (F.col("reach_b") >= F.col("n_a"))).select("key", "a", "b")
     met = two.join(keys.select("key", F.col("label").alias("a"), F.col("uid").alias("u")), ["key", "a"]).join(keys.select("key", F.col("label").alias("b"), F.col("uid").alias("v")), ["key", "b"])
     met = met.select("u", "v").distinct().join(of.select(F.col("uid").alias("u"), F.col("x").alias("p")), "u").join(of.select(F.col("uid").alias("v"), F.col("x").alias("q")), "v")
     return met.where(needed(least) <= F.least("p.most", "q.most")).select("p", "q")
