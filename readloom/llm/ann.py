@@ -50,6 +50,12 @@ def lifted(x: np.ndarray, longest: np.ndarray | None) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))])
 
 
+def upper(bins: list[tuple[float, int]], shares: list[float]) -> list[float]:
+    """For each of shares, the bound of the first of bins (bound, count), by bound, up to which at least that share of the count lies."""
+    sums = np.cumsum([n for _, n in bins])
+    return [bins[min(int(np.searchsorted(sums, s * sums[-1])), len(bins) - 1)][0] for s in shares] if bins else []
+
+
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """vec_id, embedding (doubles) of vectors that take part, one a vec_id, and their dimension: that of most of them."""
     e = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -60,7 +66,7 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return e.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), dim
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64, symbols: int = 3, block: int = 32_768, keep: int = 28, probes: int = 4, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64, symbols: int = 3, block: int = 32_768, crowd: int = 8_192, keep: int = 28, probes: int = 4, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every vector whose vec_id is divisible by `every`, but for itself.
 
     vectors: vec_id, embedding; other columns play no part. What is indexed is lifted by a component, by which the nearest by
@@ -72,7 +78,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     the root only where these hold fewer than 8 * (k + 1), or fewer than k + 1 different rows. These ranges are then read: rows and queries of a tree's prefix meet in a task,
     where the strings are a sorted array, and are compared by vectors of 8 bits a component; the best keep of each tree are
     compared by the original vectors in double precision. A prefix of more than `block` rows is split and its queries go to
-    each part, so no task's rows grow with the table. At the root, whatever the table's size, all rows are candidates.
+    each part; one of more than `crowd` queries is split by these too, and its rows go to each turn. So no group's rows, queries or
+    results grow with the table. At the root, whatever the table's size, all rows are candidates.
 
     Vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no part. Of
     rows that repeat a vec_id the smallest vector counts. Ties go to the smaller vec_id. Null vec_id: no part. No rows: no rows.
@@ -88,7 +95,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     largest = nodes.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0] or 1.0
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x / F.lit(largest)) * (x / F.lit(largest))))
     # long vectors would make all others' directions nothing: the longest are lifted to lengths of their own
-    norms = nodes.agg(F.percentile_approx(norm, [0.9, 0.99, 0.999, 0.99999, 1.0], 1_000_000)).first()[0] or [1.0]
+    sizes = nodes.select(norm.alias("norm")).groupBy(F.floor(F.log2("norm") * 64).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"))
+    norms = upper(sorted((r["norm"], r["n"]) for r in sizes.collect()), [0.9, 0.99, 0.999, 0.99999, 1.0]) or [1.0]  # 64 rows an octave
     longest = F.coalesce(*[F.when(norm <= m, F.lit(m)) for m in norms], norm)
     queries = materialize(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("node"), "embedding"), "queries")
 
@@ -170,12 +178,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
             r, q = r.withColumn("parts", F.lit(-(-total // block)).cast("long")), q.withColumn("parts", F.lit(-(-total // block)).cast("long"))
         else:
             r, q = (d.join(large, ["tree", "prefix"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))) for d in (r, q))
-        r = r.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-        q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        slots = max(1, -(-total // 4096)) if level else 1
+        busy = q.groupBy("tree", "prefix").count().where(F.col("count") > crowd).select("tree", "prefix", F.ceil(F.col("count") / crowd).alias("turns"))
+        busy = materialize(busy, "busy")  # written, so that Spark can split a hot prefix in the joins
+        r, q = (d.join(busy, ["tree", "prefix"], "left").withColumn("turns", F.coalesce("turns", F.lit(1).cast("long"))) for d in (r, q))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        r = r.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("turn", each("turns"))
+        q = q.withColumn("part", each("parts")).withColumn("turn", F.pmod(F.xxhash64("node"), "turns"))
+        slots = max(1, -(-(total + probes * asking) // 4096)) if level else 1
         both = r.unionByName(q).withColumn("slot", F.pmod(F.xxhash64("prefix"), F.lit(slots))).withColumn("level", F.lit(depth))
-        return both.select("tree", "slot", "part", "level", "query", "node", "code", "vec", "size").groupBy("tree", "slot", "part").applyInPandas(meet, "query long, node long, about double")
+        return both.select("tree", "slot", "part", "turn", "level", "query", "node", "code", "vec", "size").groupBy("tree", "slot", "part", "turn").applyInPandas(meet, "query long, node long, about double")
 
+    asking = asked.count()
     levels = sorted(r["level"] for r in asked.select("level").distinct().collect())  # at most symbols + 2
     found = [visit(level, asked.where(F.col("level") == level)) for level in levels]
     if not found:

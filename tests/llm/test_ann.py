@@ -60,6 +60,26 @@ def test_prefixes_of_larger_tables(spark):
     assert [v for v, _ in got[3600][:3]] == [3601, 3602, 3603]
 
 
+def test_no_group_holds_all_queries(spark, monkeypatch):
+    """30 vectors in 100 copies each, so that 1,500 queries share a few prefixes of a few rows: no group has many queries, and none is lost."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 8))
+    rows = [(i, [float(v) for v in x[i % 30]]) for i in range(3000)]
+    kind = type(spark.range(0).groupBy())
+    groups, kept = [], kind.applyInPandas
+
+    def seen(grouped, f, schema):
+        groups.append(grouped._df.groupBy("tree", "slot", *[c for c in ("part", "turn") if c in grouped._df.columns]).agg({"query": "sum"}).agg({"sum(query)": "max"}).first()[0])
+        return kept(grouped, f, schema)
+
+    monkeypatch.setattr(kind, "applyInPandas", seen)
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ranked(ann.search(d, every=2, trees=8, crowd=200))
+    assert groups and max(groups) <= 2 * 200 * 1.5
+    want = brute(rows, 2)
+    assert all([s for _, s in got[q]] == [s for _, s in want[q]] for q in want) or recall(got, want) >= 0.95
+
+
 def test_vectors_of_unequal_length(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(20_000, 64))
