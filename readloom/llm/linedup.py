@@ -53,13 +53,12 @@ def keys(tokens: Column, depth: int, salts: int) -> Column:
     rest = F.size(tokens) - depth
     pairs = F.when(rest > 2, (rest.cast("long") * (rest - 1) / 2).cast("long")).otherwise(F.greatest(rest, F.lit(1)).cast("long"))
 
-    def key(k: Column) -> Column:
-        t = F.pmod(k.cast("long") * 1_000_003 + 17, pairs)
-        high = F.when(rest > 2, F.floor((1 + F.sqrt(1 + 8 * t)) / 2).cast("long")).otherwise(t)
-        low = F.when(rest > 2, t - (high * (high - 1) / 2).cast("long")).otherwise(t)
-        return F.xxhash64("leaf", low, high, F.get(tokens, (low + depth).cast("int")), F.get(tokens, (high + depth).cast("int")))
-
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.least(pairs, F.lit(salts).cast("long")) - 1), key)
+    # one step after another, for Spark would reckon t and high anew wherever one lambda names them
+    long = F.size(tokens) > depth + 2
+    at = F.transform(F.sequence(F.lit(0).cast("long"), F.least(pairs, F.lit(salts).cast("long")) - 1), lambda k: F.pmod(k * 1_000_003 + 17, pairs))
+    at = F.transform(at, lambda t: F.struct(t.alias("t"), F.when(long, F.floor((1 + F.sqrt(1 + 8 * t)) / 2).cast("long")).otherwise(t).alias("high")))
+    at = F.transform(at, lambda x: F.struct(F.when(long, x["t"] - (x["high"] * (x["high"] - 1) / 2).cast("long")).otherwise(x["t"]).alias("low"), x["high"].alias("high")))
+    return F.transform(at, lambda x: F.xxhash64("leaf", x["low"], x["high"], F.get(tokens, (x["low"] + depth).cast("int")), F.get(tokens, (x["high"] + depth).cast("int"))))
 
 
 def templates(lines: DataFrame, min_constant: float, min_share: float, depth: int, salts: int = 16) -> DataFrame:
@@ -89,7 +88,8 @@ def templates(lines: DataFrame, min_constant: float, min_share: float, depth: in
     places = counts.groupBy("group", "pos").agg(F.collect_list(F.when(constant, F.col("token"))).alias("held"))
     known = materialize(places.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "held"))).alias("places")), "places")
     form = F.zip_with("tokens", "places", lambda t, p: F.when(F.array_contains(p["held"], t), t).otherwise(FIELD))
-    formed = member.join(known, "group").select("leaf", "line", "docs", form.alias("form"))
+    # by explode, or the condition on share would be pushed below and make the form once more
+    formed = member.join(known, "group").select("leaf", "line", "docs", F.explode(F.array(form)).alias("form"))
     share = F.size(F.filter("form", lambda t: t != FIELD)) / F.size("form")
     formed = formed.select("leaf", "line", "docs", share.alias("share"), F.xxhash64(F.array_join("form", " ")).alias("general"))
     formed = materialize(formed.where(F.col("share") >= min_constant).distinct(), "forms")
@@ -116,8 +116,10 @@ def drop_recurring(docs: DataFrame, *, min_tokens: int = 5, depth: int = 3, min_
         lines = materialize(masked_lines(docs.where("text is not null").select("doc_id", "text", node.alias("node")), min_tokens, depth, min_fixed, min_tokens if min_exact is None else min_exact), "masked")
         of = materialize(templates(lines, min_constant, min_share, depth), "templates")
         lines_of = materialize(lines.select("doc_id", "node", "no", "tokens", "leaf", "line").join(of, ["leaf", "line"]).select("doc_id", "node", "no", "tokens", "leaf", "template"), "matched")
-        by_text = lines_of.groupBy("leaf", "template", "node").agg(F.max("tokens").alias("tokens"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no", "node")).alias("first"))
-        found = by_text.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.max("tokens").alias("tokens"), F.min("first").alias("first"))
+        # copies of a text have the same lines at the same places, so the first id and the first place are those of one copy; single numbers are hashed, a struct would be sorted
+        by_text = lines_of.groupBy("leaf", "template", "node").agg(F.max("tokens").alias("tokens"), F.min("doc_id").alias("doc_id"), F.min("no").alias("no"))
+        first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no", "node")
+        found = by_text.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.max("tokens").alias("tokens"), F.min(first).alias("first"))
         found = found.where((F.col("texts") >= min_docs) | ((F.col("texts") > 1) & (F.col("tokens") >= long_tokens)))
         found = materialize(found.select("leaf", "template", F.col("first.node").alias("first_node"), F.col("first.no").alias("first_no")), "found")
         drops = lines_of.select("leaf", "template", "node", "no").join(found, ["leaf", "template"]).where("node <> first_node or no <> first_no")

@@ -85,3 +85,13 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert got.columns[: len(odd.columns)] == odd.columns and got.count() == odd.count()
     assert sorted(str(r["text"]) for r in got.collect()) == sorted(str(r["text"]) for r in odd.collect())
     assert linedup.drop_recurring(odd.limit(0)).count() == 0
+
+
+def test_keys_are_reckoned_once(spark):
+    """The place of a pair is worked out in one place of the plan, and short lines give each pair of places after the leading tokens one key."""
+    d = spark.createDataFrame([(1, ["a", "b", "c", *(f"t{i}" for i in range(n))]) for n in range(9)], "leaf long, tokens array<string>")
+    keyed = d.select("tokens", linedup.keys(d["tokens"], 3, 16).alias("keys"))
+    assert keyed._jdf.queryExecution().optimizedPlan().toString().count("pmod(") == 1
+    for r in keyed.collect():
+        n = len(r["tokens"]) - 3
+        assert len(set(r["keys"])) == len(r["keys"]) == min(16, n * (n - 1) // 2 if n > 2 else max(n, 1))
