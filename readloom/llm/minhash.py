@@ -120,28 +120,44 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, words: int, least: float, s
 
     Two sets that alike share t = least / (1 + least) of their sizes' sum at least. A shingle that one node alone has is in no
     such share; the others are put in one order, rarest first. The first that a pair shares is then followed by t - 1
-    more in either set, so only sets that meet in a shingle that comes so early can be a pair. Where at most `small` nodes meet in a
-    shingle, they are paired: no more than `small` rows an early shingle, and no pair is lost. Pairs that meet in larger
-    groups only, as texts put together from a few passages do, come from long_pairs().
+    more in either set, so only sets that meet in a shingle that comes so early can be a pair. A shingle that comes at a place which leaves too few behind it,
+    for the smallest set that is met there, is left out: no pair has it as its first. That is repeated, since each row that goes may be another's last.
+
+    Where at most `small` nodes meet in a shingle, they are paired: no more than `small` rows an early shingle, and no pair is lost. So are
+    larger groups in which a node, as far as a few of its rows tell, lists fewer pairs than it would have long bands: most rows of a large class meet few of other labels. Pairs that meet in
+    other groups only, as texts put together from a few passages do, come from long_pairs().
     """
     of = materialize(texts.join(nodes.select("uid"), "uid", "left_semi").select("uid", "text"), "open-texts")
     counts = set_rows(of, words, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")).where("c > 1")
     shared = set_rows(of, words, "uid long, h long").join(counts, "h").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("hs"))  # as many as a text has words
     early = nodes.join(shared, "uid").withColumn("most", F.size("hs")).withColumn("len", F.floor(F.col("most") - least * F.col("n") + 1 + 1e-6).cast("int")).where("len > 0")
-    early = early.select("uid", F.struct(*nodes.columns, "most").alias("x"), F.posexplode(F.slice("hs", F.lit(1), F.col("len"))).alias("at", "e")).select("uid", "x", "at", F.col("e.h").alias("h"))
+    early = early.select(F.struct(*nodes.columns).alias("x"), "most", F.posexplode(F.slice("hs", F.lit(1), F.col("len"))).alias("at", "e")).select("x", "most", (F.col("most") - F.col("at")).alias("rest"), F.col("e.h").alias("h"))
     early = materialize(early, "early")
-    groups = early.groupBy("h").agg(F.min("x.label").alias("lo"), F.max("x.label").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi")
-    early = materialize(early.join(materialize(groups.select("h", "g"), "meeting"), "h"), "meeting")
-    few = early.where(F.col("g") <= small)
-    p, q = few.select("h", F.col("x").alias("p"), F.col("at").alias("i")), few.select(F.col("h").alias("h2"), F.col("x").alias("q"), F.col("at").alias("j"))
-    pairs = p.join(q, (F.col("h") == F.col("h2")) & (F.col("p.uid") < F.col("q.uid")) & (F.col("p.label") != F.col("q.label")) & (F.col("i") <= F.col("p.most") - needed(least)) & (F.col("j") <= F.col("q.most") - needed(least)))
-    crowd = materialize(early.where(F.col("g") > small).select("x").distinct(), "crowd")
-    return pairs.select("p", "q").unionByName(long_pairs(crowd, of, words, least))
-
-
-def needed(least: float) -> Column:
-    """How many shingles the sets of p and q share at least, if they are that alike."""
-    return least / (1 + least) * (F.col("p.n") + F.col("q.n")) - 1e-6
+    for _ in range(2):
+        groups = early.groupBy("h").agg(F.min("x.label").alias("lo"), F.max("x.label").alias("hi"), F.min("x.n").alias("low"), F.count(F.lit(1)).alias("g")).where("lo < hi")
+        early = early.select("x", "most", "rest", "h").join(materialize(groups.select("h", "low", "g"), "meeting"), "h").where(F.col("rest") >= share(least, F.col("x.n"), F.col("low")))
+        early = materialize(early, "meeting")
+    p, q = (early.select(F.col("h").alias(f"h_{c}"), F.col("x").alias(c), F.col("rest").alias(f"rest_{c}"), F.col("most").alias(f"most_{c}"), F.col("low").alias(f"low_{c}"), F.col("g").alias(f"g_{c}")) for c in "pq")
+    meet = (F.col("h_p") == F.col("h_q")) & (F.col("p.label") != F.col("q.label")) & (F.least("rest_p", "rest_q") >= share(least, F.col("p.n"), F.col("q.n")))
+    some = p.where((F.col("g_p") > small) & (F.pmod(F.xxhash64("p.uid", "h_p"), F.col("g_p")) < 4))
+    places = F.floor(F.col("most_p") - share(least, F.col("p.n"), F.col("low_p"))) + 1  # so many early shingles the node has about
+    rows = some.groupBy("h_p", "g_p").agg(F.count(F.lit(1)).alias("rows"))
+    lists = some.join(q.select("h_q", "q", "rest_q"), meet).groupBy("h_p").agg(F.sum(places).alias("lists"))
+    joined = rows.join(lists, "h_p", "left").where(F.coalesce("lists", F.lit(0)) <= 16 * F.sqrt("g_p") * F.col("rows"))
+    joined = materialize(joined.select(F.col("h_p").alias("h")), "joined")
+    early = materialize(early.join(joined.withColumn("few", F.lit(True)), "h", "left").withColumn("few", F.coalesce("few", F.col("g") <= small)), "split")
+    p, q = (early.where("few").select(F.col("h").alias(f"h_{c}"), F.col("x").alias(c), F.col("rest").alias(f"rest_{c}")) for c in "pq")
+    pairs = p.join(q, meet & (F.col("p.uid") < F.col("q.uid")))
+    crowd = materialize(early.where("not few").groupBy("x").agg(F.max("rest").alias("most")).select(F.struct("x.*", "most").alias("x")), "crowd")
+    pairs = pairs.select("p", "q")
+    if not crowd.head(1):
+        return pairs
+    return pairs.unionByName(long_pairs(crowd, of, words, least).select(*(F.struct(*(f"{c}.{k}" for k in nodes.columns)).alias(c) for c in "pq")))
+
+
+def share(least: float, n: Column, m: Column) -> Column:
+    """How many shingles sets of n and m share at least, if they are that alike."""
+    return least / (1 + least) * (n + m) - 1e-6
 
 
 def long_bands(n: int, least: float, most: int = 1400) -> tuple[int, int]:
@@ -186,7 +202,7 @@ def long_pairs(crowd: DataFrame, texts: DataFrame, words: int, least: float, reg
     two = x.join(y.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("reach_a") >= F.col("n_b")) & (F.col("reach_b") >= F.col("n_a"))).select("key", "a", "b")
     met = two.join(keys.select("key", F.col("label").alias("a"), F.col("uid").alias("u")), ["key", "a"]).join(keys.select("key", F.col("label").alias("b"), F.col("uid").alias("v")), ["key", "b"])
     met = met.select("u", "v").distinct().join(of.select(F.col("uid").alias("u"), F.col("x").alias("p")), "u").join(of.select(F.col("uid").alias("v"), F.col("x").alias("q")), "v")
-    return met.where(needed(least) <= F.least("p.most", "q.most")).select("p", "q")
+    return met.where(share(least, F.col("p.n"), F.col("q.n")) <= F.least("p.most", "q.most")).select("p", "q")
 
 
 def chosen_keys(signatures: np.ndarray, choice: np.ndarray) -> np.ndarray:

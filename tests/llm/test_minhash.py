@@ -141,6 +141,29 @@ def test_texts_of_shared_passages_are_not_paired_with_each_other(spark):
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == brute(docs)
 
 
+def test_outliers_of_a_group_of_near_copies_are_not_paired_with_its_members(spark):
+    """Texts of one class with one or two edits, four alone with three, and others alone with four to six: close to all of them, alike with none, though other texts quote their edits."""
+    rng, base, texts = random.Random(13), [f"w{i}" for i in range(150)], {}
+    for i in range(600):
+        words = list(base)
+        edits = rng.choice([1, 2]) if i < 450 else 3 if i < 454 else rng.choice([4, 5, 6])
+        for at in rng.sample(range(150), edits):
+            words[at] = f"new{rng.randrange(10**6)}"
+        texts.setdefault(" ".join(words), edits)
+        if edits > 3:  # another text quotes what is new, so that all shingles are shared ones
+            quoted = [" ".join(words[max(at - 4, 0) : at + 5]) for at in range(150) if words[at] != base[at]]
+            texts[" ".join(quoted + [f"own{rng.randrange(10**6)}" for _ in range(90)])] = edits
+    sets = [shingles(t) for t in texts]
+    label = [0 if k < 3 else i + 1 for i, k in enumerate(texts.values())]
+    every = [(i, j) for j in range(len(sets)) for i in range(j) if label[i] != label[j]]
+    links = {(i, j) for i, j in every if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    d = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    nodes = spark.createDataFrame([(i, len(s), label[i]) for i, s in enumerate(sets)], "uid long, n int, label long")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in minhash.prefix_pairs(nodes, d, 5, 0.8).selectExpr("p.uid a", "q.uid b").collect()}
+    print(f"{len(every)} pairs, {len(links)} links, {len(got)} listed")
+    assert links and links <= got and len(got) < len(every) / 20
+
+
 def test_repeated_passages_match_brute_force(spark):
     """Pairs of nearly equal sets whose repeat counts are opposite."""
     rng, docs = random.Random(9), []
