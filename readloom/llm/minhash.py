@@ -242,7 +242,7 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
     held against the others, so that a group of near copies is settled by about as many comparisons as it has members.
 
     Of buckets that still hold several classes, what is outside the largest is held against one
-    member of that class, another in each bucket, `rounds` times. What is left after that is held against members of other
+    member of that class, another in each bucket, up to `rounds` times, as long as that links anything. What is left after that is held against members of other
     classes, with no cap, by prefix_pairs(): open nodes are joined on the rare shingles that an alike pair must share, and those that share common ones only by
     longer bands of longer signatures. Near the threshold no bound is known: n texts of common shingles that are all 0.75 alike are listed as n * n / 2 pairs.
 
@@ -274,35 +274,36 @@ def classes(docs: DataFrame, *, words: int = 5, least: float = 0.8, bands: int =
         tested = materialize(buckets.select("key", node.alias("q")).join(pivots, "key").where((F.col("p.uid") != F.col("q.uid")) & alike("p", "q")).select(*pair).distinct(), "pairs")
         links = materialize(verified(tested, texts, words, least), "links")
         label = connected_components(links)
-        open_ = buckets.select("key", "uid", "s", "t", "n")
-        for turn in range(rounds + 1):
-            named = open_.join(label, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "uid")).drop("node", "component")
-            open_ = materialize(several(materialize(named, "named")), "open")
-            if not open_.head(1):
-                break
+        open_, turn = several(buckets.select("key", "uid", "s", "t", "n"), label), 0
+        while open_.head(1):
             if turn < rounds:
                 pivots = materialize(open_.where("label = main").groupBy("key").agg(F.max_by(node, F.xxhash64(F.lit(turn), "uid", "key")).alias("p")), "pivots")
                 pairs = open_.where("label <> main").select("key", node.alias("q")).join(pivots, "key")
             else:
-                pairs = prefix_pairs(open_.select("uid", "s", "t", "n", "label").distinct(), texts, words, least)
+                pairs = prefix_pairs(materialize(open_.select("uid", "s", "t", "n", "label").distinct(), "open-nodes"), texts, words, least)
             pairs = materialize(pairs.where(alike("p", "q")).select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-            open_ = open_.drop("label", "main")
-            if not pairs.head(1):
-                continue
-            late = materialize(verified(pairs, texts, words, least), "links")
+            late = materialize(verified(pairs, texts, words, least), "links") if pairs.head(1) else pairs
+            found = bool(late.head(1))
             tested = tested.unionByName(pairs)
-            if late.head(1):
+            if found:
                 links = links.unionByName(late)
                 label = connected_components(links)
+            if turn >= rounds:
+                break
+            if found:
+                open_ = several(open_.drop("label", "main"), label)
+            turn = turn + 1 if found else rounds  # labels, and so what is open, are as before
         of = one.select("node", "uid").join(label.withColumnRenamed("node", "u"), F.col("uid") == F.col("u"), "left").select("node", F.coalesce("component", "uid").alias("class"))
         return materialize(rows_.select("doc_id", "node").join(of, "node"), "members", keep=True)
 
 
-def several(named: DataFrame) -> DataFrame:
-    """Those rows of named (key, label and others) whose key has several labels, with the label that most of the key's rows have as main."""
+def several(open_: DataFrame, label: DataFrame) -> DataFrame:
+    """Those rows of open_ (key, uid and others) whose key has several labels, with label and main, the label that most of the key's rows have. label: node and component; a node that isn't there is a label of its own."""
+    named = open_.join(label, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "uid")).drop("node", "component")
+    named = materialize(named, "named")
     sizes = named.groupBy("key", "label").count()
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
-    return named.join(materialize(mixed, "mixed"), "key")  # written, so that Spark can split a large bucket in the join
+    return materialize(named.join(materialize(mixed, "mixed"), "key"), "open")  # mixed is written, so that Spark can split a large bucket in the join
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

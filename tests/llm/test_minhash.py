@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from readloom.llm import minhash, queries
+from readloom.llm import common, components, minhash, queries
 from readloom.llm.components import connected_components
 
 
@@ -164,6 +164,45 @@ def test_outliers_of_a_group_of_near_copies_are_not_paired_with_its_members(spar
     assert links and links <= got and len(got) < len(every) / 20
 
 
+def test_what_is_settled_is_not_reckoned_again(spark, monkeypatch):
+    """A class and texts that share buckets with it, alike with none: labels don't change after the first links, so what is open is found once and no further pivots are tried."""
+    made = []
+
+    def noted(df, name, **options):
+        made.append(name)
+        return common.materialize(df, name, **options)
+
+    monkeypatch.setattr(minhash, "materialize", noted)
+    monkeypatch.setattr(components, "materialize", noted)
+    rng, base, docs = random.Random(17), [f"w{i}" for i in range(150)], []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), 1 if i < 80 else rng.choice([4, 5, 6])):
+            words[at] = f"new{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and 10 < len(set(got.values())) <= 41
+    print(made)
+    assert made.count("early") == 1  # it comes to the exact join of what is open
+    assert made.count("named") == made.count("mixed") == made.count("open") == 1
+    made.clear()
+    star = connected_components(spark.createDataFrame([(1, i) for i in range(2, 50)] + [(60, 51), (51, 61), (60, 51)], "a long, b long"))
+    assert {r["node"]: r["component"] for r in star.collect()} == {**dict.fromkeys(range(1, 50), 1), 51: 51, 60: 51, 61: 51} and star.count() == 52
+    assert made.count("edges") == 1  # stars take no round
+
+
+def test_components_of_random_edges(spark):
+    rng = random.Random(19)
+    for nodes, edges in ((300, 200), (300, 330), (60, 900)):
+        pairs = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(edges)]
+        up = list(range(nodes))
+        for _ in range(nodes):
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        got = [(r["node"], r["component"]) for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+        assert sorted(got) == [(i, up[i]) for i in sorted({x for p in pairs if p[0] != p[1] for x in p})]
+
+
 def test_repeated_passages_match_brute_force(spark):
     """Pairs of nearly equal sets whose repeat counts are opposite."""
     rng, docs = random.Random(9), []
