@@ -79,7 +79,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     where the strings are a sorted array, and are compared by vectors of 8 bits a component; the best keep of each tree are
     compared by the original vectors in double precision. A prefix of more than `block` rows is split and its queries go to
     each part; one of more than `crowd` queries is split by these too, and its rows go to each turn. So no group's rows, queries or
-    results grow with the table. At the root, whatever the table's size, all rows are candidates.
+    results grow with the table. At the root, whatever the table's size, all rows are candidates. Joins with a row a vector, a
+    prefix or an item of exploded arrays are merged, never broadcast: Spark reckons these sides by a file's size, of which they are many times in memory.
 
     Vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no part. Of
     rows that repeat a vec_id the smallest vector counts. Ties go to the smaller vec_id. Null vec_id: no part. No rows: no rows.
@@ -119,7 +120,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
 
     schema = "node long, codes array<long>, vec binary"
     size = nodes.select("node", F.array_max(F.transform("embedding", F.abs)).cast("float").alias("size"))
-    coded = materialize(nodes.withColumn("longest", longest).mapInPandas(index(0), schema).join(size, "node"), "codes")
+    coded = materialize(nodes.withColumn("longest", longest).mapInPandas(index(0), schema).join(size.hint("merge"), "node"), "codes")
     asked = materialize(queries.mapInPandas(index(1), f"{schema}, firsts array<long>"), "asked")
     of = lambda level: F.floor(F.col("code") / F.lit(base ** (symbols - level))).cast("long")
     strings = coded.select(F.posexplode("codes").alias("tree", "code"))
@@ -132,11 +133,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     wanted, few = 40.0 * max(total, 1) ** 0.6, 8 * (k + 1)
     at = asked.select("node", F.posexplode("codes").alias("tree", "code"))
     at = at.select("node", "tree", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), of(v).alias("prefix")) for v in range(1, symbols + 1)])).alias("p")).select("node", "tree", "p.*")
-    held = at.join(counts, ["tree", "level", "prefix"]).groupBy("node", "level").agg(F.sum("count").alias("held"))
+    held = at.join(counts.hint("merge"), ["tree", "level", "prefix"]).groupBy("node", "level").agg(F.sum("count").alias("held"))
     deep = held.where(F.col("held") >= wanted).groupBy("node").agg(F.max("level").alias("level"))
     # level -1: one symbol and its siblings
     wide = asked.select("node", F.posexplode("firsts").alias("at", "prefix")).select("node", F.floor(F.col("at") / probes).cast("int").alias("tree"), "prefix")
-    wide = wide.join(counts.where("level = 1"), ["tree", "prefix"]).groupBy("node").agg(F.sum("count").alias("held")).where(F.col("held") >= few).select("node", F.lit(-1).alias("wide"))
+    wide = wide.join(counts.where("level = 1").hint("merge"), ["tree", "prefix"]).groupBy("node").agg(F.sum("count").alias("held")).where(F.col("held") >= few).select("node", F.lit(-1).alias("wide"))
     asked = materialize(asked.join(deep, "node", "left").join(wide, "node", "left").withColumn("level", F.coalesce("level", "wide", F.lit(0))).drop("wide"), "levels")
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -201,10 +202,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, *, trees: int = 64,
     if not short.isEmpty():
         found = once(found.unionByName(visit(0, short)))
     near = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "node"))).where(F.col("n") <= 2 * keep)
-    near = near.select("query", "node").join(nodes, "node").join(queries.select(F.col("node").alias("query"), F.col("embedding").alias("q")), "query")
+    near = near.select("query", "node").join(nodes.hint("merge"), "node").join(queries.select(F.col("node").alias("query"), F.col("embedding").alias("q")).hint("merge"), "query")
     exact = near.select("query", "node", F.aggregate(F.zip_with("embedding", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     exact = exact.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "node", "score")
-    rows_ = exact.join(ranked.select("node", "vec_id"), "node").where("vec_id <> query")
+    rows_ = exact.join(ranked.select("node", "vec_id").hint("merge"), "node").where("vec_id <> query")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return rows_.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")

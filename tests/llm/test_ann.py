@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from readloom.llm import ann, queries
@@ -80,6 +82,32 @@ def test_no_group_holds_all_queries(spark, monkeypatch):
     assert all([s for _, s in got[q]] == [s for _, s in want[q]] for q in want) or recall(got, want) >= 0.95
 
 
+def test_nothing_that_is_larger_in_memory_than_its_file_is_broadcast(spark):
+    """Exploded strings of the queries have 24 rows each here and looked small enough for the driver; no broadcast has more rows than there are queries, and none holds vectors."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(1000, 8)))]
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        ran = store.executionsList()
+        return [ran.apply(i) for i in range(ran.size())]
+
+    last = max((run.executionId() for run in executions()), default=-1)  # old ones are forgotten, so their number tells nothing
+    got = ranked(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), trees=8))
+    assert recall(got, brute(rows)) >= 0.9
+    runs, held = [run for run in executions() if run.executionId() > last], []
+    for run in runs:
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size() if node.name() == "BroadcastExchange" else 0)):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    held.append(int(values.apply(metric.accumulatorId()).replace(",", "")))
+        inputs = re.findall(r"BroadcastExchange.*\nInput \[\d+\]: \[(.*)\]", run.physicalPlanDescription())
+        assert not any(re.search(r"\b(embedding|q|vec)#", x) for x in inputs)
+    assert len(runs) > 5 and max(held, default=0) <= 50
+
+
 def test_vectors_of_unequal_length(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(20_000, 64))
